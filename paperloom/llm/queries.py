@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import mixing, sharding, simhash
+from paperloom.llm import decontam, knn, mixing, sharding, simhash
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,9 +30,46 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), width=5, threshold=0.8)
+    return found.select("doc_id", "item_id", "shared", "item_shingles", "containment")
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), ds AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM d WHERE len(w) >= 5
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark
+), bs AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM b WHERE len(w) >= 5
+), q AS (SELECT item_id, count(*) AS item_shingles FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS shared, item_shingles, count(*) / item_shingles AS containment
+FROM ds JOIN bs USING (s) JOIN q USING (item_id)
+GROUP BY doc_id, item_id, item_shingles HAVING 5 * count(*) >= 4 * item_shingles
+"""
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+OP10_SQL = """
+WITH e AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score, q.r AS qr, x.r AS xr
+  FROM e q JOIN e x ON q.r <> x.r WHERE q.vec_id % 20 = 0
+), o AS (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, xr) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM o WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op5_sharding": op5_sharding}
+    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op5_sharding": op5_sharding, "op9_decontamination": op9_decontamination, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontamination": OP9_SQL, "op10_topk": OP10_SQL}

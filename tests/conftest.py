@@ -15,7 +15,7 @@ def spark():
 
     s = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "6g").config("spark.driver.host", "127.0.0.1").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "6g").config("spark.driver.host", "127.0.0.1").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     return s

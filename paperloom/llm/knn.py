@@ -81,11 +81,13 @@ def best(score: np.ndarray, ids: np.ndarray, rids: np.ndarray, k: int) -> np.nda
 def plan_groups(pivots: np.ndarray, cells: pd.DataFrame, near: dict[int, list[float]], k: int, group_queries: int) -> tuple[dict[int, int], dict[int, list[int]]]:
     """From summaries: the group of each query cell, and the groups that each cell of rows is sent to.
 
-    cells: cell, rows, radius, queries, query_radius; near: distances of the rows nearest each pivot, at most k + 1.
+    cells has cell, rows, radius, queries, query_radius; near has the distances of the rows nearest each pivot, at most k + 1.
     """
     q = cells[cells.queries > 0]
-    norm, dot = np.linalg.norm(pivots, axis=1), pivots @ pivots.T
-    eps = 1e-6 * (1 + np.abs(dot).max(initial=0))
+    # huge components may overflow to infinities here; a bound that isn't a number then excludes nothing
+    with np.errstate(over="ignore", invalid="ignore"):
+        norm, dot = np.linalg.norm(pivots, axis=1).tolist(), (pivots @ pivots.T).tolist()
+    eps = 1e-6 * (1 + max(abs(v) for r in dot for v in r))
     order = [int(c) for c in q.sort_values("cell").cell]
     # neighbouring query cells share a group: a walk from each cell to the nearest that is left
     walk = []
@@ -102,20 +104,25 @@ def plan_groups(pivots: np.ndarray, cells: pd.DataFrame, near: dict[int, list[fl
     to: dict[int, set[int]] = {int(c): set() for c in cells.cell}
     radius = dict(zip(cells.cell.astype(int), cells.radius))
     for i, rho in zip(q.cell.astype(int), q.query_radius):
-        sure = sorted((dot[i, j] - norm[j] * rho - norm[i] * d - rho * d for j, ds in near.items() for d in ds), reverse=True)
+        low = (dot[i][j] - norm[j] * rho - norm[i] * d - rho * d for j, ds in near.items() for d in ds)
+        sure = sorted((v if v == v else -np.inf for v in low), reverse=True)
         # one of the rows may be the query itself
         floor = sure[k] - eps if len(sure) > k else -np.inf
         for j, r in radius.items():
-            if dot[i, j] + norm[j] * rho + norm[i] * r + rho * r + eps >= floor:
+            if not dot[i][j] + norm[j] * rho + norm[i] * r + rho * r + eps < floor:
                 to[j].add(group[i])
     return group, {j: sorted(v) for j, v in to.items()}
 
 
+def _arrow_type(name: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
+
+
 def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, scale: float = 64.0, pivots: int | None = None, group_queries: int = GROUP_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row the k rows with the highest inner products of integer vectors.
 
     A query's own row takes no part, other rows with the same id or vector do; equal scores go to the smaller id
-    (nulls last). With fewer rows than k all are returned; an empty table gives an empty result. Vectors of unequal
+    (nulls last). Ids are bigint, int or string. With fewer rows than k all are returned; an empty table gives an empty result. Vectors of unequal
     length are padded with zeros. Only id, vector and the query condition are read, so other columns can't clash.
     """
     spark = df.sparkSession
@@ -157,24 +164,31 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
     plan = spark.createDataFrame([(int(c), group.get(int(c)), to[int(c)]) for c in summary.cell], "p_cell int, own int, needed array<int>")
     split_of = spark.createDataFrame([(g, s) for g, s in splits.items()], "g int, splits int")
     near_rows = dealt.join(F.broadcast(plan), F.col("cell") == F.col("p_cell"))
-    data = near_rows.select("rid", "vec_id", "v", block.alias("block"), F.explode("needed").alias("g")).join(F.broadcast(split_of), "g").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-    asked = near_rows.where("is_query").select("rid", "vec_id", "v", F.col("own").alias("g")).join(F.broadcast(split_of), "g").withColumn("split", F.expr("cast(pmod(xxhash64(rid), splits) as int)")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+    every_split = F.explode(F.sequence(F.lit(0), F.col("splits") - 1))
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    data = near_rows.select("rid", "vec_id", "v", block.alias("block"), F.explode("needed").alias("g")).join(F.broadcast(split_of), "g")
+    data = data.select("g", every_split.alias("split"), "block", F.lit(False).alias("asks"), "rid", "vec_id", "v")
+    asked = near_rows.where("is_query").select("rid", "vec_id", "v", F.col("own").alias("g")).join(F.broadcast(split_of), "g")
+    asked = asked.select("g", F.expr("cast(pmod(xxhash64(rid), splits) as int)").alias("split"), every_block.alias("block"), F.lit(True).alias("asks"), "rid", "vec_id", "v")
+    out_schema = pa.schema([("q_rid", pa.int64()), ("query_id", _arrow_type(id_type)), ("rid", pa.int64()), ("vec_id", _arrow_type(id_type)), ("score", pa.int64())])
+
+    def solve(t: pa.Table) -> pa.Table:
+        asks, rid, ids = t.column("asks").to_numpy(), t.column("rid").to_numpy(), t.column("vec_id").to_pylist()
+        place = {v: n for n, v in enumerate(sorted({v for v in ids if v is not None}))}
+        order = np.array([place.get(v, len(place)) for v in ids], np.int64)
+        rows_at, query_at, blobs = np.flatnonzero(~asks), np.flatnonzero(asks), t.column("v").to_pylist()
         out = []
-        if len(q) and len(x):
-            xm, xr = matrix([bytes(v) for v in x.v], dim), x.rid.to_numpy()
-            xi = x.vec_id.rank(method="dense", na_option="bottom").to_numpy()
-            for s in range(0, len(q), 256):
-                part = q.iloc[s : s + 256]
-                scores = inner_products(matrix([bytes(v) for v in part.v], dim), xm)
-                for r, i, row in zip(part.rid, part.vec_id, scores):
-                    others = np.flatnonzero(xr != r)
-                    at = others[best(row[others], xi[others], xr[others], k)]
-                    out.append(pd.DataFrame({"q_rid": r, "query_id": i, "rid": xr[at], "vec_id": x.vec_id.to_numpy()[at], "score": row[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"q_rid": [], "query_id": [], "rid": [], "vec_id": [], "score": []})
-
-    keys = ["g", "split", "block"]
-    local = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(solve, f"q_rid long, query_id {id_type}, rid long, vec_id {id_type}, score long")
+        if len(rows_at):
+            x, xr, xo = matrix([blobs[i] for i in rows_at], dim), rid[rows_at], order[rows_at]
+            for s in range(0, len(query_at), 256):
+                part = query_at[s : s + 256]
+                for i, row in zip(part, inner_products(matrix([blobs[i] for i in part], dim), x)):
+                    others = np.flatnonzero(xr != rid[i])
+                    at = others[best(row[others], xo[others], xr[others], k)]
+                    out += [(int(rid[i]), ids[i], int(xr[j]), ids[rows_at[j]], int(row[j])) for j in at]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, out_schema)], schema=out_schema)
+
+    units = asked.union(data).groupBy("g", "split", "block")
+    local = units.applyInArrow(solve, f"q_rid long, query_id {id_type}, rid long, vec_id {id_type}, score long")
     rank = F.row_number().over(W.partitionBy("q_rid").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "rid"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

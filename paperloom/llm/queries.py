@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontam, knn, mixing, sharding, simhash
+from paperloom.llm import decontam, knn, langid, mixing, sharding, simhash
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs, ~held & F.col("doc_id").isNotNull(), sample_key=F.col("doc_id"))
+    rows = docs.select("doc_id", held.alias("held_out"), "text")
+    return langid.predict(rows, model, ["doc_id", "held_out"])
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), width=5, threshold=0.8)
     return found.select("doc_id", "item_id", "shared", "item_shingles", "containment")
@@ -68,7 +76,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM o WHERE rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op5_sharding": op5_sharding, "op9_decontamination": op9_decontamination, "op10_topk": op10_topk}
+    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op5_sharding": op5_sharding, "op8_langid": op8_langid, "op9_decontamination": op9_decontamination, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontam, knn, langid, mixing, sharding, simhash
+from paperloom.llm import decontam, knn, langid, mixing, pii, sharding, simhash
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,17 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def pii_digest(docs: DataFrame) -> DataFrame:
+    found = pii.find(docs, ["doc_id"])
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.concat("base", "added")).alias("spans"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(read(spark, sf_dir, "documents"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held = langid.held_out(F.col("doc_id"))
@@ -76,7 +87,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM o WHERE rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op5_sharding": op5_sharding, "op8_langid": op8_langid, "op9_decontamination": op9_decontamination, "op10_topk": op10_topk}
+    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op5_sharding": op5_sharding, "op6_pii": op6_pii, "op8_langid": op8_langid, "op9_decontamination": op9_decontamination, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -75,6 +75,11 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
+def _grams(padded: Column, n: int) -> Column:
+    """All n-grams of a padded word, repeats included."""
+    return F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substr(padded, i, F.lit(n)))).otherwise(F.array())
+
+
 def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", sample_key: Column | None = None, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """A model of docs where train holds and text and language aren't null.
 
@@ -95,7 +100,7 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     per = [F.sum(F.when(F.col("lang") == name, F.col("n"))).alias(f"n{i}") for i, name in enumerate(langs)]
     words = found.groupBy("lang", "w").agg(F.count("*").alias("n")).groupBy("w").agg(*per, F.sum("n").alias("all")).persist()
     padded = F.concat(F.lit("_"), F.col("w"), F.lit("_"))
-    cut = [F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i, n=n: F.substr(padded, i, F.lit(n)))).otherwise(F.array()) for n in GRAMS]
+    cut = [_grams(padded, n) for n in GRAMS]
     grams = words.select(F.explode(F.flatten(F.array(*cut))).alias("g"), *[f"n{i}" for i in range(len(langs))], "all")
     grams = grams.groupBy("g").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))], F.sum("all").alias("all"))
     top = [words.where("all > 1").orderBy(F.desc("all"), "w").limit(max_words), grams.orderBy(F.desc("all"), "g").limit(max_grams)]

@@ -33,6 +33,15 @@ def test_backoff():
     assert many.predict("x " * 50_000, {}) == many.predict("x " * 30, {})
 
 
+def test_grams_of_the_model(spark, model):
+    """n-grams are those of the padded words, of lengths one to four."""
+    docs = spark.createDataFrame([(1, "abc abc", "x"), (2, "ab", "y")], "doc_id long, text string, lang string")
+    m = langid.fit(docs, F.lit(True))
+    want = {p[i : i + n] for p in ("_abc_", "_ab_") for n in (1, 2, 3, 4) for i in range(len(p) - n + 1)}
+    assert set(m.grams) == want and set(m.words) == {"abc"}
+    assert {len(g) for g in model.grams} == {1, 2, 3, 4}
+
+
 def test_odd_inputs(spark, model):
     rows = [(1, None), (2, ""), (3, "123 !? _"), (None, "the of and"), (5, "é"), (5, "é"), (6, "die und der " * 50_000)]
     docs = spark.createDataFrame([(i, t, "x", 0.0) for i, t in rows], "doc_id long, text string, lang_pred string, score double")

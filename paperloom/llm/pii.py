@@ -205,7 +205,7 @@ def fit(spark: SparkSession, n: int = 3000, rounds: int = 25, precision: float =
     args = (n, rounds, precision, seed)
     if args not in _FITTED:
         made = spark.createDataFrame(snippets(n, seed), "i int, text string, s int, e int")
-        c = propose(made, "text").select("i", "s", "e", F.explode("cands").alias("c"))
+        c = propose(made, "text").select("i", "s", "e", F.explode(F.when(F.size("cands") > 0, F.col("cands"))).alias("c"))
         names = list(features(F.col("c")))
         rows = c.select("i", F.col("c.kind").alias("kind"), ((F.col("s") >= 0) & (F.col("c.start") < F.col("e")) & (F.col("c.end") > F.col("s")) & (F.col("c.start") <= F.col("s") + 2) & (F.col("c.end") >= F.col("e") - 1)).alias("y"), F.array(*features(F.col("c")).values()).alias("x")).collect()  # a few for each of n snippets
         assert not rows or len(rows[0].x) == len(names)

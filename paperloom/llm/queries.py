@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontam, knn, langid, mixing, pii, sharding, simhash
+from paperloom.llm import chat, decontam, knn, langid, linededup, mixing, pii, sharding, simhash, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,36 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(read(spark, sf_dir, "conversations"))
+
+
+def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup(read(spark, sf_dir, "documents"), window=2, divisor=4, min_lines=2)
+    return found.select("doc_id", "removed_chunks", "removed_lines", "kept_text")
+
+
+OP4_SQL = """
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+h AS (SELECT *, list_transform(ls, lambda x: md5(x)) AS hs FROM l),
+s AS (
+  SELECT doc_id, ls, list_concat([1], list_filter(range(2, len(ls) + 1),
+    lambda i: i >= 3 AND substr(md5(hs[i - 2] || hs[i - 1]), 1, 1) IN ('0', '4', '8', 'c'))) AS st
+  FROM h WHERE text IS NOT NULL
+), p AS (SELECT doc_id, ls, st, unnest(range(1, len(st) + 1)) AS pos FROM s),
+c AS (SELECT doc_id, pos, ls[st[pos]:coalesce(st[pos + 1], len(ls) + 1) - 1] AS part FROM p),
+t AS (SELECT doc_id, pos, len(part) AS n, array_to_string(part, chr(10)) AS chunk FROM c),
+r AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, pos) > 1 AS gone FROM t),
+a AS (
+  SELECT doc_id, count(*) FILTER (gone) AS removed_chunks, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS removed_lines,
+    coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept_text
+  FROM r GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(removed_chunks, 0) AS removed_chunks, coalesce(removed_lines, 0)::BIGINT AS removed_lines, kept_text
+FROM documents d LEFT JOIN a USING (doc_id)
+"""
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.place(read(spark, sf_dir, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
@@ -41,6 +71,61 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read(spark, sf_dir, "documents"))
 
 
+def crawl_records(pages: DataFrame) -> DataFrame:
+    """Crawl records of pages, which hold no revisits: each page is a full response, captured at page_id minutes, and
+    is asked for again some hours later under a variant of its URL, answered as not modified; one answer in five has another etag."""
+    start, tag = F.lit("2024-01-01 00:00:00").cast("timestamp"), F.md5(F.col("html").cast("binary"))
+    at = F.timestamp_add("MINUTE", F.col("page_id").cast("int"), start)
+    response = pages.select(
+        (F.col("page_id") * 2).alias("record_id"), "url", at.alias("ts"), F.lit("response").alias("kind"), tag.alias("etag"),
+        F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("digest"),
+        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("date"), F.col("page_id").cast("string"), F.lit("etag"), tag).alias("headers"),
+    )
+    seen = F.when(F.col("page_id") % 5 == 0, F.lit("stale")).otherwise(tag)
+    revisit = pages.select(
+        (F.col("page_id") * 2 + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"),
+        F.timestamp_add("HOUR", (F.col("page_id") % 7 + 1).cast("int"), at).alias("ts"), F.lit("revisit").alias("kind"), seen.alias("etag"),
+        F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("digest"),
+        F.create_map(F.lit("Date"), F.concat(F.lit("again "), F.col("page_id").cast("string")), F.lit("Content-Length"), F.lit("0")).alias("headers"),
+    )
+    return response.unionByName(revisit)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.resolve(crawl_records(read(spark, sf_dir, "pages")))
+    heads = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return got.select("record_id", "canonical", F.unix_timestamp("ts").alias("ts"), "refers_to", "status", heads.alias("headers"))
+
+
+OP7_SQL = r"""
+WITH u AS (SELECT page_id, md5(html) AS tag, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
+x AS (
+  SELECT page_id, tag, regexp_replace(lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)), '^https$', 'http') AS scheme,
+    regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM u
+), y AS (
+  SELECT page_id, tag, scheme,
+    regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^(?:www\.|m\.)', ''), ':(?:80|443)$', '') AS host,
+    regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/index\.html?$', '/'), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+      lambda a: a <> '' AND NOT regexp_matches(a, '^(?:utm_[^=]*|ref|fbclid|gclid)(?:=|$)'))) AS args FROM x
+), c AS (
+  SELECT page_id, tag, CASE WHEN scheme = '' THEN 'http' ELSE scheme END || '://' || host || path
+    || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS canonical FROM y
+), p AS (SELECT page_id * 2 AS id, page_id, canonical, 1704067200 + page_id * 60 AS ts, tag FROM c),
+v AS (
+  SELECT page_id * 2 + 1 AS record_id, page_id, canonical, 1704067200 + page_id * 60 + (page_id % 7 + 1) * 3600 AS ts,
+    CASE WHEN page_id % 5 = 0 THEN 'stale' ELSE tag END AS tag FROM c
+), m AS (
+  SELECT v.record_id, v.page_id, v.canonical, v.ts, v.tag, max({'ts': p.ts, 'id': p.id, 'tag': p.tag}) AS f
+  FROM v LEFT JOIN p ON v.canonical = p.canonical AND p.ts < v.ts GROUP BY ALL
+)
+SELECT record_id, canonical, ts::BIGINT AS ts, f.id AS refers_to,
+  CASE WHEN f.id IS NULL THEN 'no_response' WHEN f.tag = tag THEN 'resolved' ELSE 'validator_mismatch' END AS status,
+  CASE WHEN f.tag = tag THEN 'content-type=text/html;date=again ' || page_id || ';etag=' || f.tag END AS headers
+FROM m
+"""
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held = langid.held_out(F.col("doc_id"))
@@ -87,8 +172,8 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM o WHERE rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op5_sharding": op5_sharding, "op6_pii": op6_pii, "op8_langid": op8_langid, "op9_decontamination": op9_decontamination, "op10_topk": op10_topk}
+    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_linededup": op4_linededup, "op5_sharding": op5_sharding, "op6_pii": op6_pii, "op7_warc": op7_warc, "op8_langid": op8_langid, "op9_decontamination": op9_decontamination, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": OP9_SQL, "op10_topk": OP10_SQL}
+    return {"op4_linededup": OP4_SQL, "op7_warc": OP7_SQL, "op9_decontamination": OP9_SQL, "op10_topk": OP10_SQL}

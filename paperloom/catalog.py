@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.plans import identity
+from paperloom.plans import identity, pages
 
-ALL = {**identity.QUERIES}
+ALL = {**identity.QUERIES, **pages.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -102,3 +102,14 @@ def pick_double(c1: DataFrame, c2: DataFrame, pairs: DataFrame, k: int = 3) -> D
         .otherwise(F.coalesce("t1", "t2"))
     )
     return j.withColumn("b", best).select("w1", "w2", "b.value", "b.gender", "b.score")
+
+
+def pick_retry(queries: DataFrame, gazetteer: DataFrame, k: int = 3) -> DataFrame:
+    """Answers for whole strings (column word); failing that for their first n, n - 1, ... 1 words, at a lowered score."""
+    q = queries.select("word").where("word is not null").distinct()
+    n = F.size(F.split("word", " "))
+    tries = F.when(n > 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("rank"), F.array_join(F.slice(F.split("word", " "), F.lit(1), n - i + 1), " ").alias("part")))).otherwise(F.array())
+    t = q.select("word", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("rank"), F.col("word").alias("part"))), tries)).alias("t")).select("word", "t.rank", "t.part")
+    got = pick(candidates(t.select(F.col("part").alias("word")), gazetteer, k), k).withColumnRenamed("word", "part")
+    best = t.join(got, "part").groupBy("word").agg(F.min_by(F.struct("value", "gender", "score", "rank"), "rank").alias("b"))
+    return best.select("word", "b.value", "b.gender", (F.col("b.score") - F.when(F.col("b.rank") > 0, 0.25).otherwise(0)).alias("score"))

@@ -56,7 +56,7 @@ def queue_order(jobs: DataFrame) -> DataFrame:
 
 def expired(enqueued: Column, now: Column, seconds: int = 700) -> Column:
     """True for jobs that waited longer than a job may."""
-    return (now.cast("double") - enqueued.cast("double")) > seconds
+    return (now.cast("timestamp").cast("double") - enqueued.cast("timestamp").cast("double")) > seconds
 
 
 def verdict(pages: DataFrame, job: str = "job_id") -> DataFrame:

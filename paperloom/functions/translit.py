@@ -26,7 +26,8 @@ def _in_context(s: Column, letter: str, to: str, at_start: bool, after: str) ->
             here = here | (F.length(out) == 0)
         return F.concat(out, F.when((c == letter) & here, F.lit(to)).otherwise(c))
 
-    return F.when(F.length(s) > 0, F.aggregate(F.split(s, ""), F.lit(""), step)).otherwise(s)
+    # s stands here once: chained rules would otherwise multiply it
+    return F.aggregate(F.split(s, ""), F.lit(""), step)
 
 
 def _finish(s: Column, letters: tuple[str, str], multi: dict[str, str]) -> Column:

@@ -29,3 +29,8 @@ def run_available(df: DataFrame, name: str, mode: str) -> DataFrame:
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def write_status(df: DataFrame, path: str, checkpoint: str):
+    """Append each micro-batch of a status stream to the log below path; returns the started query."""
+    return df.writeStream.foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

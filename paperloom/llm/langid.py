@@ -113,11 +113,12 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     """The columns `keep` of docs with lang_pred and score. und with score 0 for a null text, one without letters, and
     where the model has learned no language. Equal texts get equal results; equal scores go to the first language in order.
     Columns of docs named lang_pred and score, if not in keep, don't clash."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by max_words and max_grams
     rows = docs.select(*keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, cache = shared.value, {}
+        m, cache = Model.__new__(Model), {}
+        vars(m).update(shared.value)
         for b in batches:
             got = [m.predict(t.as_py(), cache) for t in b.column(b.num_columns - 1)]
             cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
@@ -127,7 +128,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     return rows.mapInArrow(run, (schema + ", " if schema else "") + "lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model, text: str = "text", min_score: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, text: str = "text", min_score: float = 0.3) -> DataFrame:
     """docs without the rows whose language isn't told: und, or a score below min_score. Columns unchanged."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text)

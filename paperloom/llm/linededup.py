@@ -70,8 +70,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
     """
     gone = repeated(docs, id_col, text, window, divisor, min_lines).groupBy("k_id", "k_text", "k_crc").agg(F.collect_list("pos").alias("gone"))
     gone = stage(gone.select(F.col("k_id").alias("g_id"), F.col("k_text").alias("g_text"), F.col("k_crc").alias("g_crc"), "gone"), "removed-chunks")
-    rows = with_chunks(docs, [F.col(id_col).alias("id"), *row_key(F.col(id_col), F.col(text)), F.col(text).alias("whole")], text, window, divisor)
-    j = rows.join(gone, rows.k_id.eqNullSafe(gone.g_id) & rows.k_text.eqNullSafe(gone.g_text) & (rows.k_crc == gone.g_crc), "left")
+    rows = docs.select(F.col(id_col).alias("id"), *row_key(F.col(id_col), F.col(text)), F.col(text).alias("whole"))
+    # the table of removed chunks grows with the corpus: no broadcast at any size. Texts are shuffled once, and cut into chunks afterwards, where any go
+    j = rows.join(gone.hint("merge"), rows.k_id.eqNullSafe(gone.g_id) & rows.k_text.eqNullSafe(gone.g_text) & (rows.k_crc == gone.g_crc), "left")
+    j = with_chunks(j.withColumn("cut", F.when(F.col("gone").isNotNull(), F.col("whole"))), ["id", "whole", "gone"], "cut", window, divisor)
     out = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
     j = j.withColumn("out", out)
     left = F.filter("chunks", lambda c, i: ~F.array_contains(F.col("out"), i))

@@ -188,6 +188,11 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     keys = found.groupBy(*[c.alias(n) for c, n in zip(group, ("g_id", "g_fp"))]).agg(F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("k_id"), "k_text", "k_crc")).alias("k"))
     keys = stage(keys.select("k.k_id", "k.k_text", "k.k_crc"), "kept")
     drop_staged(found)
+    return keep_rows(docs, keys, id_col, text)
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str, text: str) -> DataFrame:
+    """docs with one row for each of keys (k_id, k_text, k_crc)."""
     marked = docs.select(F.struct(*docs.columns).alias("row"), *row_key(F.col(id_col), F.col(text)))
     kept = marked.join(keys, same_key(marked, keys, ["k_id", "k_text", "k_crc"]), "left_semi")
     return kept.groupBy("k_id", "k_text", "k_crc").agg(F.first("row").alias("row")).select("row.*")

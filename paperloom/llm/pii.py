@@ -239,7 +239,12 @@ def find(docs: DataFrame, keep: list[str], text: str = "text", model: tuple | No
     scored = F.transform("__free", lambda c: F.struct(score(trees, list(features(c).values())).alias("score"), (c["end"] - c["start"]).alias("n"), (-c["start"]).alias("early"), c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     df = df.withColumn("__scored", scored)
     df = df.withColumn("__good", F.filter("__scored", lambda c: c["score"] >= limit[c["kind"]]))
-    kept = F.filter("__good", lambda c: ~F.exists("__good", lambda o: (o["start"] < c["end"]) & (o["end"] > c["start"]) & (F.struct(o["score"], o["n"], o["early"], o["kind"]) > F.struct(c["score"], c["n"], c["early"], c["kind"]))))
+    # best first; a proposal is taken if it overlaps none that was taken before
+    meets = lambda c, o: (o["start"] < c["end"]) & (o["end"] > c["start"])
+    take = lambda taken, c: F.when(F.exists(taken, lambda o: meets(c, o)), taken).otherwise(F.concat(taken, F.array(c)))
+    df = df.withColumn("__order", F.reverse(F.array_sort("__good")))
+    df = df.withColumn("__taken", F.aggregate("__order", F.filter("__order", lambda c: F.lit(False)), take))
+    kept = F.array_intersect("__good", "__taken")
     plain = lambda xs: F.transform(xs, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     return df.select(*keep, plain(F.col("__base")).alias("base"), plain(kept).alias("added"))
 

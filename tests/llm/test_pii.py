@@ -78,3 +78,14 @@ def test_very_long_texts(spark):
 
 def test_empty(spark):
     assert pii_digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_chain_of_overlaps(spark):
+    """Two phone numbers bridged by one digit run that scores between them: both are kept, the run is not."""
+    text = "so 555-123-4567 555-765-4321 km"
+    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    names = list(pii.features(F.col("c")))
+    phone, unit = names.index("kind_phone"), names.index("unit")
+    model = (0.0, [(phone, {True: (unit, {True: 1.0, False: 3.0}), False: (phone, {False: 2.0})})]), {"email": 9.0, "phone": 0.5, "account": 0.5, "secret": 9.0}
+    added = pii.find(docs, ["doc_id"], model=model).first().added
+    assert [(s.kind, text[s.start : s.end]) for s in added] == [("phone", "555-123-4567"), ("phone", "555-765-4321")]

@@ -56,8 +56,8 @@ FROM documents d LEFT JOIN a USING (doc_id)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.place(read(spark, sf_dir, "documents"), 24)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+    placed = sharding.place(read(spark, sf_dir, "documents"), 24, more=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", "grown_shard", "virtual_slot", "map_version")
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:

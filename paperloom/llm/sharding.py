@@ -8,11 +8,13 @@ needs, and only onto shards that are new.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import stage
+from paperloom.llm.common import shared_dir, stage
 
 #: Virtual slots. Fixed for the life of a dataset: the map, not the hash, changes.
 SLOTS = 8192
@@ -75,27 +77,45 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return m.where(F.col("version") == version).select("version", "virtual_slot", "shard", "bytes", "rows")
 
 
+def store_map(loads: DataFrame, shards: int, more: int = 0) -> str:
+    """The path of a new stored map for loads: version 1, and with `more` version 2, an edit of the stored version 1."""
+    spark = loads.sparkSession
+    path = f"{shared_dir(spark)}/paperloom/{spark.sparkContext.applicationId}/slot-map-{uuid.uuid4().hex}"
+    loads = stage(loads, "slot-loads")
+    save_map(build_map(loads, shards), path)
+    if more:
+        save_map(grow_map(load_map(spark, path), loads, shards, more), path)
+    return path
+
+
 def shard_docs(docs: DataFrame, shards: int, id_col: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """docs with virtual_slot, shard and map_version; columns of docs with these names are replaced. The texts are not shuffled."""
-    slot_map = F.broadcast(stage(build_map(slot_loads(records(docs, id_col, text, slots), slots), shards), "slot-map").select("virtual_slot", "shard", F.col("version").alias("map_version")))
+    path = store_map(slot_loads(records(docs, id_col, text, slots), slots), shards)
+    slot_map = F.broadcast(load_map(docs.sparkSession, path).select("virtual_slot", "shard", F.col("version").alias("map_version")))
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     slot = F.pmod(F.xxhash64(F.col(id_col), F.crc32(raw).cast("long")), F.lit(slots)).cast("int")
     mine = docs.withColumn("virtual_slot", slot).drop("shard", "map_version")
     return mine.join(slot_map, "virtual_slot").select(*[c for c in docs.columns if c not in ("virtual_slot", "shard", "map_version")], "virtual_slot", "shard", "map_version")
 
 
-def place(docs: DataFrame, shards: int, id_col: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+def place(docs: DataFrame, shards: int, id_col: str = "doc_id", text: str = "text", slots: int = SLOTS, more: int = 0) -> DataFrame:
     """One row for each row of docs: its id, size, text_crc32, virtual_slot, shard, map_version and slot, the row's
     place in its shard (0, 1, ... without gaps).
 
     A place is the number of rows in the shard's earlier virtual slots, from the map, plus the place within the
     virtual slot, so a task sorts a virtual slot at most. Null ids hash like a value; rows that are equal throughout
-    share a virtual slot and take places next to one another. An empty table gives an empty result.
+    share a virtual slot and take places next to one another. An empty table gives an empty result. All is taken from the
+    stored map's version 1; with `more`, grown_shard is the shard in version 2, which has that many shards more.
     """
     recs = stage(records(docs, id_col, text, slots), "records")
-    slot_map = stage(build_map(slot_loads(recs, slots), shards), "slot-map")
+    path = store_map(slot_loads(recs, slots), shards, more)
+    slot_map = load_map(docs.sparkSession, path, 1)
+    if more:
+        grown = load_map(docs.sparkSession, path, 2).select("virtual_slot", F.col("shard").alias("grown_shard"))
+        slot_map = slot_map.join(grown, "virtual_slot")
     before = F.sum("rows").over(W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, 0)) - F.col("rows")
-    starts = F.broadcast(slot_map.select("virtual_slot", "shard", before.alias("start"), F.col("version").alias("map_version")))
+    extra = ["grown_shard"] if more else []
+    starts = F.broadcast(slot_map.select("virtual_slot", "shard", before.alias("start"), F.col("version").alias("map_version"), *extra))
     n = F.row_number().over(W.partitionBy("virtual_slot").orderBy(F.col("rec_id").asc_nulls_first(), "text_crc32", "size")) - 1
     placed = recs.withColumn("n", n).join(starts, "virtual_slot")
-    return placed.select(F.col("rec_id").alias(id_col), "size", "text_crc32", "shard", (F.col("start") + F.col("n")).cast("long").alias("slot"), "virtual_slot", "map_version")
+    return placed.select(F.col("rec_id").alias(id_col), "size", "text_crc32", "shard", (F.col("start") + F.col("n")).cast("long").alias("slot"), "virtual_slot", "map_version", *extra)

@@ -4,6 +4,8 @@ import random
 import zlib
 
 from paperloom.llm import sharding
+from paperloom.llm.queries import op5_sharding
+from tests.conftest import SF
 
 
 def data():
@@ -59,3 +61,10 @@ def test_shard_docs_and_empty(spark):
     assert out.columns == ["doc_id", "text", "slot", "virtual_slot", "shard", "map_version"] and out.count() == docs.count()
     empty = docs.limit(0)
     assert sharding.place(empty, 24).count() == 0 and sharding.shard_docs(empty, 24).count() == 0
+
+
+def test_query_grows_the_stored_map(spark):
+    rows = op5_sharding(spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count() and {r.map_version for r in rows} == {1}
+    assert all(0 <= r.shard < 24 and (r.grown_shard == r.shard or 24 <= r.grown_shard < 32) for r in rows)
+    assert any(r.grown_shard >= 24 for r in rows)

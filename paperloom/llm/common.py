@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of staged tables that still exist, by the identity of their DataFrame.
+_FOLDERS: dict[int, str] = {}
 #: A word is a maximal run of characters other than space and the five ASCII control blanks.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where that is unset, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -26,17 +31,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/paperloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[id(out)] = path
+    weakref.finalize(out, _FOLDERS.pop, id(out), None)
+    return out
 
 
 def drop_staged(*frames: DataFrame) -> None:
-    """Delete the files behind staged tables that no later plan reads."""
+    """Delete the folders of staged tables that no later plan reads."""
     for df in frames:
         spark = df.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/paperloom/" in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if folder := _FOLDERS.pop(id(df), None):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def word_count(text: Column) -> Column:
@@ -56,6 +63,14 @@ def row_key(id_col: Column, text: Column) -> list[Column]:
     return [id_col.alias("k_id"), F.xxhash64(text).alias("k_text"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("k_crc")]
 
 
+def row_hashes(df: DataFrame) -> list[Column]:
+    """Columns r1 and r2, two hashes over all columns of df: rows that agree on both are equal throughout, but for a chance of 2^-128."""
+    nested = ("array", "map", "struct", "variant")
+    cols = [F.to_json(df[f.name], {"ignoreNullFields": "false"}) if f.dataType.simpleString().startswith(nested) else df[f.name] for f in df.schema.fields]
+    nulls = F.concat(*[F.when(df[f.name].isNull(), "1").otherwise("0") for f in df.schema.fields])  # a hash skips nulls
+    return [F.xxhash64(F.lit(k), nulls, *cols).alias(f"r{k}") for k in (1, 2)]
+
+
 def same_key(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
     """Null-safe equality on several columns."""
     cond = F.lit(True)

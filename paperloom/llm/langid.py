@@ -2,28 +2,30 @@
 
 A word that the model knows scores by its log frequency in each language. An unseen word backs off to its character
 n-grams: the longest n of which some are known gives the mean log frequency of those. The model is fitted on a bounded,
-hash-drawn sample of labelled documents; predictions read every whole text.
+hash-drawn sample of labelled documents and holds all of its words and n-grams; predictions read every whole text. Words are
+cut by one Arrow function in training and prediction, and each distinct word of a batch is scored once.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the model: documents drawn for each language, words and n-grams kept (the most frequent).
-SAMPLE_DOCS, MAX_WORDS, MAX_GRAMS = 3000, 200_000, 100_000
+#: The bound of the model: documents drawn for each language. Its words and n-grams are all that these have.
+SAMPLE_DOCS = 1000
 #: Character n-grams of an unseen word, longest first. Words are put between underscores.
 GRAMS = (4, 3, 2, 1)
 #: A document's evidence counts as that of so many words at most, so that scores keep telling texts apart.
 EVIDENCE = 30
-WORD = re.compile(r"[^\W\d_]+")
+#: Bytes of text that are cut into words at once.
+CHUNK = 4 << 20
+#: Unseen words whose scores a worker keeps.
+CACHE = 100_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -31,106 +33,165 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The text number and the word of each word, in order: lower-cased maximal runs of letters. A null text has none."""
+    lists = pc.split_pattern_regex(pc.fill_null(pc.utf8_lower(texts), ""), r"\P{L}+")
+    at, words = pc.list_parent_indices(lists), pc.list_flatten(lists)
+    some = pc.greater(pc.binary_length(words), 0)
+    return at.filter(some).to_numpy(zero_copy_only=False), words.filter(some)
+
+
+def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[pa.Array]:
+    """The texts in slices of about `size` bytes; a longer text is a slice by itself."""
+    ends, start = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
+    while start < len(texts):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + size, side="right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
 class Model:
     """Languages, and log frequencies of words and n-grams: one row of a matrix for each."""
 
-    def __init__(self, langs: list[str], words: list[tuple], grams: list[tuple], smooth: float = 0.5):
+    def __init__(self, langs: list[str], words: list[tuple], grams: list[tuple] | None = None, smooth: float = 0.5):
+        """words: (word, count in each language); grams alike, by default those of the words."""
         self.langs = langs
-        self.words, self.word_logs = self._table(words, smooth)
-        self.grams, self.gram_logs = self._table(grams, smooth)
-
-    def _table(self, rows: list[tuple], smooth: float) -> tuple[dict[str, int], np.ndarray]:
-        counts = np.array([[c or 0 for c in r[1:]] for r in rows], np.float64).reshape(len(rows), len(self.langs)) + smooth
-        return {r[0]: i for i, r in enumerate(rows)}, np.log(counts / counts.sum(axis=0)) if len(rows) else counts
+        counts = {w: np.array([c or 0 for c in n], np.float64) for w, *n in words}
+        self.words, self.word_logs = self._table(counts, smooth)
+        if grams is None:
+            by_gram: dict[str, np.ndarray] = {}
+            for w, c in counts.items():
+                padded = f"_{w}_"
+                for n in GRAMS:
+                    for i in range(len(padded) - n + 1):
+                        g = padded[i : i + n]
+                        if g in by_gram:
+                            by_gram[g] += c
+                        else:
+                            by_gram[g] = c.copy()
+        else:
+            by_gram = {g: np.array([c or 0 for c in n], np.float64) for g, *n in grams}
+        self.grams, self.gram_logs = self._table(by_gram, smooth)
+
+    def _table(self, rows: dict[str, np.ndarray], smooth: float) -> tuple[dict[str, int], np.ndarray]:
+        names = sorted(rows)
+        counts = np.array([rows[r] for r in names], np.float64).reshape(len(names), len(self.langs)) + smooth
+        return {r: i for i, r in enumerate(names)}, (np.log(counts / counts.sum(axis=0)) if names else counts).astype(np.float32)
 
     def unseen(self, word: str) -> np.ndarray:
         padded = f"_{word}_"
         for n in GRAMS:
             at = [self.grams[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in self.grams]
             if at:
-                return self.gram_logs[at].mean(axis=0)
+                return self.gram_logs[at].mean(axis=0, dtype=np.float64)
         return np.zeros(len(self.langs))
 
-    def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
-        if not text or not self.langs or not any(map(str.isalpha, text)):
-            return "und", 0.0
-        known_at, known_n, total, n = [], [], np.zeros(len(self.langs)), 0
-        for word, c in Counter(WORD.findall(text.lower())).items():
-            n += c
-            at = self.words.get(word)
-            if at is not None:
-                known_at.append(at)
-                known_n.append(c)
-                continue
-            if word not in cache:
-                if len(cache) > 50_000:
+    def score_words(self, words: list[str], cache: dict[str, np.ndarray]) -> np.ndarray:
+        """The score of each word in each language: its own log frequencies, or those of its n-grams."""
+        at = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        out = self.word_logs[at].astype(np.float64) if len(self.words) else np.zeros((len(words), len(self.langs)))
+        for i in np.flatnonzero(at < 0).tolist():
+            w = words[i]
+            if w not in cache:
+                if len(cache) >= CACHE:
                     cache.clear()
-                cache[word] = self.unseen(word)
-            total += c * cache[word]
-        if known_at:
-            total += np.array(known_n, np.float64) @ self.word_logs[known_at]
-        total *= min(1.0, EVIDENCE / max(n, 1))
-        p = np.exp(total - total.max())
-        best = int(p.argmax())  # the first of equals: languages are in order
-        return self.langs[best], float(p[best] / p.sum())
-
-
-def _grams(padded: Column, n: int) -> Column:
-    """All n-grams of a padded word, repeats included."""
-    return F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substr(padded, i, F.lit(n)))).otherwise(F.array())
-
-
-def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", sample_key: Column | None = None, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+                cache[w] = self.unseen(w)
+            out[i] = cache[w]
+        return out
+
+    def predict(self, texts: pa.Array, cache: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        n, k = len(texts), len(self.langs)
+        if not k:
+            return ["und"] * n, np.zeros(n)
+        at, words = words_of(texts)
+        coded = pc.dictionary_encode(words)
+        scores = self.score_words(coded.dictionary.to_pylist(), cache)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        total = np.stack([np.bincount(at, weights=scores[codes, i], minlength=n) for i in range(k)], axis=1)
+        count = np.bincount(at, minlength=n)
+        total = total * np.minimum(1.0, EVIDENCE / np.maximum(count, 1))[:, None]
+        p = np.exp(total - total.max(axis=1, keepdims=True))
+        best = p.argmax(axis=1)  # the first of equals: languages are in order
+        score = np.where(count > 0, p[np.arange(n), best] / p.sum(axis=1), 0.0)
+        return [self.langs[b] if c else "und" for b, c in zip(best.tolist(), count.tolist())], score
+
+
+def drawn_share(sample_docs: int, n: int) -> int:
+    """The bound below which a 63-bit hash falls for about sample_docs of n documents, exactly; all of them if n is no more."""
+    return (1 << 63) - 1 if n <= sample_docs else (sample_docs << 63) // n
+
+
+def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", sample_key: Column | None = None, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model of docs where train holds and text and language aren't null.
 
     About sample_docs documents of each language are drawn by the hash of sample_key (the text by default), so the draw
-    doesn't depend on how the table is stored. Counting is distributed; what comes to the driver is bounded by max_words and max_grams.
+    doesn't depend on how the table is stored. What comes to the driver is one count for each language and the sample's
+    words, all of them: the model is bounded by sample_docs for each language.
     """
-    key = F.xxhash64(sample_key if sample_key is not None else F.col(text))
+    key = F.xxhash64(sample_key if sample_key is not None else F.col(text)).bitwiseAND(F.lit((1 << 63) - 1))
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), key.alias("key"), train.alias("train")).where("train and lang is not null and text is not null")
     per_lang = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(per_lang)
     if not langs:
-        return Model([], [], [])
-    part = F.lit(0)
+        return Model([], [])
+    part = F.lit(0).cast("long")
     for name in langs:
-        part = F.when(F.col("lang") == name, F.lit(math.ceil(1_000_000 * min(1.0, sample_docs / per_lang[name])))).otherwise(part)
-    drawn = rows.where(F.pmod("key", F.lit(1_000_000)) < part)
-    found = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("w"))
-    per = [F.sum(F.when(F.col("lang") == name, F.col("n"))).alias(f"n{i}") for i, name in enumerate(langs)]
-    words = found.groupBy("lang", "w").agg(F.count("*").alias("n")).groupBy("w").agg(*per, F.sum("n").alias("all")).persist()
-    padded = F.concat(F.lit("_"), F.col("w"), F.lit("_"))
-    cut = [_grams(padded, n) for n in GRAMS]
-    grams = words.select(F.explode(F.flatten(F.array(*cut))).alias("g"), *[f"n{i}" for i in range(len(langs))], "all")
-    grams = grams.groupBy("g").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))], F.sum("all").alias("all"))
-    top = [words.where("all > 1").orderBy(F.desc("all"), "w").limit(max_words), grams.orderBy(F.desc("all"), "g").limit(max_grams)]
-    known, known_grams = ([tuple(r)[:-1] for r in t.collect()] for t in top)
-    words.unpersist()
-    return Model(langs, known, known_grams)
+        part = F.when(F.col("lang") == name, F.lit(drawn_share(sample_docs, per_lang[name])).cast("long")).otherwise(part)
+    drawn = rows.where(F.col("key") <= part).select("lang", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, part in _sliced(b.column(1)):
+                at, words = words_of(part)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + start)), words], names=["lang", "w"])
+
+    counted = drawn.mapInArrow(cut, "lang string, w string").groupBy("w", "lang").agg(F.count("*").alias("n")).collect()
+    number, words = {name: i for i, name in enumerate(langs)}, {}
+    for r in counted:
+        words.setdefault(r.w, [0] * len(langs))[number[r.lang]] = r.n
+    return Model(langs, [(w, *n) for w, n in words.items()])
+
+
+def _sliced(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    start = 0
+    for part in chunks(texts):
+        yield start, part
+        start += len(part)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` of docs with lang_pred and score. und with score 0 for a null text, one without letters, and
     where the model has learned no language. Equal texts get equal results; equal scores go to the first language in order.
+    Very long texts are read whole, each as a slice by itself. An empty table gives an empty result.
     Columns of docs named lang_pred and score, if not in keep, don't clash."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by max_words and max_grams
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by the sample
     rows = docs.select(*keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, cache = Model.__new__(Model), {}
         vars(m).update(shared.value)
         for b in batches:
-            got = [m.predict(t.as_py(), cache) for t in b.column(b.num_columns - 1)]
-            cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            for start, part in _sliced(b.column(b.num_columns - 1)):
+                names, scores = m.predict(part, cache)
+                kept = [c.slice(start, len(part)) for c in b.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores)], names=[*b.schema.names[:-1], "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, (schema + ", " if schema else "") + "lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model, text: str = "text", min_score: float = 0.3) -> DataFrame:
-    """docs without the rows whose language isn't told: und, or a score below min_score. Columns unchanged."""
+def chance_margin(languages: int, margin: float = 0.05) -> float:
+    """The score that lies `margin` of the way from chance, 1 / languages, to certainty; 0 if there are no languages."""
+    return 1 / languages + margin * (1 - 1 / languages) if languages else 0.0
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", margin: float = 0.05) -> DataFrame:
+    """docs without the rows whose language isn't told: und, or a score hardly above chance, whatever the number of
+    languages (see chance_margin). Columns unchanged, whatever their names."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text)
     found = predict(docs.toDF(*names), model, names, names[at])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    told = (F.col("lang_pred") != "und") & (F.col("score") >= chance_margin(len(model.langs), margin))
+    return found.where(told).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import drop_staged, row_key, stage, word_count
+from paperloom.llm.common import drop_staged, row_hashes, stage, word_count
 
 #: Children of a block in the reduction tree.
 FAN_IN = 64
@@ -109,17 +109,18 @@ def allocate(units: DataFrame, rates: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def _units(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
-    rows = docs.select(F.col(source).alias("source"), *row_key(F.col(id_col), F.col(text)), word_count(F.col(text)).alias("s"))
-    return rows.groupBy("source", F.col("k_id").alias("id"), F.col("k_text").alias("t"), F.col("k_crc").alias("c"), "s").agg(F.count("*").alias("m"))
+    rows = docs.select(F.col(source).alias("source"), F.col(id_col).alias("id"), *[c.alias(n) for n, c in zip("tc", row_hashes(docs))], word_count(F.col(text)).alias("s"))
+    return rows.groupBy("source", "id", "t", "c", "s").agg(F.count("*").alias("m"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(allocation, targets). allocation: source, id, t, c (hashes of the text), s (words), m (rows), total (copies of
+    """(allocation, targets). allocation: source, id, t, c (hashes of the whole row), s (words), m (rows), total (copies of
     the m rows together, none of them above cap rounded up); targets: source, source_size, weight, target.
 
     A null text has size 0; null sources form one source, last in order; null ids are ids like any other. Rows that
-    agree on source, id and text are repeats and share their copies. If all sizes are 0, targets are 0 and nothing is
-    taken. An empty table gives empty results. Only these three columns are read, so others can't clash.
+    are equal in all columns are repeats and share their copies; rows that differ in any are units of their own. Texts are
+    read whole, at any length. If all sizes are 0, targets are 0 and nothing is taken. An empty table gives empty results.
+    Other columns only enter the hashes, so their names can't clash.
     """
     units = stage(_units(docs, id_col, text, source), "mix-units")
     sums = stage(units.groupBy("source").agg(F.sum(F.col("s") * F.col("m")).cast("long").alias("source_size"), F.count("*").alias("n_units")), "mix-sizes")
@@ -149,12 +150,15 @@ def taken_rows(allocation: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **params) -> DataFrame:
-    """The mixture itself: the rows of docs, each as often as its copies say, columns unchanged. Rows that agree on
-    source, id and text are copies of the first of them."""
+    """The mixture itself: the rows of docs, each as often as its copies say, columns unchanged. Rows that are equal in all
+    columns share their copies; each copy of a row is that row, whole. Rows are shuffled once."""
     allocation, _ = mix(docs, id_col, text, source, **params)
-    a = stage(allocation.where("total > 0").select(F.col("source").alias("k_source"), F.col("id").alias("k_id"), F.col("t").alias("k_text"), F.col("c").alias("k_crc"), "total"), "mix-allocation")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).alias("d_source"), *[c.alias(f"d_{i}") for i, c in enumerate(row_key(F.col(id_col), F.col(text)))])
-    cond = rows.d_source.eqNullSafe(a.k_source) & rows.d_0.eqNullSafe(a.k_id) & rows.d_1.eqNullSafe(a.k_text) & (rows.d_2 == a.k_crc)
-    one = rows.join(a, cond).groupBy("k_source", "k_id", "k_text", "k_crc").agg(F.first("row").alias("row"), F.first("total").alias("total"))
+    a = stage(allocation.where("total > 0").select(F.col("t").alias("r1"), F.col("c").alias("r2"), "m", "total"), "mix-allocation")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *row_hashes(docs))
+    one = rows.join(a.where("m = 1"), ["r1", "r2"]).select("row", "total")
+    repeats = a.where("m > 1")
+    if not repeats.isEmpty():  # equal throughout: any of them stands for all; combined before they are shuffled
+        again = rows.join(repeats, ["r1", "r2"]).groupBy("r1", "r2").agg(F.first("row").alias("row"), F.first("total").alias("total"))
+        one = one.union(again.select("row", "total"))
     outer, inner = _explode_count(F.col("total"))
     return one.select("row", "total", F.explode(outer).alias("b")).select("row", F.explode(inner).alias("j")).select("row.*")

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import drop_staged, row_key, same_key, stage
+from paperloom.llm.common import drop_staged, row_hashes, row_key, stage
 from paperloom.llm.components import connected_components
 
 SEED = 42
@@ -159,16 +159,18 @@ def _with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """One row for each row of docs: doc_id, k_text and k_crc (hashes of the text), fp (signed long), component_id.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, extra: list[Column] = ()) -> DataFrame:
+    """One row for each row of docs: doc_id, k_text and k_crc (hashes of the text), the columns `extra`, fp (signed long), component_id.
 
     component_id is the smallest id reachable over links between fingerprints at radius or fewer differing bits, the
     row's own included; null ids are skipped (null if a component has no other). Null and blank texts have
-    fingerprint zero and are linked like any other. Repeated rows are kept, each with the same class. An empty table
-    gives an empty result. Only id, text and derived columns are read, so other columns can't clash.
+    fingerprint zero and are linked like any other; very long texts are read whole, in parts of 65,536 shingles. Repeated
+    rows are kept, each with the same class. An empty table gives an empty result. Only id, text and derived columns are
+    read, so other columns can't clash.
     """
-    keyed = docs.select(*row_key(F.col(id_col), F.col(text)), F.col(text).alias("__t"))
-    fps = stage(fingerprints(keyed, "__t", ["k_id", "k_text", "k_crc"], width), "fingerprints")
+    keyed = docs.select(*row_key(F.col(id_col), F.col(text)), *extra, F.col(text).alias("__t"))
+    names = keyed.columns[:-1]
+    fps = stage(fingerprints(keyed, "__t", names, width), "fingerprints")
     classes = stage(fps.groupBy("fp").agg(F.min("k_id").alias("least_id")), "classes")
     roots = connected_components(links(classes, radius))
     rooted = stage(roots.join(classes, roots.node == classes.fp).select("fp", "root", "least_id"), "rooted")
@@ -176,23 +178,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     linked = rooted.join(least, "root").select(F.col("fp").alias("linked_fp"), "component_id")
     of_class = stage(classes.join(linked, classes.fp == F.col("linked_fp"), "left").select("fp", F.when(F.col("linked_fp").isNotNull(), F.col("component_id")).otherwise(F.col("least_id")).alias("component_id")), "class-components")
     drop_staged(rooted, least, classes)
-    return fps.join(of_class, "fp").select(F.col("k_id").alias(id_col), "k_text", "k_crc", "fp", "component_id")
+    return fps.join(of_class, "fp").select(F.col("k_id").alias(id_col), *names[1:], "fp", "component_id")
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """docs with one row of each near-duplicate class: the one with the smallest id, then the smallest text hash.
-    A class whose ids are all null keeps one row as well. Columns are those of docs."""
-    found = stage(near_duplicates(docs, id_col, text, width, radius), "dedup")
+    """docs with one row of each near-duplicate class: the one with the smallest id, then the smallest text hash, then the
+    smallest row hash. A class whose ids are all null keeps one row as well. Columns are those of docs."""
+    found = stage(near_duplicates(docs, id_col, text, width, radius, row_hashes(docs)), "dedup")
     # one key for each class; the fingerprint names a class whose ids are all null
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]
-    keys = found.groupBy(*[c.alias(n) for c, n in zip(group, ("g_id", "g_fp"))]).agg(F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("k_id"), "k_text", "k_crc")).alias("k"))
-    keys = stage(keys.select("k.k_id", "k.k_text", "k.k_crc"), "kept")
+    group = [F.col("component_id").alias("g_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("g_fp")]
+    kept = stage(least_rows(found.select(*group, F.col(id_col).alias("k_id"), "k_text", "r1", "r2"), ["g_id", "g_fp"]), "kept")
     drop_staged(found)
-    return keep_rows(docs, keys, id_col, text)
+    return keep_rows(docs, kept)
 
 
-def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str, text: str) -> DataFrame:
-    """docs with one row for each of keys (k_id, k_text, k_crc)."""
-    marked = docs.select(F.struct(*docs.columns).alias("row"), *row_key(F.col(id_col), F.col(text)))
-    kept = marked.join(keys, same_key(marked, keys, ["k_id", "k_text", "k_crc"]), "left_semi")
-    return kept.groupBy("k_id", "k_text", "k_crc").agg(F.first("row").alias("row")).select("row.*")
+def least_rows(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(r1, r2, m) of each group's least row by id (nulls last), text hash and row hash; m counts its repeats.
+    rows: the columns of group, k_id, k_text, r1, r2. Both steps combine before they shuffle."""
+    per_row = rows.groupBy(*group, "k_id", "k_text", "r1", "r2").agg(F.count("*").alias("m"))
+    first = F.min(F.struct(F.col("k_id").isNull().alias("z"), "k_id", "k_text", "r1", "r2", "m")).alias("k")
+    return per_row.groupBy(*group).agg(first).select("k.r1", "k.r2", "k.m")
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs whose row hashes are in keys (r1, r2, m), once each; m is the number of rows that share them.
+
+    A row without repeats passes a semi join. Repeats are equal in every column, so that any of them stands for all, and
+    they are combined before they are shuffled.
+    """
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *row_hashes(docs))
+    single = rows.join(keys.where("m = 1"), ["r1", "r2"], "left_semi").select("row")
+    repeats = keys.where("m > 1")
+    if repeats.isEmpty():
+        return single.select("row.*")
+    again = rows.join(repeats, ["r1", "r2"], "left_semi").groupBy("r1", "r2").agg(F.first("row").alias("row"))
+    return single.union(again.select("row")).select("row.*")

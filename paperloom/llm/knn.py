@@ -1,13 +1,11 @@
 """Exact top-k search by inner product as a Voronoi kNN join (after Lu et al., 2012).
 
-Rows and queries are put into the cell of the nearest of a bounded set of pivots. Per cell a summary is kept: the
-radius and the distances of its k + 1 rows nearest the pivot. From the summaries alone the driver derives, for each
-cell of queries, a score that each query is sure to reach k times, and for each pair of cells the best score that
-any pair of members can have. A cell of rows is sent only to groups of query cells that may need it. There, blocks
-of bounded size are solved exactly with matrix products; a last merge keeps k of each query's local results.
-
-For a query y and a row x with pivots p and q, y = p + d, x = q + e: the inner product differs from p.q by at most
-|p||e| + |q||d| + |d||e|.
+Rows are put into the cell of the nearest pivot; pivots are rows picked by hash, and their number grows with the root of
+the table. Cells are packed with their neighbours into blocks of bounded size, and a larger cell is cut into several. Each
+query is first solved against the block of its own cell, which gives a score that it is sure to reach k times. A cell with
+pivot p and radius r (the greatest distance of its rows from p) holds no score above y.p + |y| r for a query y; so a
+query goes on only to blocks with a cell that may beat its own k-th score, and never to its first block again. Units of one
+block and a bounded number of queries are solved exactly with matrix products; a last merge keeps k of each query's results.
 """
 
 from __future__ import annotations
@@ -15,17 +13,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import stage
+from paperloom.llm.common import drop_staged, stage
 
-#: Pivots at most: the summaries that the driver holds have this many cells, and their pairs.
-MAX_PIVOTS = 256
-#: Queries in a group, and rows in a block, about.
+#: Queries of a unit, and rows of a block, about.
 GROUP_QUERIES, BLOCK_ROWS = 2048, 8192
 
 
@@ -78,117 +73,150 @@ def best(score: np.ndarray, ids: np.ndarray, rids: np.ndarray, k: int) -> np.nda
     return at[np.lexsort((rids[at], ids[at], -score[at].astype(np.float64) if np.abs(score[at]).max(initial=0) < 2**53 else np.array([-int(s) for s in score[at]], object)))]
 
 
-def plan_groups(pivots: np.ndarray, cells: pd.DataFrame, near: dict[int, list[float]], k: int, group_queries: int) -> tuple[dict[int, int], dict[int, list[int]]]:
-    """From summaries: the group of each query cell, and the groups that each cell of rows is sent to.
+def plan_blocks(pivots: np.ndarray, counts: dict[int, int], block_rows: int) -> dict[int, tuple[int, int]]:
+    """For each cell its first block and its number of blocks: small cells share a block with neighbours, a large one is cut.
 
-    cells has cell, rows, radius, queries, query_radius; near has the distances of the rows nearest each pivot, at most k + 1.
+    Neighbours are cells next to one another in the order of a projection of their pivots.
     """
-    q = cells[cells.queries > 0]
-    # huge components may overflow to infinities here; a bound that isn't a number then excludes nothing
+    cells = sorted(counts)
     with np.errstate(over="ignore", invalid="ignore"):
-        norm, dot = np.linalg.norm(pivots, axis=1).tolist(), (pivots @ pivots.T).tolist()
-    eps = 1e-6 * (1 + max(abs(v) for r in dot for v in r))
-    order = [int(c) for c in q.sort_values("cell").cell]
-    # neighbouring query cells share a group: a walk from each cell to the nearest that is left
-    walk = []
-    while order:
-        at = min(order, key=lambda c: (np.linalg.norm(pivots[c] - pivots[walk[-1]]) if walk else 0, c))
-        order.remove(at)
-        walk.append(at)
-    count = dict(zip(q.cell.astype(int), q.queries))
-    group, g, filled = {}, 0, 0
-    for c in walk:
-        if filled and filled + count[c] > group_queries:
-            g, filled = g + 1, 0
-        group[c], filled = g, filled + count[c]
-    to: dict[int, set[int]] = {int(c): set() for c in cells.cell}
-    radius = dict(zip(cells.cell.astype(int), cells.radius))
-    for i, rho in zip(q.cell.astype(int), q.query_radius):
-        low = (dot[i][j] - norm[j] * rho - norm[i] * d - rho * d for j, ds in near.items() for d in ds)
-        sure = sorted((v if v == v else -np.inf for v in low), reverse=True)
-        # one of the rows may be the query itself
-        floor = sure[k] - eps if len(sure) > k else -np.inf
-        for j, r in radius.items():
-            if not dot[i][j] + norm[j] * rho + norm[i] * r + rho * r + eps < floor:
-                to[j].add(group[i])
-    return group, {j: sorted(v) for j, v in to.items()}
-
-
-def _arrow_type(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
-
-
-def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, scale: float = 64.0, pivots: int | None = None, group_queries: int = GROUP_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query row the k rows with the highest inner products of integer vectors.
-
-    A query's own row takes no part, other rows with the same id or vector do; equal scores go to the smaller id
-    (nulls last). Ids are bigint, int or string. With fewer rows than k all are returned; an empty table gives an empty result. Vectors of unequal
-    length are padded with zeros. Only id, vector and the query condition are read, so other columns can't clash.
-    """
-    spark = df.sparkSession
-    id_type = df.select(F.col(id_col)).schema[0].dataType.simpleString()
-    packed = integer_vectors(df, id_col, vec_col, is_query, scale)
-    rows = stage(packed.withColumn("rid", F.monotonically_increasing_id()), "vectors")
-    n, n_q, dim = rows.agg(F.count("*"), F.count_if("is_query"), F.max(F.expr("length(v) div 8"))).first()
-    if not n or not n_q:
-        return spark.createDataFrame([], f"query_id {id_type}, rank int, vec_id {id_type}, score long")
-    dim = max(int(dim), 1)
-    wanted = pivots or min(MAX_PIVOTS, max(1, int(n**0.5 / 4)))
-    # pivots are distinct rows, picked by hash: a bounded number
-    picked = rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(wanted).collect()
-    p = matrix([bytes(r.v) for r in picked], dim)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = matrix(b.column("v").to_pylist(), dim)
-            with np.errstate(over="ignore", invalid="ignore"):
-                cell = np.nan_to_num((x**2).sum(1)[:, None] - 2 * x @ p.T + (p**2).sum(1)[None, :], nan=np.inf).argmin(axis=1)
-                dist = np.linalg.norm(x - p[cell], axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(dist, pa.float64())], names=[*b.schema.names, "cell", "dist"])
+        spread = pivots[cells] - pivots[cells].mean(axis=0)
+        axis = spread.T @ (spread @ np.ones(spread.shape[1]))
+        order = np.argsort(np.nan_to_num(spread @ axis), kind="stable")
+    out, block, filled = {}, 0, 0
+    for c in (cells[i] for i in order):
+        parts = -(-counts[c] // block_rows)
+        if parts > 1:
+            if filled:
+                block, filled = block + 1, 0
+            out[c], block = (block, parts), block + parts
+            continue
+        if filled and filled + counts[c] > block_rows:
+            block, filled = block + 1, 0
+        out[c], filled = (block, 1), filled + counts[c]
+    return out
 
-    dealt = stage(rows.mapInArrow(assign, f"vec_id {id_type}, is_query boolean, v binary, rid long, cell int, dist double"), "cells")
-    cells = dealt.groupBy("cell").agg(F.count("*").alias("rows"), F.max("dist").alias("radius"), F.count_if("is_query").alias("queries"), F.max(F.when(F.col("is_query"), F.col("dist"))).alias("query_radius"))
-    nearest = dealt.select("cell", "dist", F.row_number().over(W.partitionBy("cell").orderBy("dist")).alias("n")).where(f"n <= {k + 1}")
-    near: dict[int, list[float]] = {}
-    for r in nearest.collect():  # at most MAX_PIVOTS * (k + 1) numbers
-        near.setdefault(r.cell, []).append(r.dist)
-    summary = pd.DataFrame([r.asDict() for r in cells.collect()])
-    group, to = plan_groups(p, summary, near, k, group_queries)
-    # a large query cell is split, and cells of rows are packed into blocks of about block_rows
-    parts = {c: max(1, -(-int(m) // group_queries)) for c, m in zip(summary.cell, summary.queries) if m}
-    n_blocks = max(1, -(-int(n) // block_rows))
-    block = F.pmod(F.xxhash64("rid"), F.lit(n_blocks)).cast("int")
-    splits = {}
-    for c, g in group.items():
-        splits[g] = max(splits.get(g, 1), parts[c])
-    plan = spark.createDataFrame([(int(c), group.get(int(c)), to[int(c)]) for c in summary.cell], "p_cell int, own int, needed array<int>")
-    split_of = spark.createDataFrame([(g, s) for g, s in splits.items()], "g int, splits int")
-    near_rows = dealt.join(F.broadcast(plan), F.col("cell") == F.col("p_cell"))
-    every_split = F.explode(F.sequence(F.lit(0), F.col("splits") - 1))
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    data = near_rows.select("rid", "vec_id", "v", block.alias("block"), F.explode("needed").alias("g")).join(F.broadcast(split_of), "g")
-    data = data.select("g", every_split.alias("split"), "block", F.lit(False).alias("asks"), "rid", "vec_id", "v")
-    asked = near_rows.where("is_query").select("rid", "vec_id", "v", F.col("own").alias("g")).join(F.broadcast(split_of), "g")
-    asked = asked.select("g", F.expr("cast(pmod(xxhash64(rid), splits) as int)").alias("split"), every_block.alias("block"), F.lit(True).alias("asks"), "rid", "vec_id", "v")
-    out_schema = pa.schema([("q_rid", pa.int64()), ("query_id", _arrow_type(id_type)), ("rid", pa.int64()), ("vec_id", _arrow_type(id_type)), ("score", pa.int64())])
 
+def _solve(k: int, dim: int):
     def solve(t: pa.Table) -> pa.Table:
         asks, rid, ids = t.column("asks").to_numpy(), t.column("rid").to_numpy(), t.column("vec_id").to_pylist()
         place = {v: n for n, v in enumerate(sorted({v for v in ids if v is not None}))}
         order = np.array([place.get(v, len(place)) for v in ids], np.int64)
-        rows_at, query_at, blobs = np.flatnonzero(~asks), np.flatnonzero(asks), t.column("v").to_pylist()
-        out = []
+        rows_at, query_at, blobs = np.flatnonzero(~asks), np.flatnonzero(asks), t.column("v")
+        asked, found, scores = [], [], []
         if len(rows_at):
-            x, xr, xo = matrix([blobs[i] for i in rows_at], dim), rid[rows_at], order[rows_at]
+            x, xr, xo = matrix(blobs.take(pa.array(rows_at)).to_pylist(), dim), rid[rows_at], order[rows_at]
             for s in range(0, len(query_at), 256):
                 part = query_at[s : s + 256]
-                for i, row in zip(part, inner_products(matrix([blobs[i] for i in part], dim), x)):
+                for i, row in zip(part, inner_products(matrix(blobs.take(pa.array(part)).to_pylist(), dim), x)):
                     others = np.flatnonzero(xr != rid[i])
                     at = others[best(row[others], xo[others], xr[others], k)]
-                    out += [(int(rid[i]), ids[i], int(xr[j]), ids[rows_at[j]], int(row[j])) for j in at]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, out_schema)], schema=out_schema)
+                    asked.append(np.full(len(at), i))
+                    found.append(rows_at[at])
+                    scores.append(row[at])
+        q, r, score = (np.concatenate(a) if a else np.empty(0, np.int64) for a in (asked, found, scores))
+        names = t.column("vec_id")
+        return pa.table({"q_rid": rid[q], "query_id": names.take(pa.array(q)), "rid": rid[r], "vec_id": names.take(pa.array(r)), "score": score})
+
+    return solve
+
+
+def _units(data: DataFrame, queries: DataFrame, group_queries: int) -> DataFrame:
+    """Rows of the units (block, split): data (block, rid, vec_id, v) and queries (block, rid, vec_id, v). The queries of a
+    block are split by hash into parts of about group_queries, and only a block that has queries is sent, once for each part."""
+    splits = stage(queries.groupBy(F.col("block").alias("s_block")).agg(F.ceil(F.count("*") / group_queries).cast("int").alias("splits")), "splits")
+    at = lambda df: df.join(splits, df.block == splits.s_block)
+    cols = ["rid", "vec_id", "v"]
+    asked = at(queries).select("block", F.expr("cast(pmod(xxhash64(rid), splits) as int)").alias("split"), F.lit(True).alias("asks"), *cols)
+    rows = at(data).select("block", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), F.lit(False).alias("asks"), *cols)
+    return asked.union(rows)
+
+
+def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, scale: float = 64.0, pivots: int | None = None, group_queries: int = GROUP_QUERIES, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame] | None:
+    """(results, visits): local results (q_rid, query_id, rid, vec_id, score), and the blocks that each query visits (rid,
+    block, rows). None if there are no rows or no queries."""
+    packed = integer_vectors(df, id_col, vec_col, is_query, scale)
+    id_type = packed.schema["vec_id"].dataType.simpleString()
+    rows = stage(packed.withColumn("rid", F.monotonically_increasing_id()), "vectors")
+    n, n_q, dim = rows.agg(F.count("*"), F.count_if("is_query"), F.max(F.expr("length(v) div 8"))).first()
+    if not n or not n_q:
+        return None
+    dim = max(int(dim), 1)
+    wanted = pivots or max(1, int(n**0.5 / 4))
+    # pivots are rows picked by hash, about the root of their number
+    picked = rows.select("v", F.xxhash64("v", "vec_id").alias("h")).orderBy("h", "v").limit(2 * wanted).select("v").distinct().collect()
+    p = matrix(sorted(bytes(r.v) for r in picked)[:wanted], dim)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells, dists = [], []
+            for s in range(0, b.num_rows, 1024):
+                x = matrix(b.column("v").slice(s, 1024).to_pylist(), dim)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    cell = np.nan_to_num((x**2).sum(1)[:, None] - 2 * x @ p.T + (p**2).sum(1)[None, :], nan=np.inf).argmin(axis=1)
+                    dists.append(np.linalg.norm(x - p[cell], axis=1))
+                cells.append(cell)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(cells or [[]]), pa.int32()), pa.array(np.concatenate(dists or [[]]), pa.float64())], names=[*b.schema.names, "cell", "dist"])
 
-    units = asked.union(data).groupBy("g", "split", "block")
-    local = units.applyInArrow(solve, f"q_rid long, query_id {id_type}, rid long, vec_id {id_type}, score long")
+    dealt = stage(rows.mapInArrow(assign, f"vec_id {id_type}, is_query boolean, v binary, rid long, cell int, dist double"), "cells")
+    drop_staged(rows)
+    # a row for each cell: at most as many as pivots
+    cells = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()
+    blocks = plan_blocks(p, {r.cell: r.n for r in cells}, block_rows)
+    radius, rows_of = {r.cell: r.radius for r in cells}, {}
+    for r in cells:
+        first, parts = blocks[r.cell]
+        for b in range(first, first + parts):
+            rows_of[b] = rows_of.get(b, 0) + r.n // parts
+    plan = df.sparkSession.createDataFrame([(c, *v) for c, v in blocks.items()], "p_cell int, first int, parts int")
+    placed = stage(dealt.join(F.broadcast(plan), F.col("cell") == F.col("p_cell")).select("vec_id", "is_query", "v", "rid", (F.col("first") + F.pmod(F.xxhash64("rid"), "parts")).cast("int").alias("block")), "blocks")
+    drop_staged(dealt)
+    queries = placed.where("is_query").select("block", "rid", "vec_id", "v")
+    schema = f"q_rid long, query_id {id_type}, rid long, vec_id {id_type}, score long"
+    own = _units(placed.select("block", "rid", "vec_id", "v"), queries, group_queries).groupBy("block", "split").applyInArrow(_solve(k, dim), schema)
+    own = stage(own, "own-block")
+    floors = own.groupBy("q_rid").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    asking = queries.join(floors, queries.rid == floors.q_rid, "left").select("rid", "vec_id", "v", "block", "floor")
+    order = sorted(blocks)
+    centre, reach = p[order], np.array([radius[c] for c in order])
+    first, parts = (np.array([blocks[c][i] for c in order], np.int64) for i in (0, 1))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                y, visits = matrix(part.column("v").to_pylist(), dim), []
+                with np.errstate(over="ignore", invalid="ignore"):
+                    norm = np.linalg.norm(y, axis=1)
+                    # huge components may overflow; a bound that isn't a number excludes nothing
+                    most = y @ centre.T + norm[:, None] * reach[None, :]
+                    most += 1e-9 * (np.abs(most) + norm[:, None] * np.linalg.norm(centre, axis=1)[None, :]) + 1e-6
+                for i, (floor, home) in enumerate(zip(part.column("floor").to_pylist(), part.column("block").to_pylist())):
+                    go = np.ones(len(order), bool) if floor is None else ~(most[i] < floor)
+                    to = np.unique(np.concatenate([np.arange(f, f + m) for f, m in zip(first[go], parts[go])] or [np.empty(0, np.int64)]))
+                    visits.append(to[to != home].astype(np.int32))
+                of = pa.array(np.repeat(np.arange(len(visits)), [len(v) for v in visits]))
+                to = pa.array(np.concatenate(visits), pa.int32())
+                yield pa.RecordBatch.from_arrays([to, *(part.column(c).take(of) for c in ("rid", "vec_id", "v"))], names=["block", "rid", "vec_id", "v"])
+
+    further = stage(asking.mapInArrow(needed, f"block int, rid long, vec_id {id_type}, v binary"), "visits")
+    others = _units(placed.select("block", "rid", "vec_id", "v"), further, group_queries).groupBy("block", "split").applyInArrow(_solve(k, dim), schema)
+    sizes = df.sparkSession.createDataFrame(list(rows_of.items()), "n_block int, rows long")
+    visits = queries.select("block", "rid").union(further.select("block", "rid")).join(F.broadcast(sizes), F.col("block") == F.col("n_block")).select("rid", "block", "rows")
+    return own.union(others), visits
+
+
+def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, **params) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query row the k rows with the highest inner products of integer vectors.
+
+    A query's own row takes no part, other rows with the same id or vector do; equal scores go to the smaller id
+    (nulls last). Ids may be of any type that has an order. With fewer rows than k all are returned; an empty table gives an
+    empty result. Vectors of unequal length are padded with zeros, long ones are read whole. Only id, vector and the query
+    condition are read, so other columns can't clash. params are those of `search`.
+    """
+    found = search(df, is_query, id_col, vec_col, k, **params)
+    if found is None:
+        id_type = df.select(F.col(id_col)).schema[0].dataType.simpleString()
+        return df.sparkSession.createDataFrame([], f"query_id {id_type}, rank int, vec_id {id_type}, score long")
     rank = F.row_number().over(W.partitionBy("q_rid").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "rid"))
-    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found[0].withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

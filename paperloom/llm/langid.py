@@ -51,53 +51,67 @@ def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[pa.Array]:
         start = stop
 
 
+def _grams(padded: str, n: int) -> list[str]:
+    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+
+
 class Model:
     """Languages, and log frequencies of words and n-grams: one row of a matrix for each."""
 
     def __init__(self, langs: list[str], words: list[tuple], grams: list[tuple] | None = None, smooth: float = 0.5):
         """words: (word, count in each language); grams alike, by default those of the words."""
         self.langs = langs
-        counts = {w: np.array([c or 0 for c in n], np.float64) for w, *n in words}
-        self.words, self.word_logs = self._table(counts, smooth)
+        self.words, counts = self._counts(words)
         if grams is None:
-            by_gram: dict[str, np.ndarray] = {}
-            for w, c in counts.items():
-                padded = f"_{w}_"
-                for n in GRAMS:
-                    for i in range(len(padded) - n + 1):
-                        g = padded[i : i + n]
-                        if g in by_gram:
-                            by_gram[g] += c
-                        else:
-                            by_gram[g] = c.copy()
+            self.grams, of_word, found = {}, [], []
+            for k, w in enumerate(self.words):
+                at = [self.grams.setdefault(g, len(self.grams)) for n in GRAMS for g in _grams(f"_{w}_", n)]
+                found += at
+                of_word.append(len(at))
+            weights = counts[np.repeat(np.arange(len(of_word)), of_word)]
+            gram_counts = np.stack([np.bincount(np.array(found, np.int64), weights[:, k], len(self.grams)) for k in range(len(langs))], axis=1) if langs else np.zeros((0, 0))
         else:
-            by_gram = {g: np.array([c or 0 for c in n], np.float64) for g, *n in grams}
-        self.grams, self.gram_logs = self._table(by_gram, smooth)
-
-    def _table(self, rows: dict[str, np.ndarray], smooth: float) -> tuple[dict[str, int], np.ndarray]:
-        names = sorted(rows)
-        counts = np.array([rows[r] for r in names], np.float64).reshape(len(names), len(self.langs)) + smooth
-        return {r: i for i, r in enumerate(names)}, (np.log(counts / counts.sum(axis=0)) if names else counts).astype(np.float32)
-
-    def unseen(self, word: str) -> np.ndarray:
-        padded = f"_{word}_"
-        for n in GRAMS:
-            at = [self.grams[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in self.grams]
-            if at:
-                return self.gram_logs[at].mean(axis=0, dtype=np.float64)
-        return np.zeros(len(self.langs))
+            self.grams, gram_counts = self._counts(grams)
+        self.word_logs, self.gram_logs = self._logs(counts, smooth), self._logs(gram_counts, smooth)
+
+    def _counts(self, rows: list[tuple]) -> tuple[dict[str, int], np.ndarray]:
+        rows = sorted(rows, key=lambda r: r[0])
+        return {r[0]: i for i, r in enumerate(rows)}, np.array([[c or 0 for c in r[1:]] for r in rows], np.float64).reshape(len(rows), len(self.langs))
+
+    @staticmethod
+    def _logs(counts: np.ndarray, smooth: float) -> np.ndarray:
+        return (np.log((counts + smooth) / (counts + smooth).sum(axis=0)) if len(counts) else counts).astype(np.float32)
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """The score of unseen words: mean log frequencies of the longest n-grams of which some are known, else zeros."""
+        flat, sizes, known = [], [], self.grams.get
+        for w in words:
+            at: list[int] = []
+            for n in GRAMS:
+                if at := [v for g in _grams(f"_{w}_", n) if (v := known(g)) is not None]:
+                    break
+            flat += at
+            sizes.append(len(at))
+        out, some = np.zeros((len(words), len(self.langs))), np.array(sizes, np.int64) > 0
+        if flat:
+            starts = (np.cumsum(sizes) - sizes)[some]
+            out[some] = np.add.reduceat(self.gram_logs[flat].astype(np.float64), starts, axis=0) / np.array(sizes)[some][:, None]
+        return out
 
     def score_words(self, words: list[str], cache: dict[str, np.ndarray]) -> np.ndarray:
         """The score of each word in each language: its own log frequencies, or those of its n-grams."""
         at = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
         out = self.word_logs[at].astype(np.float64) if len(self.words) else np.zeros((len(words), len(self.langs)))
+        new = [i for i in np.flatnonzero(at < 0).tolist() if words[i] not in cache]
+        got = self.unseen([words[i] for i in new])
         for i in np.flatnonzero(at < 0).tolist():
-            w = words[i]
-            if w not in cache:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[w] = self.unseen(w)
-            out[i] = cache[w]
+            if (hit := cache.get(words[i])) is not None:
+                out[i] = hit
+        out[new] = got
+        if len(cache) + len(new) > CACHE:
+            cache.clear()
+        if len(new) <= CACHE:
+            cache.update((words[i], got[k]) for k, i in enumerate(new))
         return out
 
     def predict(self, texts: pa.Array, cache: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:

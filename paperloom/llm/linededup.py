@@ -1,42 +1,30 @@
 """Dedup of multi-line passages by content-defined line chunks, in DataFrame functions only.
 
-A hash rolls over the hashes of each `window` successive lines; where it falls into a fixed share of all values, a chunk
-ends. Boundaries depend on nearby lines alone, so a passage that many documents share is cut alike wherever it stands.
-Chunks of several lines that occur more than once are found by hash, compared byte for byte, and removed but for the
-first occurrence.
+A hash rolls over the hashes of each `window` successive lines; its value modulo `classes` is the class of the line where the
+window starts. At each line a chunk starts that ends before the next line of the same class. So boundaries depend on
+nearby lines alone, wherever a passage stands, and of `classes` + `window` lines in a row, the first line and those after
+it hold a whole chunk: no longer passage is missed. Chunks that occur more than once are found by line hashes, of which equal ones are
+compared byte for byte; each that isn't the first of its bytes is extended line by line, both ways, as long as each two
+neighbouring lines have stood together before. What is removed has two lines or more, and its first occurrence stays.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import row_key, stage
+from paperloom.llm.common import drop_staged, row_key, stage
 
-#: Lines that the rolling hash covers; a chunk ends at about one line in DIVISOR; fewer lines than MIN_LINES stay.
-WINDOW, DIVISOR, MIN_LINES = 2, 4, 2
-HEX = "0123456789abcdef"
+#: Lines that the rolling hash covers, and classes of boundaries.
+WINDOW, CLASSES = 1, 2
+#: Base of the rolling hash.
+BASE = 31
+KEY = ("k_id", "k_text", "k_crc")
 
 
-def chunk_starts(lines: str, hashes: str, window: int, divisor: int) -> Column:
-    """0-based starts of chunks: 0, and each line after a boundary. Columns lines, hashes: texts and hashes of lines."""
-    ends = [c for i, c in enumerate(HEX) if i % divisor == 0]
-    h = F.col(hashes)
-    rolled = lambda i: F.md5(F.array_join(F.slice(h, i - window + 1, F.lit(window)), "").cast("binary"))
-    inner = F.filter(F.sequence(F.lit(1), F.size(hashes) - 1), lambda i: (i >= window) & F.substr(rolled(i), F.lit(1), F.lit(1)).isin(ends))
-    return F.concat(F.array(F.lit(0)), F.when(F.size(lines) > 1, inner).otherwise(F.array().cast("array<int>")))
-
-
-def with_chunks(docs: DataFrame, keep: list[Column | str], text: str, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """keep and chunks: the text's lines as an array of chunks' texts; joined by newlines they are the text again.
-    A null text has none."""
-    df = docs.select(*keep, F.split(F.col(text), "\n", -1).alias("__lines"))
-    df = df.withColumn("__hashes", F.transform("__lines", lambda x: F.md5(x.cast("binary"))))
-    df = df.withColumn("__starts", F.when(F.col("__lines").isNotNull(), chunk_starts("__lines", "__hashes", window, divisor)))
-    n, s = F.size("__lines"), F.col("__starts")
-    cut = F.transform(s, lambda at, i: F.array_join(F.slice(F.col("__lines"), at + 1, F.coalesce(F.get(s, i + 1), n) - at), "\n"))
-    sizes = F.transform(s, lambda at, i: F.coalesce(F.get(s, i + 1), n) - at)
-    return df.withColumn("chunks", F.arrays_zip(cut.alias("chunk"), sizes.alias("n"))).drop("__lines", "__hashes", "__starts")
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(line)
 
 
 def _plain(name: str) -> Column:
@@ -45,39 +33,89 @@ def _plain(name: str) -> Column:
     return F.when(F.col(name).isNotNull(), F.col(name))
 
 
-def repeated(docs: DataFrame, id_col: str, text: str, window: int, divisor: int, min_lines: int) -> DataFrame:
-    """(k_id, k_text, k_crc, pos) of each chunk of at least min_lines lines that isn't the first of its bytes.
-
-    First is the smallest id (nulls last), then text hash, then position. Repeated rows are one occurrence: they share a key.
-    """
-    chunks = with_chunks(docs, [*row_key(F.col(id_col), F.col(text))], text, window, divisor)
-    each = chunks.select("k_id", "k_text", "k_crc", F.posexplode(_plain("chunks")).alias("pos", "c")).where(F.col("c.n") >= min_lines)
-    each = each.select("k_id", "k_text", "k_crc", "pos", F.xxhash64("c.chunk").alias("h"), F.col("c.chunk").alias("chunk"))
-    # by hash first, without texts; repeats of a row don't count
-    at = F.struct(F.col("k_id").isNull().alias("z"), "k_id", "k_text", "k_crc", "pos")
-    often = stage(each.select("h", at.alias("at")).groupBy("h").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo != hi").select(F.col("h").alias("o_h")), "repeated-hashes")
-    found = stage(each.join(often, each.h == often.o_h, "left_semi").select("h", "chunk", at.alias("at")), "repeated-chunks")
-    # then byte for byte: one first occurrence for each text
-    first = stage(found.groupBy("h", "chunk").agg(F.min("at").alias("first")).select(F.col("h").alias("f_h"), F.col("chunk").alias("f_chunk"), "first"), "first-chunks")
-    later = found.join(first, (found.h == first.f_h) & (found.chunk == first.f_chunk)).where("at != first")
-    return later.select("at.k_id", "at.k_text", "at.k_crc", "at.pos").distinct()
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """docs' id and text with removed_chunks, removed_lines and kept_text: the text without chunks that came before.
-
-    A null text stays null; a text whose chunks all go becomes empty. Repeated rows (equal id and text) are treated alike.
+def chunks(docs: DataFrame, id_col: str, text: str, window: int, classes: int) -> DataFrame:
+    """(k_id, k_text, k_crc, i, e, line): each line of each text, with the chunk [i, e) that starts there."""
+    df = docs.where(F.col(text).isNotNull()).select(*row_key(F.col(id_col), F.col(text)), F.split(F.col(text), "\n", -1).alias("lines"))
+    df = df.withColumn("d", F.transform("lines", lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 2), 16, 10).cast("long")))
+    d = F.col("d")
+    rolled = F.transform(d, lambda _, i: F.aggregate(F.slice(d, i + 1, F.lit(window)), F.lit(0).cast("long"), lambda a, x: a * BASE + x) % classes) if window > 1 else F.transform(d, lambda x: x % classes)
+    df = df.withColumn("c", rolled).withColumn("n", F.size("lines"))
+    for k in range(classes):  # the lines of one class, in order: each chunk ends where the next of them starts
+        df = df.withColumn(f"s{k}", F.filter(F.transform("c", lambda c, i: F.when(c == k, i)), lambda i: i.isNotNull()))  # noqa: B023
+    spans = [F.transform(f"s{k}", lambda s, at: F.struct(s.alias("i"), F.coalesce(F.get(F.col(f"s{k}"), at + 1), F.col("n")).alias("e"))) for k in range(classes)]  # noqa: B023
+    df = df.select(*KEY, "lines", F.concat(*spans).alias("spans"))
+    return df.select(*KEY, "lines", F.explode(_plain("spans")).alias("p")).select(*KEY, "p.i", "p.e", F.col("lines")[F.col("p.i")].alias("line"))
+
+
+def repeated_lines(docs: DataFrame, id_col: str, text: str, window: int, classes: int, hashed=line_hash) -> DataFrame:
+    """(k_id, k_text, k_crc, i, e, line): of lines that occur more than once, line being a long that is equal where the bytes are."""
+    each = chunks(docs, id_col, text, window, classes).withColumn("h", hashed(F.col("line")))
+    at = F.struct(*KEY, "i")
+    often = stage(each.select("h", at.alias("at")).groupBy("h").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo != hi").select("h"), "repeated-hashes")
+    # equal hashes are compared byte for byte; texts are combined before they are shuffled
+    texts = each.select("h", "line").join(often, "h", "left_semi").groupBy("h").agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
+    mixed = stage(texts.where("lo != hi").select(F.col("h").alias("m_h")), "mixed-hashes")
+    lines = each.select(*KEY, "i", "e", "h").join(often, "h", "left_semi")
+    if mixed.isEmpty():
+        return stage(lines.select(*KEY, "i", "e", F.col("h").alias("line")).distinct(), "repeated-lines")
+    # some different lines share a hash: those are told apart by their bytes
+    unclear = each.join(mixed, each.h == mixed.m_h, "left_semi")
+    numbered = unclear.select("h", "line").distinct().select(F.col("h").alias("n_h"), F.col("line").alias("n_line"), F.row_number().over(W.partitionBy("h").orderBy("line")).alias("number"))
+    own = unclear.join(numbered, (unclear.h == numbered.n_h) & (unclear.line == numbered.n_line)).select(*KEY, "i", "e", F.struct("h", "number").alias("id"))
+    clear = lines.join(mixed, lines.h == mixed.m_h, "left_anti").select(*KEY, "i", "e", F.struct("h", F.lit(0).alias("number")).alias("id"))
+    every = stage(clear.union(own).distinct(), "told-lines")
+    names = stage(every.select("id").distinct().select(F.col("id").alias("n_id"), F.monotonically_increasing_id().alias("line")), "line-names")
+    return stage(every.join(names, every.id == names.n_id).select(*KEY, "i", "e", "line"), "repeated-lines")
+
+
+def passages(docs: DataFrame, id_col: str, text: str, window: int = WINDOW, classes: int = CLASSES, hashed=line_hash) -> DataFrame:
+    """(k_id, k_text, k_crc, spans): the passages [a, b] of lines of each text that go, in order. A text is named by its keys;
+    rows with equal id and text are one."""
+    lines = repeated_lines(docs, id_col, text, window, classes, hashed)
+    # a text's repeated lines, written: lambdas then read plain columns
+    xs = lines.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("i", "e", "line"))).alias("xs"))
+    xs = stage(xs.select(*KEY, F.transform("xs", lambda x: x["i"]).alias("at"), F.transform("xs", lambda x: x["e"]).alias("end"), F.transform("xs", lambda x: x["line"]).alias("ls")), "repeated-by-text")
+    at, end, ls = F.col("at"), F.col("end"), F.col("ls")
+    # pairs of neighbouring lines, and chunks all of whose lines are repeated, as lists of lines
+    pair = F.transform(at, lambda i, k: F.when(F.get(at, k + 1) == i + 1, F.struct(F.lit(0).alias("kind"), i.alias("i"), F.slice(ls, k + 1, F.lit(2)).alias("ls"))))
+    chunk = F.transform(at, lambda i, k: F.when(F.get(at, k + F.get(end, k) - i - 1) == F.get(end, k) - 1, F.struct(F.lit(1).alias("kind"), i.alias("i"), F.slice(ls, k + 1, F.get(end, k) - i).alias("ls"))))
+    marks = xs.select(*KEY, F.explode(F.filter(F.concat(pair, chunk), lambda m: m.isNotNull())).alias("m")).select(*KEY, "m.kind", "m.i", "m.ls")
+    place = F.struct(F.col("k_id").isNull().alias("z"), *KEY, "i")
+    first = marks.groupBy("kind", "ls").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
+    first = stage(first.select(F.col("kind").alias("f_kind"), F.col("ls").alias("f_ls"), "first"), "first-marks")
+    # both sides of this join come straight from an exchange, so a very common passage can be split among tasks
+    later = stage(marks.join(first, (marks.kind == first.f_kind) & (marks.ls == first.f_ls)).where(place != F.col("first")).select(*KEY, "kind", "i", F.size("ls").alias("n")), "later-marks")
+    pairs = later.where("kind = 0").select(*KEY, "i", F.lit(True).alias("pair"), F.lit(False).alias("anchor"))
+    # a chunk lies in the run of pairs that holds its first pair; one of a single line may be the first or last line of one
+    whole = later.where("kind = 1").select(*KEY, F.explode(F.when(F.col("n") > 1, F.array("i")).otherwise(F.array(F.col("i"), F.col("i") - 1))).alias("i"), F.lit(False).alias("pair"), F.lit(True).alias("anchor"))
+    met = pairs.union(whole).groupBy(*KEY, "i").agg(F.max("pair").alias("pair"), F.max("anchor").alias("anchor")).where("pair")
+    run = F.col("i") - F.row_number().over(W.partitionBy(*KEY).orderBy("i"))  # a text's pairs
+    runs = met.withColumn("run", run).groupBy(*KEY, "run").agg(F.min("i").alias("a"), (F.max("i") + 1).alias("b"), F.max("anchor").alias("anchor")).where("anchor")
+    out = stage(runs.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans")), "passages")
+    drop_staged(lines, xs, first, later)
+    return out
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, classes: int = CLASSES) -> DataFrame:
+    """docs' id and text with removed_passages, removed_lines and kept_text: the text without passages that came before.
+
+    The first occurrence of a passage is that in the smallest id (nulls last), then text hash, then line. A null text stays
+    null; a text all of whose lines go becomes empty; empty lines are lines. Repeated rows (equal id and text) are one
+    occurrence and are treated alike. Texts of any length are read whole, in time linear in their lines. An empty table
+    gives an empty result; other columns of docs are not read, whatever their names.
     """
-    gone = repeated(docs, id_col, text, window, divisor, min_lines).groupBy("k_id", "k_text", "k_crc").agg(F.collect_list("pos").alias("gone"))
-    gone = stage(gone.select(F.col("k_id").alias("g_id"), F.col("k_text").alias("g_text"), F.col("k_crc").alias("g_crc"), "gone"), "removed-chunks")
+    gone = passages(docs, id_col, text, window, classes)
+    gone = gone.select(F.col("k_id").alias("g_id"), F.col("k_text").alias("g_text"), F.col("k_crc").alias("g_crc"), "spans")
     rows = docs.select(F.col(id_col).alias("id"), *row_key(F.col(id_col), F.col(text)), F.col(text).alias("whole"))
-    # the table of removed chunks grows with the corpus: no broadcast at any size. Texts are shuffled once, and cut into chunks afterwards, where any go
-    j = rows.join(gone.hint("merge"), rows.k_id.eqNullSafe(gone.g_id) & rows.k_text.eqNullSafe(gone.g_text) & (rows.k_crc == gone.g_crc), "left")
-    j = with_chunks(j.withColumn("cut", F.when(F.col("gone").isNotNull(), F.col("whole"))), ["id", "whole", "gone"], "cut", window, divisor)
-    out = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
-    j = j.withColumn("out", out)
-    left = F.filter("chunks", lambda c, i: ~F.array_contains(F.col("out"), i))
-    lost = F.filter("chunks", lambda c, i: F.array_contains(F.col("out"), i))
-    kept = F.when(F.size("out") == 0, F.col("whole")).otherwise(F.array_join(F.transform(left, lambda c: c["chunk"]), "\n"))
-    lines = F.aggregate(lost, F.lit(0).cast("long"), lambda a, c: a + c["n"])
-    return j.select(F.col("id").alias(id_col), F.col("whole").alias(text), F.size("out").cast("long").alias("removed_chunks"), F.when(F.size("out") > 0, lines).otherwise(F.lit(0)).cast("long").alias("removed_lines"), kept.alias("kept_text"))
+    j = rows.join(gone, rows.k_id.eqNullSafe(gone.g_id) & rows.k_text.eqNullSafe(gone.g_text) & (rows.k_crc == gone.g_crc), "left").select("id", "whole", "spans")
+    j = j.withColumn("lines", F.when(F.col("spans").isNotNull(), F.split(F.col("whole"), "\n", -1)))
+    n, spans = F.size("lines"), F.col("spans")
+    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["b"] + 1))
+    ends = F.concat(F.transform(spans, lambda s: s["a"]), F.array(n))
+    left = F.flatten(F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: F.slice(F.when(n > 0, F.col("lines")), x["s"] + 1, x["e"] - x["s"])))
+    cut = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + (s["b"] - s["a"] + 1))
+    some = spans.isNotNull()
+    return j.select(
+        F.col("id").alias(id_col), F.col("whole").alias(text), F.when(some, F.size(spans)).otherwise(0).cast("long").alias("removed_passages"),
+        F.when(some, cut).otherwise(F.lit(0).cast("long")).alias("removed_lines"), F.when(some, F.array_join(left, "\n")).otherwise(F.col("whole")).alias("kept_text"),
+    )

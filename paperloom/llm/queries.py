@@ -30,28 +30,32 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.dedup(read(spark, sf_dir, "documents"), window=2, divisor=4, min_lines=2)
-    return found.select("doc_id", "removed_chunks", "removed_lines", "kept_text")
+    found = linededup.dedup(read(spark, sf_dir, "documents"), window=1, classes=2)
+    return found.select("doc_id", "removed_passages", "removed_lines", "kept_text")
 
 
 OP4_SQL = """
-WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-h AS (SELECT *, list_transform(ls, lambda x: md5(x)) AS hs FROM l),
-s AS (
-  SELECT doc_id, ls, list_concat([1], list_filter(range(2, len(ls) + 1),
-    lambda i: i >= 3 AND substr(md5(hs[i - 2] || hs[i - 1]), 1, 1) IN ('0', '4', '8', 'c'))) AS st
-  FROM h WHERE text IS NOT NULL
-), p AS (SELECT doc_id, ls, st, unnest(range(1, len(st) + 1)) AS pos FROM s),
-c AS (SELECT doc_id, pos, ls[st[pos]:coalesce(st[pos + 1], len(ls) + 1) - 1] AS part FROM p),
-t AS (SELECT doc_id, pos, len(part) AS n, array_to_string(part, chr(10)) AS chunk FROM c),
-r AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, pos) > 1 AS gone FROM t),
-a AS (
-  SELECT doc_id, count(*) FILTER (gone) AS removed_chunks, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS removed_lines,
-    coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept_text
-  FROM r GROUP BY doc_id
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i, len(ls) AS n FROM l),
+c AS (SELECT *, (strpos('0123456789abcdef', substr(md5(line), 2, 1)) - 1) % 2 AS class FROM e),
+x AS (SELECT *, coalesce(lead(i) OVER (PARTITION BY doc_id, class ORDER BY i), n) AS till FROM c),
+p AS (
+  SELECT a.doc_id, a.i, a.till, string_agg(b.line, chr(10) ORDER BY b.i) AS chunk
+  FROM x a JOIN x b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.i < a.till GROUP BY a.doc_id, a.i, a.till
+), k AS (SELECT doc_id, i, till, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, i) > 1 AS later FROM p),
+w AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next_line FROM e),
+v AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, i) > 1 AS later FROM w WHERE next_line IS NOT NULL),
+r AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM v WHERE later),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 1 AS b FROM r GROUP BY doc_id, run),
+h AS (SELECT doc_id, i FROM k WHERE later UNION SELECT doc_id, i - 1 FROM k WHERE later AND till = i + 1),
+g AS (SELECT runs.doc_id, a, b FROM runs JOIN h ON runs.doc_id = h.doc_id AND h.i BETWEEN a AND b - 1 GROUP BY runs.doc_id, a, b),
+m AS (SELECT e.doc_id, e.i, e.line, g.a FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.i BETWEEN g.a AND g.b),
+o AS (
+  SELECT doc_id, count(DISTINCT a) AS removed_passages, count(a) AS removed_lines,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (a IS NULL), '') AS kept_text FROM m GROUP BY doc_id
 )
-SELECT d.doc_id, coalesce(removed_chunks, 0) AS removed_chunks, coalesce(removed_lines, 0)::BIGINT AS removed_lines, kept_text
-FROM documents d LEFT JOIN a USING (doc_id)
+SELECT d.doc_id, coalesce(removed_passages, 0) AS removed_passages, coalesce(removed_lines, 0) AS removed_lines, kept_text
+FROM documents d LEFT JOIN o USING (doc_id)
 """
 
 

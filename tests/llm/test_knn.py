@@ -1,5 +1,7 @@
 """Exact top-k against a brute-force version."""
 
+import datetime
+import decimal
 import math
 import random
 
@@ -38,15 +40,40 @@ def test_matches_brute_force(spark, pivots, group, block):
     assert sorted(map(tuple, got), key=str) == plain(rows)
 
 
-def test_bounds_skip_cells(spark):
-    """Far clusters are not sent to a group of queries."""
+def test_pruning_on_clustered_vectors(spark):
+    """On clustered vectors a query meets a small part of all rows, and the result is that of all pairs."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 3
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 40] + rng.normal(size=16) * 0.1]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    asks = F.col("vec_id") % 20 == 0
+    _, visits = knn.search(df, asks, pivots=80, block_rows=150, group_queries=40)
+    met = visits.agg(F.sum("rows")).first()[0]
+    print(f"{met} of {200 * 4000} pairs")
+    assert met < 0.4 * 200 * 4000
+    assert sorted(map(tuple, knn.top_k(df, asks, pivots=80, block_rows=150, group_queries=40).collect()), key=str) == plain(rows)
+
+
+def test_blocks():
+    """Blocks are bounded, every cell has its own or shares one, and a large cell is cut."""
     rng = np.random.default_rng(2)
-    p = np.eye(8)[:4] * 1000
-    import pandas as pd
+    p, counts = rng.normal(size=(30, 4)), {i: 5 + i for i in range(30)} | {7: 1000}
+    plan = knn.plan_blocks(p, counts, 100)
+    assert plan[7][1] == 10 and set(plan) == set(counts)
+    load = {}
+    for c, (first, parts) in plan.items():
+        for b in range(first, first + parts):
+            load[b] = load.get(b, 0) + counts[c] / parts
+    assert max(load.values()) <= 100 and sorted(load) == list(range(len(load)))
+
 
-    cells = pd.DataFrame({"cell": range(4), "rows": 100, "radius": 5.0, "queries": 5, "query_radius": 5.0})
-    group, to = knn.plan_groups(p, cells, {c: list(rng.random(21) * 5) for c in range(4)}, 20, 5)
-    assert all(to[c] == [group[c]] for c in range(4))
+@pytest.mark.parametrize("kind,make", [("string", str), ("decimal(9,2)", decimal.Decimal), ("date", lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(i))])
+def test_other_ids(spark, kind, make):
+    rows = [(make(i), [float(i % 7), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, f"id {kind}, embedding array<double>")
+    got = knn.top_k(df, F.col("id") == F.lit(make(3)).cast(kind), id_col="id", k=5).collect()
+    want = sorted((-(64 * 64 * (3 * (i % 7) + 1)), make(i)) for i in range(60) if i != 3)[:5]
+    assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == want
 
 
 def test_small_and_odd(spark):

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import drop_staged, stage
 
-#: Queries of a unit, and rows of a block, about.
-GROUP_QUERIES, BLOCK_ROWS = 2048, 8192
+#: Queries of a unit, and rows of a block, about; a small table is still cut into so many blocks.
+GROUP_QUERIES, BLOCK_ROWS, LEAST_BLOCKS = 2048, 8192, 16
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, is_query: Column, scale: float = 64.0) -> DataFrame:
@@ -162,7 +162,7 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
     drop_staged(rows)
     # a row for each cell: at most as many as pivots
     cells = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()
-    blocks = plan_blocks(p, {r.cell: r.n for r in cells}, block_rows)
+    blocks = plan_blocks(p, {r.cell: r.n for r in cells}, min(block_rows, -(-n // LEAST_BLOCKS)))
     radius, rows_of = {r.cell: r.radius for r in cells}, {}
     for r in cells:
         first, parts = blocks[r.cell]

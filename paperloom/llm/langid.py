@@ -63,13 +63,13 @@ class Model:
         self.langs = langs
         self.words, counts = self._counts(words)
         if grams is None:
-            self.grams, of_word, found = {}, [], []
-            for k, w in enumerate(self.words):
-                at = [self.grams.setdefault(g, len(self.grams)) for n in GRAMS for g in _grams(f"_{w}_", n)]
-                found += at
-                of_word.append(len(at))
-            weights = counts[np.repeat(np.arange(len(of_word)), of_word)]
-            gram_counts = np.stack([np.bincount(np.array(found, np.int64), weights[:, k], len(self.grams)) for k in range(len(langs))], axis=1) if langs else np.zeros((0, 0))
+            self.grams, gram_counts, names = {}, np.zeros((0, len(langs))), list(self.words)
+            for k in range(0, len(names), 10_000):  # parts keep the lists short
+                found = [[self.grams.setdefault(g, len(self.grams)) for n in GRAMS for g in _grams(f"_{w}_", n)] for w in names[k : k + 10_000]]
+                more = np.zeros((len(self.grams), len(langs)))
+                more[: len(gram_counts)] = gram_counts
+                np.add.at(more, np.concatenate(found), np.repeat(counts[k : k + 10_000], [len(f) for f in found], axis=0))
+                gram_counts = more
         else:
             self.grams, gram_counts = self._counts(grams)
         self.word_logs, self.gram_logs = self._logs(counts, smooth), self._logs(gram_counts, smooth)
@@ -161,11 +161,8 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
                 at, words = words_of(part)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + start)), words], names=["lang", "w"])
 
-    counted = drawn.mapInArrow(cut, "lang string, w string").groupBy("w", "lang").agg(F.count("*").alias("n")).collect()
-    number, words = {name: i for i, name in enumerate(langs)}, {}
-    for r in counted:
-        words.setdefault(r.w, [0] * len(langs))[number[r.lang]] = r.n
-    return Model(langs, [(w, *n) for w, n in words.items()])
+    counted = drawn.mapInArrow(cut, "lang string, w string").groupBy("w").pivot("lang", langs).count().toArrow()
+    return Model(langs, list(zip(*(c.to_pylist() for c in counted.columns))))
 
 
 def _sliced(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:

@@ -23,6 +23,12 @@ BASE = 31
 KEY = ("k_id", "k_text", "k_crc")
 
 
+def _digits(two: Column) -> Column:
+    """The value of two hexadecimal digits as a long."""
+    one = lambda at: F.instr(F.lit("0123456789abcdef"), F.substring(two, at, 1)) - 1
+    return (one(1) * 16 + one(2)).cast("long")
+
+
 def line_hash(line: Column) -> Column:
     return F.xxhash64(line)
 
@@ -36,7 +42,7 @@ def _plain(name: str) -> Column:
 def chunks(docs: DataFrame, id_col: str, text: str, window: int, classes: int) -> DataFrame:
     """(k_id, k_text, k_crc, i, e, line): each line of each text, with the chunk [i, e) that starts there."""
     df = docs.where(F.col(text).isNotNull()).select(*row_key(F.col(id_col), F.col(text)), F.split(F.col(text), "\n", -1).alias("lines"))
-    df = df.withColumn("d", F.transform("lines", lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 2), 16, 10).cast("long")))
+    df = df.withColumn("d", F.transform("lines", lambda x: _digits(F.substring(F.md5(x.cast("binary")), 1, 2))))
     d = F.col("d")
     rolled = F.transform(d, lambda _, i: F.aggregate(F.slice(d, i + 1, F.lit(window)), F.lit(0).cast("long"), lambda a, x: a * BASE + x) % classes) if window > 1 else F.transform(d, lambda x: x % classes)
     df = df.withColumn("c", rolled).withColumn("n", F.size("lines"))
@@ -52,14 +58,14 @@ def repeated_lines(docs: DataFrame, id_col: str, text: str, window: int, classes
     each = chunks(docs, id_col, text, window, classes).withColumn("h", hashed(F.col("line")))
     at = F.struct(*KEY, "i")
     often = stage(each.select("h", at.alias("at")).groupBy("h").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo != hi").select("h"), "repeated-hashes")
+    # the repeated hashes grow with the corpus: no broadcast at any size. Repeated rows are one
+    lines = stage(each.join(often.hint("merge"), "h", "left_semi").select(*KEY, "i", "e", "h", "line"), "repeated-texts")
     # equal hashes are compared byte for byte; texts are combined before they are shuffled
-    texts = each.select("h", "line").join(often, "h", "left_semi").groupBy("h").agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
-    mixed = stage(texts.where("lo != hi").select(F.col("h").alias("m_h")), "mixed-hashes")
-    lines = each.select(*KEY, "i", "e", "h").join(often, "h", "left_semi")
+    mixed = stage(lines.groupBy("h").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo != hi").select(F.col("h").alias("m_h")), "mixed-hashes")
     if mixed.isEmpty():
-        return stage(lines.select(*KEY, "i", "e", F.col("h").alias("line")).distinct(), "repeated-lines")
+        return lines.select(*KEY, "i", "e", F.col("h").alias("line")).distinct()
     # some different lines share a hash: those are told apart by their bytes
-    unclear = each.join(mixed, each.h == mixed.m_h, "left_semi")
+    unclear = lines.join(mixed, lines.h == mixed.m_h, "left_semi")
     numbered = unclear.select("h", "line").distinct().select(F.col("h").alias("n_h"), F.col("line").alias("n_line"), F.row_number().over(W.partitionBy("h").orderBy("line")).alias("number"))
     own = unclear.join(numbered, (unclear.h == numbered.n_h) & (unclear.line == numbered.n_line)).select(*KEY, "i", "e", F.struct("h", "number").alias("id"))
     clear = lines.join(mixed, lines.h == mixed.m_h, "left_anti").select(*KEY, "i", "e", F.struct("h", F.lit(0).alias("number")).alias("id"))
@@ -92,7 +98,7 @@ def passages(docs: DataFrame, id_col: str, text: str, window: int = WINDOW, clas
     run = F.col("i") - F.row_number().over(W.partitionBy(*KEY).orderBy("i"))  # a text's pairs
     runs = met.withColumn("run", run).groupBy(*KEY, "run").agg(F.min("i").alias("a"), (F.max("i") + 1).alias("b"), F.max("anchor").alias("anchor")).where("anchor")
     out = stage(runs.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans")), "passages")
-    drop_staged(lines, xs, first, later)
+    drop_staged(xs, first, later)
     return out
 
 
@@ -107,7 +113,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
     gone = passages(docs, id_col, text, window, classes)
     gone = gone.select(F.col("k_id").alias("g_id"), F.col("k_text").alias("g_text"), F.col("k_crc").alias("g_crc"), "spans")
     rows = docs.select(F.col(id_col).alias("id"), *row_key(F.col(id_col), F.col(text)), F.col(text).alias("whole"))
-    j = rows.join(gone, rows.k_id.eqNullSafe(gone.g_id) & rows.k_text.eqNullSafe(gone.g_text) & (rows.k_crc == gone.g_crc), "left").select("id", "whole", "spans")
+    j = rows.join(gone.hint("merge"), rows.k_id.eqNullSafe(gone.g_id) & rows.k_text.eqNullSafe(gone.g_text) & (rows.k_crc == gone.g_crc), "left").select("id", "whole", "spans")
     j = j.withColumn("lines", F.when(F.col("spans").isNotNull(), F.split(F.col("whole"), "\n", -1)))
     n, spans = F.size("lines"), F.col("spans")
     starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["b"] + 1))

@@ -61,7 +61,9 @@ FROM documents d LEFT JOIN o USING (doc_id)
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.place(read(spark, sf_dir, "documents"), 24, more=8)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", "grown_shard", "virtual_slot", "map_version")
+    # the law is not `key`, so grown_shard is null; the edit of the stored map for 8 shards more is next_shard
+    none = F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", none, F.col("grown_shard").alias("next_shard"), "virtual_slot", "map_version")
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:

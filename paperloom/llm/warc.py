@@ -1,8 +1,9 @@
 """Resolution of not-modified revisit records against the latest earlier full response of the same URL.
 
 The as-of join needs no join of records with records: within a URL's captures in order of time, the last full response
-before each revisit is carried forward. A URL may hold a large part of all captures, so time is cut into slices: each
-(URL, slice) is one window group, and a small table of every slice's last response carries over from earlier slices.
+before each revisit is carried forward. A URL may hold a large part of all captures, so time is cut into slices of about as
+many captures: each (URL, slice) is one window group, and a window over the small table of every slice's last response
+carries over from earlier slices.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from paperloom.llm.common import stage
 
 #: Headers that a not-modified response may update (RFC 9111, section 3.2); others stay those of the full response.
 UPDATABLE = ("age", "cache-control", "date", "etag", "expires", "last-modified", "vary", "warning")
-#: Captures of one URL in one slice, about.
-SLICE = 100_000
+#: Captures in one slice of time, about, and steps of time that slices are made of.
+SLICE, FINE = 100_000, 65_536
 
 
 def canonical_url(url: Column) -> Column:
@@ -41,29 +42,27 @@ def resolve(records: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     validator agrees (etag, else last_modified, else digest; the first that both sides have) or neither side has
     one in common; validator_mismatch; no_response if there is no earlier response or the URL or ts is null.
     headers: the response's, updated by the revisit's permitted ones; null unless resolved. Rows of other kinds, or
-    responses without ts, take no part. Repeated rows are kept. Extra columns are ignored.
+    responses without ts, take no part. Repeated rows are kept. URLs and headers of any length are read
+    whole. Extra columns are ignored, whatever their names; an empty table gives an empty result.
     """
     r = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "ts", "kind", "etag", "last_modified", "digest", "headers").where(F.col("kind").isin("response", "revisit"))
     known = stage(r.where("canonical is not null and ts is not null"), "captures")
-    bounds = known.agg(F.count("*"), F.min("ts").cast("double"), F.max("ts").cast("double")).first()
-    slices = max(1, -(-bounds[0] // slice_rows))
-    low, high = bounds[1] or 0.0, bounds[2] or 0.0
-    part = F.least(F.floor((F.col("ts").cast("double") - low) / ((high - low) / slices or 1.0)), F.lit(slices - 1)).cast("int")
-    known = known.withColumn("slice", part)
-    response = F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers")
-    # the last response of each slice, by time then record, and from it that of all earlier slices
-    order = F.struct("ts", "record_id")
-    last = known.where("kind = 'response'").groupBy("canonical", "slice").agg(F.max_by(response, order).alias("r"))
-    carry = last.select(F.col("canonical").alias("c_url"), "slice", "r").groupBy("c_url").agg(F.array_sort(F.collect_list(F.struct("slice", "r.ts", "r.record_id"))).alias("ends"))
+    low, high = known.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
+    width = ((high - low) / FINE or 1.0) if low is not None else 1.0
+    known = known.withColumn("fine", F.least(F.floor((F.col("ts").cast("double") - (low or 0.0)) / width), F.lit(FINE - 1)).cast("int"))
+    # slices of about slice_rows captures, from a table of FINE rows at most: a burst in time gets slices of its own
+    fine = known.groupBy("fine").agg(F.count("*").alias("c"))
+    slices = fine.select(F.col("fine").alias("f"), F.floor((F.sum("c").over(W.orderBy("fine").rowsBetween(W.unboundedPreceding, 0)) - F.col("c")) / slice_rows).cast("int").alias("slice"))
+    known = known.join(F.broadcast(slices), known.fine == slices.f).drop("fine", "f")
+    # the last response of each URL's slices, by time then record, carried over to later slices by a window on that small table
+    last = known.groupBy("canonical", "slice").agg(F.max(F.when(F.col("kind") == "response", F.struct("ts", "record_id"))).alias("last"))
+    earlier = W.partitionBy("canonical").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    carry = last.select(F.col("canonical").alias("c_url"), F.col("slice").alias("c_slice"), F.max("last").over(earlier).alias("carried"))
     # earlier responses of the same slice; peers in time don't count
     keyed = known.withColumn("ord", F.dense_rank().over(W.partitionBy("canonical", "slice").orderBy("ts")))
     w = W.partitionBy("canonical", "slice").orderBy("ord").rangeBetween(W.unboundedPreceding, -1)
     here = keyed.withColumn("here", F.max(F.when(F.col("kind") == "response", F.struct("ts", "record_id"))).over(w)).where("kind = 'revisit'")
-    before = F.filter("ends", lambda e: e["slice"] < F.col("slice"))
-    joined = here.join(carry, here.canonical == carry.c_url, "left").withColumn("before", before)
-    carried = F.element_at("before", -1)
-    carried = F.when(F.size("before") > 0, F.struct(carried["ts"].alias("ts"), carried["record_id"].alias("record_id")))
-    joined = joined.withColumn("at", F.coalesce("here", carried))
+    joined = here.join(carry, (here.canonical == carry.c_url) & (here.slice == carry.c_slice), "left").withColumn("at", F.coalesce("here", "carried"))
     full = known.where("kind = 'response'").groupBy(F.col("canonical").alias("f_url"), F.col("ts").alias("f_ts"), F.col("record_id").alias("f_id")).agg(F.max_by(F.struct("etag", "last_modified", "digest", "headers"), F.struct("etag", "last_modified", "digest", F.array_sort(F.map_entries("headers")))).alias("f"))
     found = joined.join(full, (joined.canonical == full.f_url) & (joined["at"]["ts"] == full.f_ts) & joined["at"]["record_id"].eqNullSafe(full.f_id), "left")
     lost = r.where("kind = 'revisit' and (canonical is null or ts is null)")

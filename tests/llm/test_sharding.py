@@ -38,8 +38,7 @@ def test_place(spark):
 
 
 def test_grow_and_store(spark, tmp_path):
-    recs = sharding.records(frame(spark), slots=512)
-    loads = sharding.slot_loads(recs, 512)
+    loads = sharding.slot_loads(sharding.packets(sharding.records(frame(spark)), 512), 512)
     one = sharding.build_map(loads, 5)
     sharding.save_map(one, str(tmp_path / "map"))
     two = sharding.grow_map(sharding.load_map(spark, str(tmp_path / "map")), loads, 5, 2)
@@ -66,5 +65,31 @@ def test_shard_docs_and_empty(spark):
 def test_query_grows_the_stored_map(spark):
     rows = op5_sharding(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count() and {r.map_version for r in rows} == {1}
-    assert all(0 <= r.shard < 24 and (r.grown_shard == r.shard or 24 <= r.grown_shard < 32) for r in rows)
-    assert any(r.grown_shard >= 24 for r in rows)
+    assert all(0 <= r.shard < 24 and (r.next_shard == r.shard or 24 <= r.next_shard < 32) for r in rows)
+    assert any(r.next_shard >= 24 for r in rows) and {r.grown_shard for r in rows} == {None} and {r.law for r in rows} == {"bytes"}
+
+
+def test_equal_records_are_spread(spark):
+    """Many rows without an id and with one text don't fall to one shard; all places are taken once."""
+    docs = spark.createDataFrame([(None, "same text")] * 6000 + [(i, "x" * 9) for i in range(50)], "doc_id long, text string").repartition(5)
+    rows = sharding.place(docs, 4).collect()
+    assert len(rows) == 6050 and all(sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows))) for k in range(4))
+    assert max(sum(r.size for r in rows if r.shard == k) for k in range(4)) < 0.4 * sum(r.size for r in rows)
+
+
+def test_edit_for_changed_loads(spark, tmp_path):
+    """A stored map is edited when loads change: balance comes back, and only slots of overloaded shards move."""
+    path, docs = str(tmp_path / "map"), frame(spark)
+    first = {r.virtual_slot: r.shard for r in sharding.place(docs, 6, slots=512, path=path).collect()}
+    grown = docs.select("doc_id", "text").union(spark.createDataFrame([(10_000 + i, "y" * 40_000) for i in range(40)], "doc_id long, text string"))
+    rows = sharding.place(grown, 6, slots=512, path=path).collect()
+    assert {r.map_version for r in rows} == {2} and len(rows) == grown.count()
+    total, before = [0] * 6, [0] * 6
+    old = {r.virtual_slot: r.shard for r in sharding.load_map(spark, path, 1).collect()}
+    new = {r.virtual_slot: r.shard for r in sharding.load_map(spark, path).collect()}
+    for r in rows:
+        total[r.shard] += r.size
+        before[old[r.virtual_slot]] += r.size
+    assert set(first.items()) <= set(old.items()) and max(total) < max(before) and max(total) < 1.1 * sum(total) / 6
+    mean = sum(total) / 6
+    assert {old[v] for v in old if old[v] != new[v]} <= {k for k in range(6) if before[k] > mean}

@@ -61,3 +61,13 @@ def test_canonical(spark):
 
 def test_empty(spark):
     assert warc.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_burst(spark):
+    """Very many captures of one URL within a second, far from the others: all slices stay small, results are the same."""
+    t0 = datetime(2024, 1, 1)
+    rows = [(0, "http://b.org?a=1&b=2&ref=z", t0 - timedelta(days=900), "response", None, None, None, None, 1)]
+    rows += [(i, "http://www.a.org/x/", t0 + timedelta(microseconds=i * 700), "response" if i % 9 == 0 else "revisit", f"e{i % 2}", None, None, None, 1) for i in range(1, 900)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = [(r.record_id, r.canonical, r.ts, r.refers_to, r.status, sorted(r.headers.items()) if r.headers is not None else None) for r in warc.resolve(df, 50).collect()]
+    assert sorted(got, key=str) == plain(rows)

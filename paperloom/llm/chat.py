@@ -10,9 +10,9 @@ states between segments, then each segment by itself.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +23,7 @@ START = 3
 #: Legal successors of each state; a state is the role of the last turn, or START.
 NEXT = {START: (0, 1), 0: (1,), 1: (2,), 2: (1,)}
 MERGE, RELABEL, UNKNOWN, INSERT = 1, 3, 1, 2
-#: Turn numbers in a segment.
+#: Turns in a segment.
 SEGMENT = 4096
 INF = 10**9
 
@@ -100,8 +100,8 @@ def between(mats: list[list[int]]) -> tuple[list[int], int]:
     return states[::-1], total[at]
 
 
-def solve(roles: list[int | None], first: int, last: int) -> list[tuple]:
-    """The move of each turn on a cheapest way from state first to state last."""
+def _forward(roles: list[int | None], first: int) -> tuple[dict[int, int], list[dict]]:
+    """Least cost of each state after the turns, and for each turn and state the cheapest (cost, previous state, move)."""
     cost, back = {first: 0}, []
     for r in roles:
         new: dict[int, tuple[int, int, tuple]] = {}
@@ -111,79 +111,137 @@ def solve(roles: list[int | None], first: int, last: int) -> list[tuple]:
                     new[m[1]] = (c + m[0], a, m)
         back.append(new)
         cost = {t: v[0] for t, v in new.items()}
+    return cost, back
+
+
+def solve(roles: list[int | None], first: int = START, last: int | None = None) -> tuple[list[tuple], int]:
+    """The move of each turn on a cheapest way from state first to state last, or to the state that is cheapest to close; and that state."""
+    cost, back = _forward(roles, first)
+    if last is None:
+        last = min(cost, key=lambda t: (cost[t] + INSERT * len(CLOSE[t]), t))
     out, at = [], last
     for b in reversed(back):
         _, prev, m = b[at]
         out.append(m)
         at = prev
-    return out[::-1]
+    return out[::-1], last
 
 
 def header(role: int) -> str:
     return f"<|{ROLES[role]}|>\n"
 
 
+def escaped(text: str | None) -> str:
+    """The text in which nothing reads as a role's header."""
+    return (text or "").replace("<|", "<\\|")
+
+
 def render(turns: list[tuple], texts: list[str | None]) -> str:
     """A segment's text: each turn under its role's header, merged turns after an empty line."""
     out = []
     for (_, to, how, put, _), text in zip(turns, texts):
         out += [header(p) + "\n" for p in put]
-        out.append(("\n" if how == "merge" else header(to)) + (text or "") + "\n")
+        out.append(("\n" if how == "merge" else header(to)) + escaped(text) + "\n")
     return "".join(out)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple]:
-    """Rows of sorted batches by their first n_keys columns."""
-    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-    return groupby(rows, key=lambda r: r[:n_keys])
+def piece(roles: list[int | None], texts: list[str | None], first: int = START, last: int | None = None, ends: bool = True) -> tuple:
+    """(turns, cost, merges, relabels, inserts, text) of a stretch of turns from state first to state last (None: the cheapest end)."""
+    moved, last = solve(roles, first, last)
+    close = CLOSE[last] if ends else ()
+    counts = (len(moved), sum(m[0] for m in moved) + INSERT * len(close), sum(m[2] == "merge" for m in moved), sum(m[4] for m in moved), sum(len(m[3]) for m in moved) + len(close))
+    return *counts, render(moved, texts) + "".join(header(p) + "\n" for p in close)
+
+
+SUMS = ("turns", "cost", "merges", "relabels", "inserts")
+#: Result rows of a worker's batch.
+ROWS = 512
 
 
 def repair(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", segment: int = SEGMENT) -> DataFrame:
     """One row for each conversation: conv_id, turns, cost, merges, relabels, inserts, rendered.
 
-    Turns are taken in order of turn (nulls first), then role, then text; repeated rows are turns of their own. Roles are read without case
-    and surrounding blanks; others, and null, take any role at a smaller cost. Null texts count as empty. Null ids form
-    one conversation. Of repairs that cost the same, one is chosen by fixed rules. An empty table gives an empty result; other columns are ignored.
+    Turns are taken in order of turn (nulls first), then role, then the text's hash, then text; repeated rows are turns of their
+    own. Roles are read without case and surrounding blanks; others, and null, take any role at a smaller cost. Null texts
+    count as empty, texts of any length are rendered whole, and what reads like a role's header in them is escaped. Ids may
+    be of any type that has an order; null ids form one conversation. Of repairs that cost the same, one is chosen by fixed
+    rules. An empty table gives an empty result; other columns are ignored, whatever their names.
+
+    Rows are sorted by ranges, so a conversation of any size is dealt to several tasks, whatever its turn numbers. One that
+    lies whole within a task and a segment is solved there; the few at a task's ends and the very long ones are solved by segments.
     """
-    rows = conversations.select(F.col(conv_id).alias("c"), F.floor(F.col(turn) / segment).cast("long").alias("g"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).alias("x"))
+    rows = conversations.select(F.col(conv_id).alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).alias("x"))
     kind = rows.schema["c"].dataType.simpleString()
-    of_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    order = ["c", "g", "t", "r", "x"]
-
-    def to_matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (c, g), part in _groups(batches, 2):
-            yield pa.RecordBatch.from_arrays([pa.array([c], of_type), pa.array([g], pa.int64()), pa.array([matrix([role_number(r[2]) for r in part])], pa.list_(pa.int32()))], names=["c", "g", "m"])
+    order = ["c", "t", "r", "h", "x"]
+    # equal rows may be told apart in any way
+    ranged = rows.withColumn("h", F.xxhash64("x")).withColumn("any", F.monotonically_increasing_id()).repartitionByRange("c", "t", "r", "h", "any")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, out, of_type = TaskContext.get().partitionId(), [], None
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out))
+            types = [of_type, pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()), *[pa.int64()] * 5, pa.string()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["c", "task", "k", "done", "m", "roles", "texts", *SUMS, "rendered"])
+
+        def put(c, k: int, whole: bool, roles: list, texts: list) -> None:
+            numbers = [role_number(r) for r in roles]
+            if whole:
+                out.append((c, task, k, True, None, None, None, *piece(numbers, texts)))
+            else:
+                out.append((c, task, k, False, matrix(numbers), roles, texts, *[None] * 6))
+
+        held, first = None, True  # the open segment (c, k, roles, texts), and whether its conversation is the task's first
+        for b in batches:
+            of_type = b.schema.field(0).type
+            for c, r, x in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if held is None or held[0] != c:
+                    if held is not None:
+                        put(held[0], held[1], held[1] == 0 and not first, held[2], held[3])
+                        first = False
+                    held = (c, 0, [], [])
+                elif len(held[2]) >= segment:
+                    put(held[0], held[1], False, held[2], held[3])
+                    held = (c, held[1] + 1, [], [])
+                held[2].append(r)
+                held[3].append(x)
+                if len(out) >= ROWS:
+                    yield flush()
+        if held is not None:
+            put(held[0], held[1], False, held[2], held[3])  # the next task may go on
+        if out:
+            yield flush()
 
     def to_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c, g, first, last, ends = [], [], [], [], []
-            for i, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            of, at, first, last, ends = [], [], [], [], []
+            for i, parts in enumerate(b.column(1).to_pylist()):
                 states, _ = between([p["m"] for p in parts])
-                for k, p in enumerate(parts):
-                    c.append(i)
-                    g.append(p["g"])
-                    first.append(states[k])
-                    last.append(states[k + 1])
-                    ends.append(k + 1 == len(parts))
-            yield pa.RecordBatch.from_arrays([pa.array(c, of_type), pa.array(g, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(ends, pa.bool_())], names=["sc", "sg", "first", "last", "ends"])
+                of += [i] * len(parts)
+                at += [(p["task"], p["k"]) for p in parts]
+                first += states[:-1]
+                last += states[1:]
+                ends += [False] * (len(parts) - 1) + [True]
+            tasks, ks = zip(*at) if at else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), pa.array(tasks, pa.int32()), pa.array(ks, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(ends, pa.bool_())], names=["sc", "s_task", "sk", "first", "last", "ends"])
 
     def to_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (c, g, first, last, ends), part in _groups(batches, 5):
-            got = list(part)
-            turns = solve([role_number(r[5]) for r in got], first, last)
-            close = CLOSE[last] if ends else ()
-            piece = render(turns, [r[6] for r in got]) + "".join(header(p) + "\n" for p in close)
-            inserts = sum(len(m[3]) for m in turns) + len(close)
-            counts = [len(turns), sum(m[0] for m in turns) + INSERT * len(close), sum(m[2] == "merge" for m in turns), sum(m[4] for m in turns), inserts]
-            yield pa.RecordBatch.from_arrays([pa.array([c], of_type), pa.array([g], pa.int64()), *[pa.array([v], pa.int64()) for v in counts], pa.array([piece], pa.string())], names=["c", "g", "turns", "cost", "merges", "relabels", "inserts", "piece"])
-
-    roles = rows.select("c", "g", "t", "r", "x").repartition("c", "g").sortWithinPartitions(*order).select("c", "g", "r")
-    mats = roles.mapInArrow(to_matrices, f"c {kind}, g long, m array<int>")
-    per_conv = mats.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("g", "m"))).alias("parts"))
-    states = stage(per_conv.mapInArrow(to_states, f"sc {kind}, sg long, first int, last int, ends boolean"), "chat-states")
-    joined = rows.join(states, rows.c.eqNullSafe(states.sc) & rows.g.eqNullSafe(states.sg))
-    joined = joined.select("c", "g", "first", "last", "ends", "t", "r", "x").repartition("c", "g").sortWithinPartitions(*order)
-    pieces = joined.select("c", "g", "first", "last", "ends", "r", "x").mapInArrow(to_pieces, f"c {kind}, g long, turns long, cost long, merges long, relabels long, inserts long, piece string")
-    sums = [F.sum(n).alias(n) for n in ("turns", "cost", "merges", "relabels", "inserts")]
-    text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "piece"))), lambda p: p["piece"]), "")
-    return pieces.groupBy(F.col("c").alias(conv_id)).agg(*sums, text_of.alias("rendered"))
+        for b in batches:
+            got = [piece([role_number(r) for r in roles], texts, first, last, ends) for roles, texts, first, last, ends in zip(*(c.to_pylist() for c in b.columns[3:]))]
+            cols = [pa.array(c, pa.int64()) for c in list(zip(*got))[:5]] + [pa.array([g[5] for g in got], pa.string())] if got else [pa.array([], pa.int64())] * 5 + [pa.array([], pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], names=["c", "task", "k", *SUMS, "piece"])
+
+    longs = ", ".join(f"{n} long" for n in SUMS)
+    cols = f"c {kind}, task int, k long, done boolean, m array<int>, roles array<string>, texts array<string>, {longs}, rendered string"
+    parts = stage(ranged.sortWithinPartitions(*order).select("c", "r", "x").mapInArrow(cut, cols), "chat-parts")
+    whole = parts.where("done").select("c", *SUMS, "rendered")
+    rest = parts.where("not done").select("c", "task", "k", "m", "roles", "texts")
+    # a segment's matrix is 16 numbers for `segment` turns
+    per_conv = rest.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("task", "k", "m"))).alias("parts"))
+    states = stage(per_conv.mapInArrow(to_states, f"sc {kind}, s_task int, sk long, first int, last int, ends boolean"), "chat-states")
+    joined = rest.join(states, rest.c.eqNullSafe(states.sc) & (rest.task == states.s_task) & (rest.k == states.sk)).select("c", "task", "k", "roles", "texts", "first", "last", "ends")
+    pieces = joined.mapInArrow(to_pieces, f"c {kind}, task int, k long, {longs}, piece string")
+    text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("task", "k", "piece"))), lambda p: p["piece"]), "")
+    joint = pieces.groupBy("c").agg(*[F.sum(n).alias(n) for n in SUMS], text_of.alias("rendered"))
+    return whole.union(joint).withColumnRenamed("c", conv_id)

@@ -102,9 +102,11 @@ def features(c: Column) -> dict[str, Column]:
     cue = {f"cue_{k}": F.lower(c["left"]).rlike(v) for k, v in CUES.items()}
     return {
         **{f"kind_{k}": c["kind"] == k for k in ("email", "phone", "account", "secret")}, **cue,
-        "digits_7": n >= 7, "digits_9": n >= 9, "digits_12": n >= 12, "digits_16": n >= 16, "luhn": F.coalesce(F.call_function("luhn_check", digits(t)), F.lit(False)) & (n >= 12),
-        "grouped": t.rlike(r"[0-9][ -][0-9]"), "thousands": t.rlike(r"^[0-9]{1,3}(?: [0-9]{3})+$"), "date": t.rlike(r"^(?:19|20)[0-9]{2}[ -][0-9]{1,2}[ -][0-9]{1,2}$"),
+        "digits_7": n >= 7, "digits_9": n >= 9, "digits_10": n == 10, "digits_12": n >= 12, "digits_16": n >= 16, "luhn": F.coalesce(F.call_function("luhn_check", digits(t)), F.lit(False)) & (n >= 12),
+        "grouped": t.rlike(r"[0-9][ -][0-9]"), "thousands": t.rlike(r"^[0-9]{1,3}(?:[ .][0-9]{3})+$"), "date": t.rlike(r"^(?:19|20)[0-9]{2}[ -][0-9]{1,2}[ -][0-9]{1,2}$"),
+        "last_4": t.rlike(r"[ .-][0-9]{4}$"), "parted": t.rlike(r"^\(|^[0-9]+([.-])[0-9]+\1"), "social": t.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
         "brackets": t.rlike(r"[\[(]"), "hex": t.rlike(r"^[0-9a-fA-F]{24,}$"), "mixed": t.rlike("[0-9]") & t.rlike("[A-Za-z]"), "letters": t.rlike(r"^[A-Za-z_-]+$"),
+        "cases": t.rlike("[a-z]") & t.rlike("[A-Z]") & t.rlike("[0-9]"), "turns": F.regexp_count(t, F.lit("[A-Za-z][0-9]|[0-9][A-Za-z]|[a-z][A-Z]|[A-Z][a-z]")) >= 6, "long_word": t.rlike("[a-z]{7,}|[A-Z]{7,}"), "parts": t.rlike("[/_-][^/_-]+[/_-][^/_-]+[/_-]"), "key_prefix": t.rlike(r"^(?:[a-z]{2}_(?:live|test)_|gh[a-z]_|AKIA|xox[a-z]-|AIza|eyJ)"),
         "assigned": c["left"].rlike(r"[=:] ?[\"']?$"), "quoted": c["left"].rlike(r"[\"']$") & c["right"].rlike(r"^[\"']"),
         "joined": c["left"].rlike(r"[A-Za-z0-9./]$") | c["right"].rlike(r"^[A-Za-z0-9/]"), "unit": c["right"].rlike(r"^ ?(?:%|€|\$|km|kg|years|Jahre|USD|EUR)"),
     }
@@ -113,24 +115,31 @@ def features(c: Column) -> dict[str, Column]:
 def snippets(n: int, seed: int) -> list[tuple[int, str, int, int]]:
     """Generated training texts: (number, text, start, end) with the span that is personal; start -1 if none is."""
     r = random.Random(seed)
-    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    of = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    d = lambda k: of("0123456789", k)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    alnum = lower + lower.upper() + "0123456789"
     word = lambda: r.choice("the of tion nd here lich und que para avec les stand order about page in from".split())
-    hexed = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     cue = {"email": ["mail ", "contact: ", "write to "], "phone": ["call ", "tel. ", "phone: ", "mobile "], "account": ["account ", "passport no. ", "IBAN: ", "ssn ", "customer "], "secret": ["token = \"", "api_key: ", "password=", "secret = '"]}
     out = []
     for i in range(n):
         kind, good = r.choice(list(cue)), r.random() < 0.5
+        # formats that are personal by themselves, and those that only a cue makes so
+        sure = True
         if kind == "email":
             body = f"{word()}.{word()}{r.choice([' [at] ', '(at)', ' (at) ', '[at]'])}{word()}{r.choice(['.', ' [dot] ', '(dot)'])}com" if good else f"{word()} at {word()}.com"
         elif kind == "phone":
-            body = r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}"]) if good else r.choice([f"{d(3)} {d(3)} {d(3)}", f"2019-{d(2)}-{d(2)}", f"{d(2)} {d(3)} {d(3)}"])
+            body = r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)} {d(3)} {d(4)}"]) if good else r.choice([f"{d(3)} {d(3)} {d(3)}", f"2019-{d(2)}-{d(2)}", f"{d(2)} {d(3)} {d(3)}", f"{d(2)}.{d(3)}.{d(3)}", f"{d(3)}.{d(3)}.{d(3)}"])
         elif kind == "account":
-            body = r.choice([d(9), d(11), f"{d(3)}-{d(2)}-{d(4)}", d(12)]) if good else r.choice([d(4), d(2), f"{d(1)} {d(3)} {d(3)}", f"20{d(2)}-0{r.randint(1, 9)}-1{d(1)}", d(r.randint(5, 12))])
+            body = r.choice([d(r.randint(8, 13)), d(r.randint(8, 13)), d(r.randint(8, 13)), f"{d(3)}-{d(2)}-{d(4)}"]) if good else r.choice([d(4), d(2), f"{d(1)} {d(3)} {d(3)}", f"20{d(2)}-0{r.randint(1, 9)}-1{d(1)}", d(r.randint(5, 12))])
+            sure = body.count("-") == 2
         else:
-            body = r.choice([hexed(32), hexed(40), hexed(64)]) if good else r.choice(["".join(word() for _ in range(6)), "-".join(word() for _ in range(6)), "=" * 24, "_" * 30])
+            keys = [of("0123456789abcdef", r.choice([32, 40, 64])), of("0123456789ABCDEF", r.choice([32, 40])), of(alnum, r.randint(24, 48)), of(alnum + "+/", r.choice([43, 63, 87])) + "=", r.choice(["sk_live_", "pk_test_", "ghp_", "xoxb-", "AIza"]) + of(alnum, r.randint(24, 36)), "AKIA" + of(lower.upper() + "0123456789", 16)]
+            slugs = ["".join(word() for _ in range(6)), "-".join(word() for _ in range(6)), "=" * 24, "_" * 30, "/".join(word() + r.choice(["", d(2)]) for _ in range(6)), f"20{d(2)}/0{d(1)}/1{d(1)}/" + "-".join(word() for _ in range(4)), "_".join(word().title() for _ in range(5)) + d(2), "".join(word().title() for _ in range(6)), "-".join(word() for _ in range(4)) + "-" + d(4)]
+            body = r.choice(keys) if good else r.choice(slugs)
         # most personal data is announced, and some other numbers are as well
-        lead = r.choice(cue[kind]) if r.random() < (0.85 if good and kind != "email" else 0.1) else ""
-        personal = good and (kind == "email" or bool(lead) or (kind == "secret" and len(body) >= 32))
+        lead = r.choice(cue[kind]) if r.random() < (0.7 if good and kind != "email" else 0.1) else ""
+        personal = good and (sure or bool(lead))
         left = " ".join(word() for _ in range(r.randint(3, 8))) + " " + lead
         out.append((i, left + body + (lead[-1] if lead.endswith(("\"", "'")) else "") + r.choice([" ", ". ", ", ", " km ", " "]) + word(), len(left) if personal else -1, len(left) + len(body)))
     return out
@@ -177,7 +186,17 @@ def predict_one(model: tuple[float, list], x: tuple[bool, ...]) -> float:
     return model[0] + sum(t[x[f]][1].get(x[t[x[f]][0]], 0.0) for f, t in model[1])
 
 
-def score(model: tuple[float, list], f: list[Column]) -> Column:
+class _Numbered:
+    """Elements of an array column by number."""
+
+    def __init__(self, array: Column):
+        self.array = array
+
+    def __getitem__(self, k: int) -> Column:
+        return F.get(self.array, F.lit(k))
+
+
+def score(model: tuple[float, list], f: list[Column] | _Numbered) -> Column:
     """The model's score as one expression over feature columns."""
     out = F.lit(model[0])
     for top, sides in model[1]:
@@ -196,7 +215,7 @@ def propose(df: DataFrame, text: str) -> DataFrame:
 _FITTED: dict[tuple, tuple] = {}
 
 
-def fit(spark: SparkSession, n: int = 3000, rounds: int = 25, precision: float = 0.98, seed: int = 11) -> tuple[tuple[float, list], dict[str, float]]:
+def fit(spark: SparkSession, n: int = 4000, rounds: int = 30, precision: float = 0.98, seed: int = 11) -> tuple[tuple[float, list], dict[str, float]]:
     """(model, thresholds) from n generated snippets, through the same generators and features that texts take.
 
     Two thirds fit the trees. On the others each kind's threshold is set: the least score from which on the precision
@@ -236,7 +255,9 @@ def find(docs: DataFrame, keep: list[str], text: str = "text", model: tuple | No
     limit = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])
     free = F.filter("cands", lambda c: (F.size("__base") == 0) | ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
     df = df.withColumn("__free", free)
-    scored = F.transform("__free", lambda c: F.struct(score(trees, list(features(c).values())).alias("score"), (c["end"] - c["start"]).alias("n"), (-c["start"]).alias("early"), c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    # features once for each proposal; the trees read them by number
+    df = df.withColumn("__seen", F.transform("__free", lambda c: F.struct(F.array(*[F.coalesce(f, F.lit(False)) for f in features(c).values()]).alias("f"), c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))
+    scored = F.transform("__seen", lambda c: F.struct(score(trees, _Numbered(c["f"])).alias("score"), (c["end"] - c["start"]).alias("n"), (-c["start"]).alias("early"), c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     df = df.withColumn("__scored", scored)
     df = df.withColumn("__good", F.filter("__scored", lambda c: c["score"] >= limit[c["kind"]]))
     # best first; a proposal is taken if it overlaps none that was taken before

@@ -63,6 +63,23 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
 
 
+def sink(label: np.ndarray, names: np.ndarray, xs: slice, ys: slice, near: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Labels of two strips sink to the least of near partners until none changes; a changed label is a link."""
+    old_x, old_y, out = label[xs].copy(), label[ys].copy(), []
+    while True:
+        lx = np.minimum(label[xs], np.where(near, label[ys][None, :], label[xs][:, None]).min(axis=1))
+        ly = np.minimum(label[ys], np.where(near, lx[:, None], label[ys][None, :]).min(axis=0))
+        done = (lx == label[xs]).all() and (ly == label[ys]).all()
+        label[xs], label[ys] = lx, np.minimum(ly, label[ys])
+        if done:
+            break
+    for old, s in ((old_x, xs), (old_y, ys)):
+        if (m := label[s] != old).any():
+            out.append((names[s][m], label[s][m]))
+            out.append((old[m], label[s][m]))
+    return out
+
+
 def compare_unit(f: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that span the near pairs of one unit of fingerprints (uint64, sorted by population count).
 
@@ -80,18 +97,7 @@ def compare_unit(f: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarra
             near = _near(x, y, radius)
             if j > i and not near.any():
                 continue
-            old_x, old_y = label[xs].copy(), label[ys].copy()
-            while True:
-                lx = np.minimum(label[xs], np.where(near, label[ys][None, :], label[xs][:, None]).min(axis=1))
-                ly = np.minimum(label[ys], np.where(near, lx[:, None], label[ys][None, :]).min(axis=0))
-                done = (lx == label[xs]).all() and (ly == label[ys]).all()
-                label[xs], label[ys] = lx, np.minimum(ly, label[ys])
-                if done:
-                    break
-            for part, old, s in ((x, old_x, xs), (y, old_y, ys)):
-                if (m := label[s] != old).any():
-                    out.append((part[m], label[s][m]))
-                    out.append((old[m], label[s][m]))
+            out += sink(label, f, xs, ys, near)
     return out
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.plans import documents, identity, pages
+from paperloom.plans import assembly, documents, identity, pages
 
-ALL = {**identity.QUERIES, **pages.QUERIES, **documents.QUERIES}
+ALL = {**identity.QUERIES, **pages.QUERIES, **documents.QUERIES, **assembly.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

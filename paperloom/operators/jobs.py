@@ -49,9 +49,19 @@ def latest(statuses: DataFrame, key: str, ts: str, *more: str) -> DataFrame:
 
 
 def queue_order(jobs: DataFrame) -> DataFrame:
-    """jobs (priority, enqueued_at, id) with pos: the priority queue first, then the newest first. Sorted by range, not in one task."""
-    s = jobs.orderBy((F.col("priority") > 0).desc(), F.col("enqueued_at").desc(), F.col("id").desc())
-    return s
+    """jobs (priority, enqueued_at, id), the priority queue first, then the newest first. Sorted by range, not in one task."""
+    return jobs.orderBy((F.col("priority") > 0).desc(), F.col("enqueued_at").desc(), F.col("id").desc())
+
+
+def queue_positions(jobs: DataFrame, id_col: str) -> DataFrame:
+    """jobs with pos, their place in the whole queue. Places are counted within an hour of one queue; what the hours before
+    hold comes from a table of one row for each hour, so no task sorts the queue."""
+    slot = F.struct((F.col("priority") > 0).alias("high"), F.date_trunc("hour", "enqueued_at").alias("hour"))
+    j = jobs.withColumn("_slot", slot)
+    counts = j.groupBy("_slot").agg(F.count("*").alias("n"))
+    starts = counts.select(F.col("_slot").alias("_s"), (F.sum("n").over(W.orderBy(F.desc("_slot")).rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("_start"))
+    within = F.row_number().over(W.partitionBy("_slot").orderBy(F.desc("enqueued_at"), F.desc(id_col)))
+    return j.withColumn("_n", within).join(starts, F.col("_slot") == F.col("_s")).withColumn("pos", F.col("_start") + F.col("_n")).drop("_slot", "_s", "_start", "_n")
 
 
 def expired(enqueued: Column, now: Column, seconds: int = 700) -> Column:

@@ -31,6 +31,20 @@ def above(scores: Column, limit: float) -> Column:
     return F.coalesce(F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores) > limit, F.lit(False))
 
 
+# The mean scores above which a page is a text, and a piece of a page is written on.
+TEXT_ABOVE, HAND_ABOVE = 0.3, 0.5
+
+
+def is_text(scores: Column) -> Column:
+    """The text gate; no answer counts as no."""
+    return above(scores, TEXT_ABOVE)
+
+
+def is_handwritten(scores: Column) -> Column:
+    """The handwriting gate; no answer counts as no."""
+    return above(scores, HAND_ABOVE)
+
+
 def angle(df: DataFrame, key: list[str], value: str) -> DataFrame:
     """The median of the angles whose rounding is the most frequent (the smallest of equals), for each key."""
     r = df.withColumn("r", F.bround(value).cast("int"))

@@ -149,9 +149,7 @@ def job_latest_status(spark, sf):
 
 def job_queue_order(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 3 - 1).cast("int").alias("priority"), F.col("ts").alias("enqueued_at"))
-    top = jobs.queue_order(e).limit(100)  # the head of the queue is the report
-    order = W.orderBy((F.col("priority") > 0).desc(), F.col("enqueued_at").desc(), F.col("id").desc())
-    return top.select("id", "priority", F.row_number().over(order).alias("pos"))
+    return jobs.queue_positions(e, "id").select("id", "priority", "pos")
 
 
 def job_expired(spark, sf):
@@ -161,8 +159,8 @@ def job_expired(spark, sf):
 
 def result_ttl(spark, sf):
     e = in_events(spark, sf)
-    now = e.agg(F.max("ts")).first()[0]
-    return e.where(F.col("ts") >= F.lit(now) - F.expr("interval 2 hours")).select("event_id", "status")
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    return e.join(F.broadcast(now), F.col("ts") >= F.col("now") - F.expr("interval 2 hours")).select("event_id", "status")
 
 
 def job_verdict(spark, sf):
@@ -275,12 +273,17 @@ def rotation_vote(spark, sf):
 ROTATE = "WITH e AS (SELECT vec_id, list_transform(range(0, 4), lambda i: ((embedding[i + 1]::DOUBLE + embedding[4 + (i + 3) % 4 + 1]::DOUBLE) + embedding[8 + (i + 2) % 4 + 1]::DOUBLE) + embedding[12 + (i + 1) % 4 + 1]::DOUBLE) AS m FROM embeddings) SELECT vec_id, (list_position(m, list_max(m)) - 1)::INT AS turns FROM e"
 
 
+def _scaled(at: int, by: float):
+    """Three components, scaled so that the gates' limits divide the table."""
+    return F.transform(_view(at, 3), lambda x: x * by)
+
+
 def text_gate(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", votes.above(_view(0, 3), 0.03).alias("is_text"))
+    return table(spark, sf, "embeddings").select("vec_id", votes.is_text(_scaled(0, 10)).alias("is_text"))
 
 
 def handwriting_any(spark, sf):
-    e = table(spark, sf, "embeddings").select("label", votes.above(_view(0, 3), 0.2).alias("h"))
+    e = table(spark, sf, "embeddings").select("label", votes.is_handwritten(_scaled(0, 2.5)).alias("h"))
     return e.groupBy("label").agg(F.bool_or("h").alias("signed"), F.count_if("h").alias("n"))
 
 
@@ -531,7 +534,7 @@ QUERIES = {
     "first_orientation": (first_orientation, PAGES + "SELECT job_id, arg_min((page_num % 4)::INT, page_num) FILTER (qc > 2) AS orientation FROM p GROUP BY 1"),
     "job_progress": (job_progress, JOB_PROGRESS),
     "job_latest_status": (job_latest_status, f"SELECT user_id AS job_id, arg_max(event_id, {{'t': ts, 'e': event_id}}) AS event_id, arg_max({STATUS}, {{'t': ts, 'e': event_id}}) AS status FROM events GROUP BY 1"),
-    "job_queue_order": (job_queue_order, "SELECT event_id AS id, (user_id % 3 - 1)::INT AS priority, row_number() OVER (ORDER BY user_id % 3 - 1 > 0 DESC, ts DESC, event_id DESC)::INT AS pos FROM events QUALIFY pos <= 100"),
+    "job_queue_order": (job_queue_order, "SELECT event_id AS id, (user_id % 3 - 1)::INT AS priority, row_number() OVER (ORDER BY user_id % 3 - 1 > 0 DESC, ts DESC, event_id DESC) AS pos FROM events"),
     "job_expired": (job_expired, "SELECT event_id, epoch(date_trunc('hour', ts) + INTERVAL 1 HOUR) - epoch(ts) > 700 AS expired FROM events"),
     "result_ttl": (result_ttl, f"SELECT event_id, {STATUS} AS status FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"),
     "job_verdict": (job_verdict, PAGES + "SELECT job_id, CASE WHEN bool_or(qc IN (2, 3)) THEN 'bad' ELSE 'good' END AS verdict FROM p GROUP BY 1"),
@@ -542,8 +545,8 @@ QUERIES = {
     "suggest_accuracy": (suggest_accuracy, GAZ + "SELECT avg((coalesce(p.value = v.p_name, false))::INT) AS accuracy FROM v LEFT JOIN p ON p.word = v.w1"),
     "argmax_logits": (argmax_logits, ARGMAX),
     "rotation_vote": (rotation_vote, ROTATE),
-    "text_gate": (text_gate, "SELECT vec_id, ((embedding[1]::DOUBLE + embedding[2]::DOUBLE) + embedding[3]::DOUBLE) / 3 > 0.03 AS is_text FROM embeddings"),
-    "handwriting_any": (handwriting_any, "SELECT label, bool_or(h) AS signed, count(*) FILTER (h) AS n FROM (SELECT label, ((embedding[1]::DOUBLE + embedding[2]::DOUBLE) + embedding[3]::DOUBLE) / 3 > 0.2 AS h FROM embeddings) GROUP BY 1"),
+    "text_gate": (text_gate, "SELECT vec_id, ((embedding[1]::DOUBLE * 10 + embedding[2]::DOUBLE * 10) + embedding[3]::DOUBLE * 10) / 3 > 0.3 AS is_text FROM embeddings"),
+    "handwriting_any": (handwriting_any, "SELECT label, bool_or(h) AS signed, count(*) FILTER (h) AS n FROM (SELECT label, ((embedding[1]::DOUBLE * 2.5 + embedding[2]::DOUBLE * 2.5) + embedding[3]::DOUBLE * 2.5) / 3 > 0.5 AS h FROM embeddings) GROUP BY 1"),
     "angle_mode_median": (angle_mode_median, ANGLE),
     "substring10_vote": (substring10_vote, VOTE),
     "line_adjacent_fix": (line_adjacent_fix, WORDS + "SELECT doc_id, count(*) FILTER (over OR text = '') AS blank, sum(CASE WHEN over THEN 0 ELSE length(text) END)::BIGINT AS chars FROM f GROUP BY 1"),

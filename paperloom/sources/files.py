@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import supported_file
@@ -26,6 +27,17 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    """word, gender, popularity and id (place in the file) of a comma-separated file without quoting."""
+    """word, gender, popularity and id of a comma-separated file without quoting. Lines stand from most to least popular; id
+    is the place in that order, dense over all splits of the file: counts of lines per split are added up, no line is moved."""
     raw = spark.read.csv(path, schema="word string, gender string, popularity double", quote="")
-    return raw.withColumn("id", F.monotonically_increasing_id())
+    # the high bits number the splits, in the file's order, the low ones the lines of a split
+    at = raw.withColumn("at", F.monotonically_increasing_id()).withColumn("split", F.shiftright("at", 33))
+    counts = at.groupBy("split").agg(F.count("*").alias("n"))
+    starts = counts.select(F.col("split").alias("s"), (F.sum("n").over(W.orderBy("split")) - F.col("n")).alias("start"))
+    return at.join(F.broadcast(starts), at.split == starts.s).select("word", "gender", "popularity", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
+
+
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    """name and template (JSON text, null if it isn't JSON) of the JSON files below a folder."""
+    f = spark.read.format("text").option("wholetext", True).load(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("name"), "value")
+    return f.select("name", F.when(F.try_parse_json("value").isNotNull(), F.col("value")).alias("template"))

@@ -67,23 +67,27 @@ BARCODE_COUNTS = I25 + "SELECT CASE WHEN ok THEN t ELSE 0 END::BIGINT AS documen
 # --- machine-readable zones from orders ---
 def in_mrz(spark, sf) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    d = lambda body: F.concat(body, checks.mrz_digit(body))
+    d = lambda body, n: F.concat(body, checks.mrz_digit(body, n))
     o = o.withColumn("serial", F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).withColumn("birth", F.date_format("o_orderdate", "yyMMdd"))
     o = o.withColumn("tail", F.concat((F.col("o_orderkey") % 10).cast("string"), F.date_format("o_orderdate", "yyMMdd"), F.lpad((F.col("o_custkey") % 1000000).cast("string"), 6, "0"), F.lit("0")))
-    o = o.withColumn("s1", d(F.col("serial"))).withColumn("b1", d(F.col("birth"))).withColumn("t1", d(F.col("tail")))
+    o = o.withColumn("s1", d(F.col("serial"), 9)).withColumn("b1", d(F.col("birth"), 6)).withColumn("t1", d(F.col("tail"), 14))
     o = o.withColumn("all", F.concat("s1", "b1", F.lit("0" * 7), "t1"))
-    bad = F.when(F.col("o_orderkey") % 7 == 0, F.translate("b1", "0123456789", "1234567890")).otherwise(F.col("b1"))
-    line = F.concat("s1", F.lit("RUS"), bad, F.when(F.col("o_custkey") % 2 == 0, "M").otherwise("F"), F.lit("<" * 7), "t1", checks.mrz_digit(F.col("all")))
-    return o.select("o_orderkey", line.alias("line"))
+    # misread digits in one part or another
+    bad = lambda name, m: F.when(F.col("o_orderkey") % m == 0, F.translate(name, "0123456789", "1234567890")).otherwise(F.col(name))
+    line = F.concat(bad("s1", 5), F.lit("RUS"), bad("b1", 7), F.when(F.col("o_custkey") % 2 == 0, "M").otherwise("F"), F.lit("<" * 7), bad("t1", 11), checks.mrz_digit(F.col("all"), 39))
+    # some lines break off
+    return o.select("o_orderkey", F.when(F.col("o_orderkey") % 13 == 0, F.left(line, F.lit(30))).otherwise(line).alias("line"))
 
 
 MRZ = """
 WITH m0 AS (SELECT o_orderkey, o_custkey, lpad(o_orderkey::VARCHAR, 9, '0') AS serial, strftime(o_orderdate, '%y%m%d') AS birth,
   (o_orderkey % 10) || strftime(o_orderdate, '%y%m%d') || lpad((o_custkey % 1000000)::VARCHAR, 6, '0') || '0' AS tail FROM orders),
 m1 AS (SELECT *, serial || w(serial) AS s1, birth || w(birth) AS b1, tail || w(tail) AS t1 FROM m0),
-m2 AS (SELECT *, w(s1 || b1 || '0000000' || t1) AS fin, o_orderkey % 7 = 0 AS bad,
-  CASE WHEN o_orderkey % 7 = 0 THEN translate(b1, '0123456789', '1234567890') ELSE b1 END AS b2 FROM m1),
-m3 AS (SELECT *, w(b2[1:6]) = b2[7:7] AS bok, w(s1 || b2 || '0000000' || t1) = fin AS fok FROM m2)
+m2 AS (SELECT *, w(s1 || b1 || '0000000' || t1) AS fin, o_orderkey % 13 <> 0 AS long,
+  CASE WHEN o_orderkey % 5 = 0 THEN translate(s1, '0123456789', '1234567890') ELSE s1 END AS s2,
+  CASE WHEN o_orderkey % 7 = 0 THEN translate(b1, '0123456789', '1234567890') ELSE b1 END AS b2,
+  CASE WHEN o_orderkey % 11 = 0 THEN translate(t1, '0123456789', '1234567890') ELSE t1 END AS t2 FROM m1),
+m3 AS (SELECT *, w(s2[1:9]) = s2[10:10] AS sok, w(b2[1:6]) = b2[7:7] AS bok, long AND w(t2[1:14]) = t2[15:15] AS tok, long AND w(s2 || b2 || '0000000' || t2) = fin AS fok FROM m2)
 """
 
 
@@ -105,19 +109,19 @@ MRZ = _expand(MRZ)
 
 
 def mrz_check_digit(spark, sf):
-    return in_mrz(spark, sf).select("o_orderkey", checks.mrz_check(F.substr("line", F.lit(14), F.lit(7))).alias("ok"))
+    return in_mrz(spark, sf).select("o_orderkey", checks.mrz_check(F.substr("line", F.lit(14), F.lit(7)), 7).alias("ok"))
 
 
 def mrz_second_line(spark, sf):
-    return in_mrz(spark, sf).select("o_orderkey", mrz.second_line(F.col("line")).alias("m")).select("o_orderkey", "m.s_number", "m.s_number_check", "m.birth_date", "m.birth_date_check", "m.gender", "m.issue_date", "m.code", "m.issue_date_and_code_check")
+    return mrz.second_lines(in_mrz(spark, sf), "line", "m").select("o_orderkey", "m.s_number", "m.s_number_check", "m.birth_date", "m.birth_date_check", "m.gender", "m.issue_date", "m.code", "m.issue_date_and_code_check")
 
 
-MRZ_SECOND = MRZ + """SELECT o_orderkey, serial[1:3] || tail[1:1] || serial[4:9] AS s_number, true AS s_number_check, b2[1:6] AS birth_date, bok AS birth_date_check,
-  CASE WHEN o_custkey % 2 = 0 THEN 'M' ELSE 'F' END AS gender, tail[2:7] AS issue_date, tail[8:13] AS code, true AS issue_date_and_code_check FROM m3"""
+MRZ_SECOND = MRZ + """SELECT o_orderkey, CASE WHEN sok AND long THEN s2[1:3] || t2[1:1] || s2[4:9] END AS s_number, sok AS s_number_check, b2[1:6] AS birth_date, bok AS birth_date_check,
+  CASE WHEN o_custkey % 2 = 0 THEN 'M' ELSE 'F' END AS gender, CASE WHEN long THEN t2[2:7] END AS issue_date, CASE WHEN long THEN t2[8:13] END AS code, tok AS issue_date_and_code_check FROM m3"""
 
 
 def mrz_final_check(spark, sf):
-    m = in_mrz(spark, sf).select(mrz.second_line(F.col("line")).alias("m"))
+    m = mrz.second_lines(in_mrz(spark, sf), "line", "m")
     return m.groupBy(F.col("m.final_check").alias("final_check")).agg(F.count("*").alias("n"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -484,11 +483,11 @@ def _stream_events(spark, sf) -> DataFrame:
 
 
 def stream_job_state(spark, sf):
-    return stream.run_available(stream.latest_state(_stream_events(spark, sf)), f"s{uuid.uuid4().hex}", "complete").select("job_id", "status")
+    return stream.run_available(stream.latest_state(_stream_events(spark, sf)), ["job_id"]).select("job_id", "status")
 
 
 def stream_tumbling_status(spark, sf):
-    t = stream.run_available(stream.tumbling_status(_stream_events(spark, sf)), f"s{uuid.uuid4().hex}", "complete")
+    t = stream.run_available(stream.tumbling_status(_stream_events(spark, sf)), ["window", "status"])
     return t.select(F.unix_timestamp("window.start").alias("start"), "status", "n")
 
 

@@ -23,9 +23,9 @@ GRAMS = (4, 3, 2, 1)
 #: A document's evidence counts as that of so many words at most, so that scores keep telling texts apart.
 EVIDENCE = 30
 #: Bytes of text that are cut into words at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Unseen words whose scores a worker keeps.
-CACHE = 100_000
+CACHE = 20_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -183,6 +183,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, cache = Model.__new__(Model), {}
         vars(m).update(shared.value)
+        pa.default_memory_pool().release_unused()
         for b in batches:
             for start, part in _sliced(b.column(b.num_columns - 1)):
                 names, scores = m.predict(part, cache)

@@ -17,7 +17,7 @@ from paperloom.llm.common import stage
 #: Headers that a not-modified response may update (RFC 9111, section 3.2); others stay those of the full response.
 UPDATABLE = ("age", "cache-control", "date", "etag", "expires", "last-modified", "vary", "warning")
 #: Captures in one slice of time, about, and steps of time that slices are made of.
-SLICE, FINE = 100_000, 65_536
+SLICE, FINE = 100_000, 4096
 
 
 def canonical_url(url: Column) -> Column:

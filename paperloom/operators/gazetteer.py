@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paperloom.functions.text import turkic_split
+
 # Greatest edit distance of each kind, candidates kept, and keys that a query expands to.
 MAX_DISTANCE = {"name": 3, "surname": 3, "patronymic": 4}
 LIMIT, EXPANSION = 20, 5
+# Second words of Turkic patronymics of men; the others are of women.
+TURKIC_MALE = ("ОГЛЫ", "ОГЛУ", "УЛЫ", "УУЛУ")
 
 
 def load(rows: DataFrame) -> DataFrame:
@@ -106,10 +112,50 @@ def pick_double(c1: DataFrame, c2: DataFrame, pairs: DataFrame, k: int = 3) -> D
 
 def pick_retry(queries: DataFrame, gazetteer: DataFrame, k: int = 3) -> DataFrame:
     """Answers for whole strings (column word); failing that for their first n, n - 1, ... 1 words, at a lowered score."""
+    return with_retry(queries, lambda words: pick(candidates(words, gazetteer, k), k))
+
+
+def pick_patronymic(queries: DataFrame, names: DataFrame, patronymics: DataFrame) -> DataFrame:
+    """Answers for patronymics, with retries as for whole strings. The first word of a Turkic one is looked up as a given name,
+    and its second word, which tells the gender, is put back."""
+    k = MAX_DISTANCE["patronymic"]
+
+    def answer(words: DataFrame) -> DataFrame:
+        w = words.select("word").where("word is not null").distinct().withColumn("t", turkic_split(F.col("word")))
+        turkic = F.coalesce(F.col("t.name") != "", F.lit(False))
+        two = w.where(turkic).select("word", F.col("t.name").alias("given"), F.col("t.suffix").alias("suffix"))
+        first = pick(candidates(two.select(F.col("given").alias("word")), names)).select(F.col("word").alias("g"), "value", "score")
+        got = two.join(first, two.given == first.g).select("word", F.concat_ws(" ", "value", "suffix").alias("value"), F.when(F.col("suffix").isin(*TURKIC_MALE), "MALE").otherwise("FEMALE").alias("gender"), "score")
+        return got.union(pick(candidates(w.where(~turkic).select("word"), patronymics, k), k))
+
+    return with_retry(queries, answer)
+
+
+def with_retry(queries: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """answer(words) gives (word, value, gender, score); it is asked for each whole string and for its first words, all at once,
+    and the longest that has an answer counts, a shortened one at a score lower by 0.25."""
     q = queries.select("word").where("word is not null").distinct()
     n = F.size(F.split("word", " "))
     tries = F.when(n > 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("rank"), F.array_join(F.slice(F.split("word", " "), F.lit(1), n - i + 1), " ").alias("part")))).otherwise(F.array())
     t = q.select("word", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("rank"), F.col("word").alias("part"))), tries)).alias("t")).select("word", "t.rank", "t.part")
-    got = pick(candidates(t.select(F.col("part").alias("word")), gazetteer, k), k).withColumnRenamed("word", "part")
+    got = answer(t.select(F.col("part").alias("word"))).withColumnRenamed("word", "part")
     best = t.join(got, "part").groupBy("word").agg(F.min_by(F.struct("value", "gender", "score", "rank"), "rank").alias("b"))
     return best.select("word", "b.value", "b.gender", (F.col("b.score") - F.when(F.col("b.rank") > 0, 0.25).otherwise(0)).alias("score"))
+
+
+def suggest_licence(people: DataFrame, names: DataFrame, patronymics: DataFrame, surnames: DataFrame) -> DataFrame:
+    """people (fam_rus, name_rus, others) with `suggest`: the first word of name_rus as a given name, the others as a patronymic,
+    and fam_rus as a surname, each with value, gender and score (0 if there is none); null if none of them has an answer."""
+    words = F.split(F.trim(F.regexp_replace("name_rus", r"\s+", " ")), " ")
+    text = lambda c: F.when(c != "", c)
+    asked = people.withColumn("__I", text(words[0])).withColumn("__O", F.when(F.size(words) > 1, F.array_join(F.slice(words, 2, F.size(words)), " "))).withColumn("__F", text(F.col("fam_rus")))
+    of = lambda x: asked.select(F.col(f"__{x}").alias("word"))
+    answers = {"F": pick_retry(of("F"), surnames), "I": pick_retry(of("I"), names), "O": pick_patronymic(of("O"), names, patronymics)}
+    out = asked
+    for x, got in answers.items():
+        a = got.select(F.col("word").alias(f"__{x}_word"), F.struct("value", "gender", "score").alias(f"__{x}_answer"))
+        out = out.join(a, F.col(f"__{x}") == F.col(f"__{x}_word"), "left")
+    got = lambda x, c: F.col(f"__{x}_answer.{c}")
+    fields = [e for x in answers for e in (got(x, "value").alias(x), got(x, "gender").alias(f"{x}_gender"), F.coalesce(got(x, "score"), F.lit(0.0)).alias(f"{x}_score"))]
+    some = F.coalesce(*[F.col(f"__{x}_answer") for x in answers]).isNotNull()
+    return out.withColumn("suggest", F.when(some, F.struct(*fields))).select(*[F.col(c) for c in people.columns], "suggest")

@@ -54,34 +54,53 @@ def assign_band(x: Column, y: Column, x0: Column, y0: Column) -> Column:
     return out
 
 
-def cluster(boxes: list[tuple[int, int, int, int]]) -> list[list[int]]:
-    """Indexes of boxes (x, y, w, h) in lines: a box joins the first line whose centre lies within its height, and moves that
-    centre to the members' mean; lines from the top, boxes from the left."""
-    lines: list[tuple[float, list[int]]] = []
-    for i, (_, y, _, h) in enumerate(boxes):
+Box = tuple[int, int, int, int]
+
+
+def cluster(boxes: list[Box]) -> list[list[Box]]:
+    """Boxes (x, y, w, h) in lines: a box joins the first line whose centre lies within its height, and moves that centre half
+    the way to its own; lines from the top, boxes in order within each."""
+    lines: list[tuple[float, list[Box]]] = []
+    for box in boxes:
+        _, y, _, h = box
         mid = y + h / 2
         at = next((k for k, (c, _) in enumerate(lines) if y < c < y + h), None)
         if at is None:
-            lines.append((mid, [i]))
+            lines.append((mid, [box]))
         else:
-            c, members = lines[at]
-            lines[at] = ((c * len(members) + mid) / (len(members) + 1), [*members, i])
-    return [sorted(m, key=lambda i: boxes[i][0]) for _, m in sorted(lines, key=lambda v: v[0])]
+            lines[at] = ((lines[at][0] + mid) / 2, [*lines[at][1], box])
+    return [sorted(members) for _, members in sorted(lines, key=lambda v: v[0])]
+
+
+def joined(line: list[Box], ws: float, hs: float) -> list[Box]:
+    """A line's boxes with neighbours made one that overlap or lie less than 2 ws apart, if their heights differ by less than hs.
+    The height of a joined box is the sum of both over 1.9."""
+    out: list[Box] = []
+    for x, y, w, h in line:
+        if out:
+            px, py, pw, ph = out[-1]
+            overlap = px + pw - x
+            if (overlap > 0 or -overlap < 2 * ws) and abs(ph - h) < hs:
+                out[-1] = (px, min(py, y), max(pw, x + w - px) if overlap > 0 else x + w - px, round((ph + h) / 1.9))
+                continue
+        out.append((x, y, w, h))
+    return out
 
 
-def cluster_lines(boxes: DataFrame, page: list[str]) -> DataFrame:
-    """(page, line, pos, x, y, w, h): the boxes of each page in lines. Greedy in the order of idx, so a page is one group."""
+def cluster_lines(boxes: DataFrame, page: list[str], ws: float, hs: float) -> DataFrame:
+    """(page, line, pos, x, y, w, h): the boxes of each page in lines, with close neighbours joined. Greedy in the order of
+    idx, so a page is one group."""
     kinds = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
-    cols = [*page, "x", "y", "w", "h"]
+    names = ["x", "y", "w", "h"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable").reset_index(drop=True)
-        rows = [(n, p, i) for n, line in enumerate(cluster(list(pdf[["x", "y", "w", "h"]].itertuples(index=False, name=None)))) for p, i in enumerate(line)]
-        out = pdf.iloc[[i for _, _, i in rows]][cols].copy()
-        out["line"], out["pos"] = [n for n, _, _ in rows], [p for _, p, _ in rows]
-        return out
+        pdf = pdf.sort_values("idx", kind="stable")
+        lines = cluster([tuple(map(int, b)) for b in pdf[names].itertuples(index=False, name=None)])
+        rows = [(n, p, *b) for n, line in enumerate(lines) for p, b in enumerate(joined(line, ws, hs))]
+        out = pd.DataFrame(rows, columns=["line", "pos", *names])
+        return out.assign(**{c: pdf[c].iloc[0] for c in page})
 
-    return boxes.groupBy(*page).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", line int, pos int")
+    return boxes.groupBy(*page).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*page, *names]) + ", line int, pos int")
 
 
 def bottom_page(lines: DataFrame, page: list[str]) -> DataFrame:

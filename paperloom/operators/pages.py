@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.dates import FULL_DATE, SEPARATOR, check_dates, compare_dates
-from paperloom.functions.text import pick_serial
+from paperloom.functions.dates import BARE_YEAR, FULL_DATE, SEPARATOR, check_dates, compare_dates
+from paperloom.functions.text import error_patterns, pick_serial
 from paperloom.functions.translit import translit_check
 
 
@@ -37,20 +37,68 @@ def upper_share(token: str) -> bool:
 CODE = re.compile(rf"(?:[^0-9]|^)([0-9]{{3}}{SEPARATOR}[0-9]{{3}})(?:[^0-9]|$)")
 
 
+def date_in(line: str) -> str | None:
+    """As `find_date` for a column: the full date of a line, else its bare year."""
+    if m := re.search(FULL_DATE, line):
+        return re.sub(r"^(..)\.?(..)\.?(....)$", r"\1.\2.\3", re.sub(SEPARATOR, ".", m[1]))
+    return m[1] if (m := re.search(BARE_YEAR, line)) else None
+
+
+def gender_in(line: str) -> str | None:
+    """As `gender_token` for a column: МУЖ or ЖЕН if the first token of two or three capitals is like one of them."""
+    m = re.search("(?:[^А-Я]|^)([А-ЯЁ]{2,3})(?:[^А-Я]|$)", line)
+    return next((g for g in ("МУЖ", "ЖЕН") if m and any(re.search(p, m[1]) for p in error_patterns(g))), None)
+
+
 def parse_top(lines: list[list[str]]) -> tuple[str | None, str | None, str | None]:
-    """(vidan, data_vid, code_pod): from the second line until a date or a code, tokens in capitals make up the issuing office."""
+    """(vidan, data_vid, code_pod): from the second line up to the line with a date or a code, that line included, tokens in
+    capitals make up the issuing office."""
     office, date, code = [], None, None
     for n, tokens in enumerate(lines):
-        line = " ".join(tokens)
-        if date is None and (m := re.search(FULL_DATE, line)):
-            date = re.sub(r"^(..)\.?(..)\.?(....)$", r"\1.\2.\3", re.sub(SEPARATOR, ".", m[1]))
-        if code is None and (m := CODE.search(line)):
-            code = m[1]
+        line = " ".join(tokens).upper()
         if n and date is None and code is None:
             office += [t.upper() for t in tokens if upper_share(t)]
+        date = date or date_in(line)
+        if code is None and (m := CODE.search(line)):
+            code = m[1]
     return " ".join(office) or None, date, code
 
 
+# Labels of the lower page, which are no names; the first two within a text, the others as the whole run.
+LABELS, LABEL_WORDS = ("ФАМИЛИЯ", "ОТЧЕСТВО"), ("ИМЯ", "ПОЛ", "МУЖ", "ЖЕН")
+
+
+def parse_bottom(lines: list[list[str]]) -> tuple[str | None, ...]:
+    """(F, I, O, gender, birth_date, birth_place) of a lower page from the texts of its boxes, line by line.
+
+    Until a birth date or gender is seen, the surname is the first of four lines that has text, and given name and patronymic
+    are the next runs of Russian capitals, in lines 1 to 6 and 2 to 7; from there on words in capitals make up the birth place.
+    """
+    surname = given = patronymic = gender = date = None
+    place: list[str] = []
+    for n, boxes in enumerate(lines):
+        line = ""
+        for t in filter(None, (b.upper().strip() for b in boxes)):
+            line += t + " "
+            if len(t) < 3:
+                continue
+            if not (date or gender):
+                date, gender = date_in(line), gender_in(line)
+            run = re.search("[А-ЯЁ]{3,}", t)
+            if date or gender:
+                place += [w for w in t.split() if (upper_share(w) or w == "ГОР") and gender_in(w) is None]
+            elif run and surname and run[0] not in LABEL_WORDS and not any(label in t for label in LABELS):
+                if not given and 0 < n < 7:
+                    given = run[0]
+                elif not patronymic and 1 < n < 8:
+                    patronymic = run[0]
+        if line and not (date or gender):
+            if not surname and n < 4:
+                surname = line.strip()
+            date, gender = date_in(line), gender_in(line)
+    return surname, given, patronymic, gender, date, " ".join(place) or None
+
+
 def top_page(words: DataFrame, page: list[str]) -> DataFrame:
     """words (page, line, idx, text) of upper passport pages: vidan, data_vid, code_pod. A page's words are one group."""
     kinds = {f.name: f.dataType.simpleString() for f in words.schema.fields}
@@ -63,6 +111,20 @@ def top_page(words: DataFrame, page: list[str]) -> DataFrame:
     return words.groupBy(*page).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in page) + ", vidan string, data_vid string, code_pod string")
 
 
+def bottom_text(boxes: DataFrame, page: list[str]) -> DataFrame:
+    """boxes (page, line, idx, text) of lower passport pages: F, I, O, gender, birth_date, birth_place. A page's boxes are one
+    group; a line whose boxes have no text counts as a line."""
+    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
+    names = ["F", "I", "O", "gender", "birth_date", "birth_place"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["line", "idx"], kind="stable")
+        got = parse_bottom([list(g.text.fillna("")) for _, g in pdf.groupby("line")])
+        return pd.DataFrame([[*pdf[page].iloc[0], *got]], columns=[*page, *names])
+
+    return boxes.groupBy(*page).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in page) + "".join(f", {n} string" for n in names))
+
+
 # Fields of a licence's front in order, each with the field that it stands below, by how many rows, its x
 # offset, and its x window; those whose place, once found, moves the later ones.
 FRONT = (

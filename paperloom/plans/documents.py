@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.operators import gazetteer, pages, rules, votes
 from paperloom.plans.base import table
-from paperloom.plans.pages import GAZ, _view, in_gaz
+from paperloom.plans.pages import _view, in_gaz
 
 
 def serial_halves(spark, sf):
@@ -70,14 +71,51 @@ MERGE = "SELECT user_id AS job_id, (event_id % 3)::INT AS page, arg_min((event_i
 
 
 def licence_suggest(spark, sf):
-    """Suggestions for licence holders: the first word of the name, and the surname, from the gazetteer."""
-    p = table(spark, sf, "part").select(F.split("p_name", " ")[0].alias("first"), F.concat("p_name", F.lit("x")).alias("fam")).distinct()
+    """Suggestions for licence holders from misread names: words of parts' names as given names, whole ones as patronymics and
+    surnames; some names have one word, some words too many, some are empty."""
+    p = table(spark, sf, "part").select("p_name").distinct()
+    n, one = F.length("p_name"), F.split("p_name", " ")[0]
+    people = p.select(
+        "p_name",
+        F.when(n % 5 != 0, F.concat("p_name", F.when(n % 2 == 0, "x").otherwise(" qqqqqq zz"))).otherwise("").alias("fam_rus"),
+        F.when(n % 4 == 0, one).when(n % 4 == 1, F.concat(one, F.lit("z "), "p_name", F.lit("xyzw"))).when(n % 4 == 2, F.concat(one, F.lit(" "), "p_name", F.lit(" qqqqqq"))).alias("name_rus"),
+    )
     g = in_gaz(spark, sf)
-    got = gazetteer.pick(gazetteer.candidates(p.select(F.col("fam").alias("word")), g))
-    return p.select("fam").distinct().join(got, F.col("fam") == F.col("word"), "left").select("fam", F.col("value").alias("f"), "gender", "score")
-
-
-SUGGEST = GAZ.replace("v AS (SELECT DISTINCT p_name, substr(p_name, 1, 2) || substr(p_name, 4) AS w0, substr(p_name, 1, 3) || 'z' || substr(p_name, 5) AS w1 FROM part)", "v AS (SELECT DISTINCT p_name || 'x' AS fam FROM part)").replace("SELECT DISTINCT unnest([w0, w1, p_name, 'zz', substr(p_name, 1, 3)]) AS word FROM v", "SELECT fam AS word FROM v") + "SELECT v.fam, p.value AS f, p.gender, p.score FROM v LEFT JOIN p ON p.word = v.fam"
+    first = p.select(one.alias("key")).distinct()
+    names = first.select("key", F.row_number().over(W.orderBy("key")).alias("id"), (F.length("key") % 3).alias("gender"))
+    got = gazetteer.suggest_licence(people, names, g, g)
+    return got.select("p_name", "fam_rus", "name_rus", F.col("suggest").isNotNull().alias("found"), "suggest.*")
+
+
+def _answers(x: str, asked: str, keys: str, k: int) -> str:
+    """SQL for the answers {x} (word, value, score) of the strings in `asked`, with retries, from the table `keys` (key, id)."""
+    return f""",
+{x}0 AS (SELECT DISTINCT {asked} AS word FROM h WHERE {asked} IS NOT NULL), {x}1 AS (SELECT word, string_split(word, ' ') AS s FROM {x}0),
+{x}2 AS (SELECT word, s, unnest(range(0, CASE WHEN len(s) > 1 THEN len(s) + 1 ELSE 1 END)) AS rank FROM {x}1),
+{x}3 AS (SELECT word, rank, CASE WHEN rank = 0 THEN word ELSE array_to_string(s[1:len(s) - rank + 1], ' ') END AS part FROM {x}2),
+{x}4 AS (SELECT DISTINCT part, id, key, levenshtein(part, key) AS d FROM {x}3, {keys} WHERE levenshtein(part, key) <= {k}),
+{x}5 AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY d, id) AS n FROM {x}4),
+{x}6 AS (SELECT part, arg_min(key, n) AS top, min(d) AS d, min({{'id': id, 'key': key}}) FILTER (d = 0) AS l1, min({{'id': id, 'key': key}}) FILTER (d = 1) AS l2, min({{'id': id, 'key': key}}) FILTER (d = 2) AS l3 FROM {x}5 WHERE n <= 5 GROUP BY part),
+{x}7 AS (SELECT part, CASE WHEN l1 IS NOT NULL AND l2 IS NOT NULL THEN CASE WHEN l1.id > 5000 * l2.id THEN l2.key ELSE l1.key END
+  WHEN l2 IS NOT NULL AND l3 IS NOT NULL THEN CASE WHEN l2.id > 5000 * l3.id THEN l3.key ELSE l2.key END ELSE top END AS value,
+  CASE WHEN l1 IS NOT NULL AND l2 IS NOT NULL THEN CASE WHEN l1.id > 5000 * l2.id THEN 0.75 WHEN l1.key = part THEN 1 ELSE 0.75 END ELSE ({k} + 1 - d) / ({k} + 1) END::DOUBLE AS score FROM {x}6),
+{x}8 AS (SELECT word, arg_min({{'value': value, 'score': score, 'rank': rank}}, rank) AS b FROM {x}3 JOIN {x}7 USING (part) GROUP BY word),
+{x} AS (SELECT word, b.value AS value, b.score - CASE WHEN b.rank > 0 THEN 0.25 ELSE 0 END AS score, ['UNKNOWN', 'MALE', 'FEMALE'][length(b.value) % 3 + 1] AS gender FROM {x}8)"""
+
+
+SUGGEST = (
+    """WITH n AS (SELECT p_name AS key, count(*) AS c FROM part GROUP BY 1), g AS (SELECT key, row_number() OVER (ORDER BY c DESC, key) AS id FROM n),
+f AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS key FROM part), fg AS (SELECT key, row_number() OVER (ORDER BY key) AS id FROM f),
+b AS (SELECT DISTINCT p_name, length(p_name) AS n, string_split(p_name, ' ')[1] AS one FROM part),
+h AS (SELECT p_name, CASE WHEN n % 5 = 0 THEN '' WHEN n % 2 = 0 THEN p_name || 'x' ELSE p_name || ' qqqqqq zz' END AS fam_rus,
+  CASE n % 4 WHEN 0 THEN one WHEN 1 THEN one || 'z ' || p_name || 'xyzw' WHEN 2 THEN one || ' ' || p_name || ' qqqqqq' END AS name_rus,
+  CASE WHEN n % 5 <> 0 THEN CASE WHEN n % 2 = 0 THEN p_name || 'x' ELSE p_name || ' qqqqqq zz' END END AS af, CASE n % 4 WHEN 0 THEN one WHEN 1 THEN one || 'z' WHEN 2 THEN one END AS ai,
+  CASE n % 4 WHEN 1 THEN p_name || 'xyzw' WHEN 2 THEN p_name || ' qqqqqq' END AS ao FROM b)"""
+    + _answers("sf", "af", "g", 3) + _answers("si", "ai", "fg", 3) + _answers("so", "ao", "g", 4)
+    + """ SELECT p_name, fam_rus, name_rus, sf.word IS NOT NULL OR si.word IS NOT NULL OR so.word IS NOT NULL AS found,
+  sf.value AS F, sf.gender AS F_gender, CASE WHEN found THEN coalesce(sf.score, 0) END AS F_score, si.value AS I, si.gender AS I_gender, CASE WHEN found THEN coalesce(si.score, 0) END AS I_score,
+  so.value AS O, so.gender AS O_gender, CASE WHEN found THEN coalesce(so.score, 0) END AS O_score FROM h LEFT JOIN sf ON af = sf.word LEFT JOIN si ON ai = si.word LEFT JOIN so ON ao = so.word"""
+)
 
 
 def licence_front(spark, sf):
@@ -95,13 +133,34 @@ FRONT = "SELECT c_custkey, 'ПЕТРОВ' AS fam_rus, 'PETROV' AS fam_eng, 'ИВ
 
 def top_page(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey")
-    tokens = [(0, "ПАСПОРТ"), (1, "ОТДЕЛОМ"), (1, "12"), (1, "УВД"), (2, "ОМСКА"), (3, "05.03.2019"), (3, "770-012"), (4, "ПОЗЖЕ")]
+    tokens = [(0, "ПАСПОРТ"), (1, "ОТДЕЛОМ"), (1, "12"), (1, "УВД"), (2, "ОМСКА"), (3, "УФМС"), (3, "05.03.2019"), (3, "770-012"), (4, "ПОЗЖЕ")]
     rows = F.array(*[F.struct(F.lit(n).alias("line"), F.lit(i).alias("idx"), F.lit(t).alias("text")) for i, (n, t) in enumerate(tokens)])
     w = c.select("c_custkey", F.explode(rows).alias("w")).select("c_custkey", "w.*").where("line != 3 or c_custkey % 2 = 0")
     return pages.top_page(w, ["c_custkey"])
 
 
-TOP = "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'ОТДЕЛОМ УВД ОМСКА' ELSE 'ОТДЕЛОМ УВД ОМСКА ПОЗЖЕ' END AS vidan, CASE WHEN c_custkey % 2 = 0 THEN '05.03.2019' END AS data_vid, CASE WHEN c_custkey % 2 = 0 THEN '770-012' END AS code_pod FROM customer"
+TOP = "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'ОТДЕЛОМ УВД ОМСКА УФМС' ELSE 'ОТДЕЛОМ УВД ОМСКА ПОЗЖЕ' END AS vidan, CASE WHEN c_custkey % 2 = 0 THEN '05.03.2019' END AS data_vid, CASE WHEN c_custkey % 2 = 0 THEN '770-012' END AS code_pod FROM customer"
+
+
+def bottom_text(spark, sf):
+    """Lower pages read box by box: labels, lines that may be missing, a gender or a date alone, and words after it."""
+    c = table(spark, sf, "customer").select("c_custkey")
+    k = F.col("c_custkey")
+    boxes = [
+        (0, F.lit("Петров")), (1, F.lit("ИМЯ")), (1, F.when(k % 3 != 0, "ИВАН").otherwise("ИВ")), (2, F.lit("ОТЧЕСТВО")), (2, F.lit("ИЛЬИЧ")),
+        (3, F.when(k % 2 == 0, "МУЖ").otherwise("12")), (3, F.concat(F.lit("0"), (k % 9 + 1).cast("string"), F.lit(".05.1980"))), (4, F.lit("ГОР ОМСК")), (4, F.lit("жен")),
+    ]
+    rows = F.array(*[F.struct(F.lit(n).alias("line"), F.lit(i).alias("idx"), F.concat(t, F.lit("")).alias("text")) for i, (n, t) in enumerate(boxes)])
+    w = c.select("c_custkey", F.explode(rows).alias("w")).select("c_custkey", "w.*").where("line != c_custkey % 7")
+    return pages.bottom_text(w, ["c_custkey"])
+
+
+# Without line 0 the labels' line is the surname; without line 3 nothing ends the names, and the first short word of the next
+# line hides the gender behind it.
+BOTTOM_TEXT = """WITH c AS (SELECT c_custkey AS k, c_custkey % 7 AS x, c_custkey % 3 <> 0 AS four FROM customer)
+SELECT k AS c_custkey, CASE WHEN x <> 0 THEN 'ПЕТРОВ' WHEN four THEN 'ИМЯ ИВАН' ELSE 'ИМЯ ИВ' END AS F, CASE WHEN x < 2 THEN 'ИЛЬИЧ' WHEN four THEN 'ИВАН' WHEN x > 2 THEN 'ИЛЬИЧ' END AS I,
+  CASE WHEN x > 2 AND four THEN 'ИЛЬИЧ' WHEN x = 3 THEN 'ГОР' END AS O, CASE WHEN x <> 3 AND k % 2 = 0 THEN 'МУЖ' END AS gender,
+  CASE WHEN x <> 3 AND k % 2 = 1 THEN '0' || (k % 9 + 1) || '.05.1980' END AS birth_date, CASE WHEN x NOT IN (3, 4) THEN 'ГОР ОМСК' END AS birth_place FROM c"""
 
 QUERIES = {
     "serial_halves": (serial_halves, SERIAL),
@@ -113,4 +172,5 @@ QUERIES = {
     "licence_suggest": (licence_suggest, SUGGEST),
     "licence_front": (licence_front, FRONT),
     "top_page": (top_page, TOP),
+    "bottom_text": (bottom_text, BOTTOM_TEXT),
 }

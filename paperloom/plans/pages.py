@@ -368,7 +368,7 @@ BAND = WORDS + ", b AS (SELECT CASE " + " ".join(f"WHEN abs(top - 25 - {dy}) < 1
 
 def line_cluster(spark, sf):
     boxes = layout.union_box(in_boxes(spark, sf), ["doc_id", "line"]).withColumn("idx", F.col("line").cast("long")).drop("line")
-    return layout.cluster_lines(boxes, ["doc_id"])
+    return layout.cluster_lines(boxes, ["doc_id"], ws=10, hs=12)
 
 
 def bottom_page(spark, sf):

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -99,30 +102,28 @@ def parse_bottom(lines: list[list[str]]) -> tuple[str | None, ...]:
     return surname, given, patronymic, gender, date, " ".join(place) or None
 
 
-def top_page(words: DataFrame, page: list[str]) -> DataFrame:
-    """words (page, line, idx, text) of upper passport pages: vidan, data_vid, code_pod. A page's words are one group."""
-    kinds = {f.name: f.dataType.simpleString() for f in words.schema.fields}
+def parsed_pages(words: DataFrame, page: list[str], parse: Callable[[list[list[str]]], tuple], names: list[str]) -> DataFrame:
+    """words (page, line, idx, text) as one row for each page: parse(texts by line) gives the columns `names`. Words are put
+    together by Spark, so Python gets batches of pages. A null text is an empty one, and its line counts."""
+    parts = F.array_sort(F.collect_list(F.struct("line", "idx", F.coalesce("text", F.lit("")).alias("text"))))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["line", "idx"], kind="stable")
-        got = parse_top([list(g.text) for _, g in pdf.groupby("line")])
-        return pd.DataFrame([[*pdf[page].iloc[0], *got]], columns=[*page, "vidan", "data_vid", "code_pod"])
+    @F.pandas_udf(", ".join(f"{n} string" for n in names))
+    def run(lines: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        rows = [parse([[t for _, t in g] for _, g in groupby(zip(n, t), key=itemgetter(0))]) for n, t in zip(lines, texts)]
+        return pd.DataFrame(rows, columns=names, dtype=object)
 
-    return words.groupBy(*page).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in page) + ", vidan string, data_vid string, code_pod string")
+    pages = words.groupBy(*page).agg(parts.alias("__words"))
+    return pages.select(*page, run("__words.line", "__words.text").alias("__got")).select(*page, "__got.*")
 
 
-def bottom_text(boxes: DataFrame, page: list[str]) -> DataFrame:
-    """boxes (page, line, idx, text) of lower passport pages: F, I, O, gender, birth_date, birth_place. A page's boxes are one
-    group; a line whose boxes have no text counts as a line."""
-    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
-    names = ["F", "I", "O", "gender", "birth_date", "birth_place"]
+def top_page(words: DataFrame, page: list[str]) -> DataFrame:
+    """words (page, line, idx, text) of upper passport pages: vidan, data_vid, code_pod."""
+    return parsed_pages(words, page, parse_top, ["vidan", "data_vid", "code_pod"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["line", "idx"], kind="stable")
-        got = parse_bottom([list(g.text.fillna("")) for _, g in pdf.groupby("line")])
-        return pd.DataFrame([[*pdf[page].iloc[0], *got]], columns=[*page, *names])
 
-    return boxes.groupBy(*page).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in page) + "".join(f", {n} string" for n in names))
+def bottom_text(boxes: DataFrame, page: list[str]) -> DataFrame:
+    """boxes (page, line, idx, text) of lower passport pages: F, I, O, gender, birth_date, birth_place."""
+    return parsed_pages(boxes, page, parse_bottom, ["F", "I", "O", "gender", "birth_date", "birth_place"])
 
 
 # Fields of a licence's front in order, each with the field that it stands below, by how many rows, its x

@@ -46,6 +46,14 @@ def test_bottom():
     assert pages.parse_bottom([]) == (None,) * 6
 
 
+def test_pages_of_words(spark):
+    """Lines in order whatever the order of rows; null texts are empty, and their lines count."""
+    rows = [(1, 2, 1, "жен"), (1, 2, 0, "01.02.1980"), (1, 0, 0, None), (1, 1, 0, "ИВАНОВ"), (2, 0, 0, None), (None, 0, 0, "ПЕТРОВ")]
+    got = {r[0]: tuple(r)[1:] for r in pages.bottom_text(spark.createDataFrame(rows, "k int, line int, idx int, text string"), ["k"]).collect()}
+    assert got == {1: ("ИВАНОВ", None, None, None, "01.02.1980", None), 2: (None,) * 6, None: ("ПЕТРОВ", None, None, None, None, None)}
+    assert pages.top_page(spark.createDataFrame([], "k int, line int, idx int, text string"), ["k"]).count() == 0
+
+
 def test_patronymic(spark):
     kind = "id int, key string, gender int"
     names = spark.createDataFrame([(1, "ИБРАГИМ", 1), (2, "ЛЕЙЛА", 2)], kind)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, decontam, knn, langid, linededup, mixing, pii, sharding, simhash, warc
+from paperloom.llm import chat, decontam, fim, knn, langid, lexical, linededup, lm, mixing, pii, sharding, simhash, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -179,9 +179,60 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM o WHERE rank <= 20
 """
 
 
+def op11_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = lm.held_out(F.col("doc_id"))
+    return lm.score(docs.select("doc_id", held.alias("held_out"), "text"), lm.fit(docs, ~held), ["doc_id", "held_out"])
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=50)
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+), k AS (SELECT count(*) AS all_docs, sum(len(w))::BIGINT AS all_terms FROM d WHERE len(w) > 0),
+e AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d WHERE len(w) > 0),
+p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM e WHERE t IN (SELECT t FROM b) GROUP BY r, doc_id, n, t),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(all_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, k GROUP BY t),
+s AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * all_docs) // all_terms))))::BIGINT AS score
+  FROM b JOIN p USING (t) JOIN w USING (t), k GROUP BY item_id, r, doc_id
+), o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 50
+"""
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(read(spark, sf_dir, "documents"), seed=42, percent=50, spm_percent=80)
+    digests = [F.sha2(F.col("output"), 256).alias("output_sha256"), F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h FROM documents),
+x AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+    ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), y AS (
+  SELECT doc_id, t, len(w) AS n, w, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM x
+), z AS (
+  SELECT doc_id, t, n, form, coalesce(array_to_string(w[1:a], ''), '') AS p, coalesce(array_to_string(w[a + 1:b], ''), '') AS m, coalesce(array_to_string(w[b + 1:], ''), '') AS s FROM y
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM z
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_linededup": op4_linededup, "op5_sharding": op5_sharding, "op6_pii": op6_pii, "op7_warc": op7_warc, "op8_langid": op8_langid, "op9_decontamination": op9_decontamination, "op10_topk": op10_topk}
+    return {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_linededup": op4_linededup, "op5_sharding": op5_sharding, "op6_pii": op6_pii, "op7_warc": op7_warc, "op8_langid": op8_langid, "op9_decontamination": op9_decontamination, "op10_topk": op10_topk, "op11_lm": op11_lm, "op12_lexical": op12_lexical, "op13_fim": op13_fim}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_linededup": OP4_SQL, "op7_warc": OP7_SQL, "op9_decontamination": OP9_SQL, "op10_topk": OP10_SQL}
+    return {"op4_linededup": OP4_SQL, "op7_warc": OP7_SQL, "op9_decontamination": OP9_SQL, "op10_topk": OP10_SQL, "op12_lexical": OP12_SQL, "op13_fim": OP13_SQL}

@@ -1,11 +1,10 @@
 """Dedup of multi-line passages by content-defined line chunks, in DataFrame functions only.
 
-A hash rolls over the hashes of each `window` successive lines; its value modulo `classes` is the class of the line where the
-window starts. At each line a chunk starts that ends before the next line of the same class. So boundaries depend on
-nearby lines alone, wherever a passage stands, and of `classes` + `window` lines in a row, the first line and those after
-it hold a whole chunk: no longer passage is missed. Chunks that occur more than once are found by line hashes, of which equal ones are
-compared byte for byte; each that isn't the first of its bytes is extended line by line, both ways, as long as each two
-neighbouring lines have stood together before. What is removed has two lines or more, and its first occurrence stays.
+A hash rolls over each two neighbouring lines. Where such a pair of lines stands nowhere else, no repeated chunk can span it, so
+chunks always end there; within a run of repeated pairs, a chunk ends before a line at which the rolling hash, over line
+hashes, is 0 modulo `divisor`. So boundaries depend on the lines around them alone, wherever a passage stands, and chunks
+don't overlap. A chunk has two lines or more; a repeated line by itself is one only if it is long. Chunks are compared byte for byte;
+of equal ones all but the first go, so each chunk's text stays where it first stands, whole.
 """
 
 from __future__ import annotations
@@ -14,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import drop_staged, row_key, stage
+from paperloom.llm.common import drop_staged, row_key, stage, word_count
 
-#: Lines that the rolling hash covers, and classes of boundaries.
-WINDOW, CLASSES = 1, 2
+#: One in so many lines of a long run begins a chunk, about.
+DIVISOR = 4
+#: Words from which a single line is a passage.
+LONG = 50
 #: Base of the rolling hash.
 BASE = 31
 KEY = ("k_id", "k_text", "k_crc")
@@ -29,97 +30,81 @@ def _digits(two: Column) -> Column:
     return (one(1) * 16 + one(2)).cast("long")
 
 
-def line_hash(line: Column) -> Column:
-    return F.xxhash64(line)
-
-
 def _plain(name: str) -> Column:
     """The column as an expression. Of a bare column that is exploded Spark infers a filter on its size, which it
     pushes below the projections, where lambdas then hold whole expressions and compute them for each element."""
     return F.when(F.col(name).isNotNull(), F.col(name))
 
 
-def chunks(docs: DataFrame, id_col: str, text: str, window: int, classes: int) -> DataFrame:
-    """(k_id, k_text, k_crc, i, e, line): each line of each text, with the chunk [i, e) that starts there."""
+def marks(docs: DataFrame, id_col: str, text: str, divisor: int, long: int) -> DataFrame:
+    """(k_id, k_text, k_crc, pair, i, h, cut): each pair of neighbouring lines and each long line of each text by the place i
+    of its first line: its hash, and whether the rolling hash says that a chunk begins there."""
     df = docs.where(F.col(text).isNotNull()).select(*row_key(F.col(id_col), F.col(text)), F.split(F.col(text), "\n", -1).alias("lines"))
-    df = df.withColumn("d", F.transform("lines", lambda x: _digits(F.substring(F.md5(x.cast("binary")), 1, 2))))
-    d = F.col("d")
-    rolled = F.transform(d, lambda _, i: F.aggregate(F.slice(d, i + 1, F.lit(window)), F.lit(0).cast("long"), lambda a, x: a * BASE + x) % classes) if window > 1 else F.transform(d, lambda x: x % classes)
-    df = df.withColumn("c", rolled).withColumn("n", F.size("lines"))
-    for k in range(classes):  # the lines of one class, in order: each chunk ends where the next of them starts
-        df = df.withColumn(f"s{k}", F.filter(F.transform("c", lambda c, i: F.when(c == k, i)), lambda i: i.isNotNull()))  # noqa: B023
-    spans = [F.transform(f"s{k}", lambda s, at: F.struct(s.alias("i"), F.coalesce(F.get(F.col(f"s{k}"), at + 1), F.col("n")).alias("e"))) for k in range(classes)]  # noqa: B023
-    df = df.select(*KEY, "lines", F.concat(*spans).alias("spans"))
-    return df.select(*KEY, "lines", F.explode(_plain("spans")).alias("p")).select(*KEY, "p.i", "p.e", F.col("lines")[F.col("p.i")].alias("line"))
-
-
-def repeated_lines(docs: DataFrame, id_col: str, text: str, window: int, classes: int, hashed=line_hash) -> DataFrame:
-    """(k_id, k_text, k_crc, i, e, line): of lines that occur more than once, line being a long that is equal where the bytes are."""
-    each = chunks(docs, id_col, text, window, classes).withColumn("h", hashed(F.col("line")))
+    df = df.withColumn("hs", F.transform("lines", lambda x: F.xxhash64(x))).withColumn("ds", F.transform("lines", lambda x: _digits(F.substring(F.md5(x.cast("binary")), 1, 2))))
+    hs, ds, none = F.col("hs"), F.col("ds"), F.lit(False)
+    pairs = F.transform(F.slice(hs, 1, F.size(hs) - 1), lambda h, i: F.struct(F.lit(True).alias("pair"), i.alias("i"), F.xxhash64(h, F.get(hs, i + 1)).alias("h"), ((F.get(ds, i) * BASE + F.get(ds, i + 1)) % divisor == 0).alias("cut")))
+    singles = F.transform("lines", lambda x, i: F.when(word_count(x) >= long, F.struct(none.alias("pair"), i.alias("i"), F.get(hs, i).alias("h"), none.alias("cut"))))
+    df = df.withColumn("marks", F.concat(pairs, F.filter(singles, lambda m: m.isNotNull())))
+    return df.select(*KEY, F.explode(_plain("marks")).alias("m")).select(*KEY, "m.pair", "m.i", "m.h", "m.cut")
+
+
+def chunks(docs: DataFrame, id_col: str, text: str, divisor: int = DIVISOR, long: int = LONG) -> DataFrame:
+    """(k_id, k_text, k_crc, s, e): the chunks [s, e) of lines that may be repeated; others aren't made. They don't overlap."""
+    each = marks(docs, id_col, text, divisor, long)
     at = F.struct(*KEY, "i")
-    often = stage(each.select("h", at.alias("at")).groupBy("h").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo != hi").select("h"), "repeated-hashes")
-    # the repeated hashes grow with the corpus: no broadcast at any size. Repeated rows are one
-    lines = stage(each.join(often.hint("merge"), "h", "left_semi").select(*KEY, "i", "e", "h", "line"), "repeated-texts")
-    # equal hashes are compared byte for byte; texts are combined before they are shuffled
-    mixed = stage(lines.groupBy("h").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo != hi").select(F.col("h").alias("m_h")), "mixed-hashes")
-    if mixed.isEmpty():
-        return lines.select(*KEY, "i", "e", F.col("h").alias("line")).distinct()
-    # some different lines share a hash: those are told apart by their bytes
-    unclear = lines.join(mixed, lines.h == mixed.m_h, "left_semi")
-    numbered = unclear.select("h", "line").distinct().select(F.col("h").alias("n_h"), F.col("line").alias("n_line"), F.row_number().over(W.partitionBy("h").orderBy("line")).alias("number"))
-    own = unclear.join(numbered, (unclear.h == numbered.n_h) & (unclear.line == numbered.n_line)).select(*KEY, "i", "e", F.struct("h", "number").alias("id"))
-    clear = lines.join(mixed, lines.h == mixed.m_h, "left_anti").select(*KEY, "i", "e", F.struct("h", F.lit(0).alias("number")).alias("id"))
-    every = stage(clear.union(own).distinct(), "told-lines")
-    names = stage(every.select("id").distinct().select(F.col("id").alias("n_id"), F.monotonically_increasing_id().alias("line")), "line-names")
-    return stage(every.join(names, every.id == names.n_id).select(*KEY, "i", "e", "line"), "repeated-lines")
-
-
-def passages(docs: DataFrame, id_col: str, text: str, window: int = WINDOW, classes: int = CLASSES, hashed=line_hash) -> DataFrame:
-    """(k_id, k_text, k_crc, spans): the passages [a, b] of lines of each text that go, in order. A text is named by its keys;
+    often = each.select("pair", "h", at.alias("at")).groupBy("pair", "h").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo != hi").select(F.col("pair").alias("o_pair"), F.col("h").alias("o_h"))
+    often = stage(often, "repeated-marks")
+    # the repeated hashes grow with the corpus: no broadcast at any size. Both sides come straight from an exchange
+    met = each.join(often.hint("merge"), (each.pair == often.o_pair) & (each.h == often.o_h), "left_semi")
+    # by line: does a repeated pair begin, does one end, is the line itself repeated and long
+    line = F.explode(F.when(F.col("pair"), F.array(F.struct(F.col("i").alias("i"), F.lit(1).alias("begins"), F.lit(0).alias("ends"), F.lit(0).alias("alone"), F.col("cut").cast("int").alias("cut")), F.struct((F.col("i") + 1).alias("i"), F.lit(0).alias("begins"), F.lit(1).alias("ends"), F.lit(0).alias("alone"), F.lit(0).alias("cut")))).otherwise(F.array(F.struct(F.col("i").alias("i"), F.lit(0).alias("begins"), F.lit(0).alias("ends"), F.lit(1).alias("alone"), F.lit(0).alias("cut"))))).alias("l")
+    lines = met.select(*KEY, line).select(*KEY, "l.*").groupBy(*KEY, "i").agg(*[F.max(c).alias(c) for c in ("begins", "ends", "cut")])
+    text_lines = W.partitionBy(*KEY).orderBy("i")  # of one text
+    # a cut leaves two lines or more on both sides, and none follows another at once
+    cut = (F.col("begins") == 1) & (F.col("ends") == 1) & (F.col("cut") == 1) & (F.lag("ends").over(text_lines) == 1) & (F.lag("cut").over(text_lines) == 0)
+    starts = (F.col("ends") == 0) | F.coalesce(cut, F.lit(False))
+    numbered = lines.withColumn("number", F.sum(F.when(starts, 1).otherwise(0)).over(text_lines.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy(*KEY, "number").agg(F.min("i").alias("s"), (F.max("i") + 1).alias("e")).drop("number")
+
+
+def passages(docs: DataFrame, id_col: str, text: str, divisor: int = DIVISOR, long: int = LONG) -> DataFrame:
+    """(k_id, k_text, k_crc, spans): the chunks [s, e) of lines of each text that go, in order. A text is named by its keys;
     rows with equal id and text are one."""
-    lines = repeated_lines(docs, id_col, text, window, classes, hashed)
-    # a text's repeated lines, written: lambdas then read plain columns
-    xs = lines.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("i", "e", "line"))).alias("xs"))
-    xs = stage(xs.select(*KEY, F.transform("xs", lambda x: x["i"]).alias("at"), F.transform("xs", lambda x: x["e"]).alias("end"), F.transform("xs", lambda x: x["line"]).alias("ls")), "repeated-by-text")
-    at, end, ls = F.col("at"), F.col("end"), F.col("ls")
-    # pairs of neighbouring lines, and chunks all of whose lines are repeated, as lists of lines
-    pair = F.transform(at, lambda i, k: F.when(F.get(at, k + 1) == i + 1, F.struct(F.lit(0).alias("kind"), i.alias("i"), F.slice(ls, k + 1, F.lit(2)).alias("ls"))))
-    chunk = F.transform(at, lambda i, k: F.when(F.get(at, k + F.get(end, k) - i - 1) == F.get(end, k) - 1, F.struct(F.lit(1).alias("kind"), i.alias("i"), F.slice(ls, k + 1, F.get(end, k) - i).alias("ls"))))
-    marks = xs.select(*KEY, F.explode(F.filter(F.concat(pair, chunk), lambda m: m.isNotNull())).alias("m")).select(*KEY, "m.kind", "m.i", "m.ls")
-    place = F.struct(F.col("k_id").isNull().alias("z"), *KEY, "i")
-    first = marks.groupBy("kind", "ls").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
-    first = stage(first.select(F.col("kind").alias("f_kind"), F.col("ls").alias("f_ls"), "first"), "first-marks")
+    found = chunks(docs, id_col, text, divisor, long).groupBy(*[F.col(k).alias(f"c_{k}") for k in KEY]).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    rows = docs.where(F.col(text).isNotNull()).select(*row_key(F.col(id_col), F.col(text)), F.col(text).alias("whole"))
+    met = rows.join(found.hint("merge"), rows.k_id.eqNullSafe(found.c_k_id) & rows.k_text.eqNullSafe(found.c_k_text) & (rows.k_crc == found.c_k_crc))
+    met = met.withColumn("lines", F.split("whole", "\n", -1)).select(*KEY, "lines", F.explode(_plain("spans")).alias("p"))
+    place = F.struct(F.col("k_id").isNull().alias("z"), *KEY, "s")
+    parts = met.select(*KEY, "p.s", "p.e", F.array_join(F.slice("lines", F.col("p.s") + 1, F.col("p.e") - F.col("p.s")), "\n").alias("chunk"))
+    parts = stage(parts.withColumn("hash", F.xxhash64("chunk")), "chunks")
+    # equal hashes count only with equal bytes: both are keys
+    first = parts.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
+    first = stage(first.select(F.col("hash").alias("f_hash"), F.col("chunk").alias("f_chunk"), "first"), "first-chunks")
     # both sides of this join come straight from an exchange, so a very common passage can be split among tasks
-    later = stage(marks.join(first, (marks.kind == first.f_kind) & (marks.ls == first.f_ls)).where(place != F.col("first")).select(*KEY, "kind", "i", F.size("ls").alias("n")), "later-marks")
-    pairs = later.where("kind = 0").select(*KEY, "i", F.lit(True).alias("pair"), F.lit(False).alias("anchor"))
-    # a chunk lies in the run of pairs that holds its first pair; one of a single line may be the first or last line of one
-    whole = later.where("kind = 1").select(*KEY, F.explode(F.when(F.col("n") > 1, F.array("i")).otherwise(F.array(F.col("i"), F.col("i") - 1))).alias("i"), F.lit(False).alias("pair"), F.lit(True).alias("anchor"))
-    met = pairs.union(whole).groupBy(*KEY, "i").agg(F.max("pair").alias("pair"), F.max("anchor").alias("anchor")).where("pair")
-    run = F.col("i") - F.row_number().over(W.partitionBy(*KEY).orderBy("i"))  # a text's pairs
-    runs = met.withColumn("run", run).groupBy(*KEY, "run").agg(F.min("i").alias("a"), (F.max("i") + 1).alias("b"), F.max("anchor").alias("anchor")).where("anchor")
-    out = stage(runs.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans")), "passages")
-    drop_staged(xs, first, later)
+    later = parts.join(first, (parts.hash == first.f_hash) & (parts.chunk == first.f_chunk)).where(place != F.col("first")).select(*KEY, "s", "e").distinct()
+    out = stage(later.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans")), "passages")
+    drop_staged(parts, first)
     return out
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, classes: int = CLASSES) -> DataFrame:
-    """docs' id and text with removed_passages, removed_lines and kept_text: the text without passages that came before.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", divisor: int = DIVISOR, long: int = LONG) -> DataFrame:
+    """docs' id and text with removed_passages, removed_lines and kept_text: the text without chunks that came before.
 
-    The first occurrence of a passage is that in the smallest id (nulls last), then text hash, then line. A null text stays
+    The first of equal chunks, which stays, is that in the smallest id (nulls last), then text hash, then line. A null text stays
     null; a text all of whose lines go becomes empty; empty lines are lines. Repeated rows (equal id and text) are one
     occurrence and are treated alike. Texts of any length are read whole, in time linear in their lines. An empty table
     gives an empty result; other columns of docs are not read, whatever their names.
     """
-    gone = passages(docs, id_col, text, window, classes)
+    gone = passages(docs, id_col, text, divisor, long)
     gone = gone.select(F.col("k_id").alias("g_id"), F.col("k_text").alias("g_text"), F.col("k_crc").alias("g_crc"), "spans")
     rows = docs.select(F.col(id_col).alias("id"), *row_key(F.col(id_col), F.col(text)), F.col(text).alias("whole"))
     j = rows.join(gone.hint("merge"), rows.k_id.eqNullSafe(gone.g_id) & rows.k_text.eqNullSafe(gone.g_text) & (rows.k_crc == gone.g_crc), "left").select("id", "whole", "spans")
     j = j.withColumn("lines", F.when(F.col("spans").isNotNull(), F.split(F.col("whole"), "\n", -1)))
     n, spans = F.size("lines"), F.col("spans")
-    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["b"] + 1))
-    ends = F.concat(F.transform(spans, lambda s: s["a"]), F.array(n))
+    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["e"]))
+    ends = F.concat(F.transform(spans, lambda s: s["s"]), F.array(n))
     left = F.flatten(F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: F.slice(F.when(n > 0, F.col("lines")), x["s"] + 1, x["e"] - x["s"])))
-    cut = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + (s["b"] - s["a"] + 1))
+    cut = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + (s["e"] - s["s"]))
     some = spans.isNotNull()
     return j.select(
         F.col("id").alias(id_col), F.col("whole").alias(text), F.when(some, F.size(spans)).otherwise(0).cast("long").alias("removed_passages"),

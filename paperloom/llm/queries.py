@@ -30,29 +30,32 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.dedup(read(spark, sf_dir, "documents"), window=1, classes=2)
+    found = linededup.dedup(read(spark, sf_dir, "documents"), divisor=4, long=50)
     return found.select("doc_id", "removed_passages", "removed_lines", "kept_text")
 
 
-OP4_SQL = """
+OP4_SQL = r"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i, len(ls) AS n FROM l),
-c AS (SELECT *, (strpos('0123456789abcdef', substr(md5(line), 2, 1)) - 1) % 2 AS class FROM e),
-x AS (SELECT *, coalesce(lead(i) OVER (PARTITION BY doc_id, class ORDER BY i), n) AS till FROM c),
-p AS (
-  SELECT a.doc_id, a.i, a.till, string_agg(b.line, chr(10) ORDER BY b.i) AS chunk
-  FROM x a JOIN x b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.i < a.till GROUP BY a.doc_id, a.i, a.till
-), k AS (SELECT doc_id, i, till, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, i) > 1 AS later FROM p),
-w AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next_line FROM e),
-v AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, i) > 1 AS later FROM w WHERE next_line IS NOT NULL),
-r AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM v WHERE later),
-runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 1 AS b FROM r GROUP BY doc_id, run),
-h AS (SELECT doc_id, i FROM k WHERE later UNION SELECT doc_id, i - 1 FROM k WHERE later AND till = i + 1),
-g AS (SELECT runs.doc_id, a, b FROM runs JOIN h ON runs.doc_id = h.doc_id AND h.i BETWEEN a AND b - 1 GROUP BY runs.doc_id, a, b),
-m AS (SELECT e.doc_id, e.i, e.line, g.a FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.i BETWEEN g.a AND g.b),
+e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM l),
+x AS (
+  SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after,
+    16 * (strpos('0123456789abcdef', substr(md5(line), 1, 1)) - 1) + strpos('0123456789abcdef', substr(md5(line), 2, 1)) - 1 AS d,
+    len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words FROM e
+), p AS (SELECT doc_id, i, (31 * d + lead(d) OVER (PARTITION BY doc_id ORDER BY i)) % 4 = 0 AS cut, after IS NOT NULL AND count(*) OVER (PARTITION BY line, after) > 1 AS twice,
+  words >= 50 AND count(*) OVER (PARTITION BY line) > 1 AS alone FROM x),
+q AS (
+  SELECT doc_id, i, twice AS begins, coalesce(lag(twice) OVER (PARTITION BY doc_id ORDER BY i), false) AS ends, cut AND twice AS cut, alone FROM p
+), r AS (
+  SELECT doc_id, i, NOT ends OR (begins AND cut AND lag(ends) OVER w AND NOT lag(cut) OVER w) AS starts FROM q WHERE begins OR ends OR alone
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), n AS (SELECT doc_id, i, sum(starts::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS number FROM r),
+c AS (
+  SELECT doc_id, number, min(i) AS s, max(i) AS z, string_agg(line, chr(10) ORDER BY i) AS chunk FROM n JOIN e USING (doc_id, i) GROUP BY doc_id, number
+), g AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, s) > 1 AS later FROM c),
+m AS (SELECT e.doc_id, e.i, e.line, g.s FROM e LEFT JOIN g ON later AND e.doc_id = g.doc_id AND e.i BETWEEN g.s AND g.z),
 o AS (
-  SELECT doc_id, count(DISTINCT a) AS removed_passages, count(a) AS removed_lines,
-    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (a IS NULL), '') AS kept_text FROM m GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT s) AS removed_passages, count(s) AS removed_lines,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (s IS NULL), '') AS kept_text FROM m GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(removed_passages, 0) AS removed_passages, coalesce(removed_lines, 0) AS removed_lines, kept_text
 FROM documents d LEFT JOIN o USING (doc_id)

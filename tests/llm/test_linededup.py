@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+from collections import Counter
 
 import xxhash
 from pyspark.sql import functions as F
@@ -10,52 +11,49 @@ from pyspark.sql import functions as F
 from paperloom.llm import linededup
 
 
-def plain_chunks(lines, window=1, classes=2):
-    """(start, end) of the chunk that starts at each line."""
-    d = [int(hashlib.md5(x.encode()).hexdigest()[:2], 16) for x in lines]
-    kinds = []
-    for i in range(len(lines)):
-        rolled = 0
-        for x in d[i : i + window]:
-            rolled = rolled * 31 + x
-        kinds.append(rolled % classes)
-    return [(i, next((j for j in range(i + 1, len(lines)) if kinds[j] == kinds[i]), len(lines))) for i in range(len(lines))]
-
-
 def signed(x):
     return x - 2**64 if x >= 2**63 else x
 
 
-def plain(rows, window=1, classes=2):
-    texts = {(i is None, i or 0, signed(xxhash.xxh64_intdigest(t.encode(), 42)), t) for i, t in rows if t is not None}
-    seen_chunks, seen_pairs, gone = set(), set(), {}
-    for key in sorted(texts, key=lambda x: x[:3]):
+def digits(line):
+    return int(hashlib.md5(line.encode()).hexdigest()[:2], 16)
+
+
+def plain_chunks(lines, pairs, singles, divisor, long):
+    """(start, end) of the chunks; pairs and singles count neighbouring lines and lines in all texts."""
+    out, i = [], 0
+    twice = [pairs[p] > 1 for p in zip(lines, lines[1:])] + [False]
+    while i < len(lines):
+        if not twice[i]:
+            if len(lines[i].split()) >= long and singles[lines[i]] > 1:
+                out.append((i, i + 1))
+            i += 1
+            continue
+        end = next(j for j in range(i, len(lines)) if not twice[j])  # last line of the run
+        hit = lambda k: (31 * digits(lines[k]) + digits(lines[k + 1])) % divisor == 0
+        bounds = [i, *[k for k in range(i + 2, end) if hit(k) and not hit(k - 1)], end + 1]
+        out += list(zip(bounds, bounds[1:]))
+        i = end + 1
+    return out
+
+
+def plain(rows, divisor=4, long=50):
+    texts = sorted({(i is None, i or 0, signed(xxhash.xxh64_intdigest(t.encode(), 42)), t) for i, t in rows if t is not None}, key=lambda x: x[:3])
+    pairs = Counter(p for k in texts for p in zip(k[3].split("\n"), k[3].split("\n")[1:]))
+    singles = Counter(x for k in texts for x in k[3].split("\n"))
+    seen, gone = set(), {}
+    for key in texts:
         lines = key[3].split("\n")
-        chunks, pairs = [], set()
-        for i, e in plain_chunks(lines, window, classes):
-            c = "\n".join(lines[i:e])
-            if c in seen_chunks:
-                chunks.append((i, e))
-            seen_chunks.add(c)
-            if i + 1 < len(lines):
-                if (lines[i], lines[i + 1]) in seen_pairs:
-                    pairs.add(i)
-                seen_pairs.add((lines[i], lines[i + 1]))
-        spans, i = [], 0
-        while i < len(lines):
-            if i not in pairs:
-                i += 1
-                continue
-            a = i
-            while i in pairs:
-                i += 1
-            if any(a <= s and e <= i + 1 for s, e in chunks):
-                spans.append((a, i))
-        gone[key] = spans
+        gone[key] = []
+        for a, b in plain_chunks(lines, pairs, singles, divisor, long):
+            c = "\n".join(lines[a:b])
+            if c in seen:
+                gone[key].append((a, b))
+            seen.add(c)
     out = []
     for i, t in rows:
         spans = gone[i is None, i or 0, signed(xxhash.xxh64_intdigest(t.encode(), 42)), t] if t is not None else []
-        lost = {k for a, b in spans for k in range(a, b + 1)}
+        lost = {k for a, b in spans for k in range(a, b)}
         kept = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost) if spans else t
         out.append((i, len(spans), len(lost), kept))
     return sorted(out, key=str)
@@ -75,26 +73,42 @@ def fixture():
 def test_matches_plain(spark):
     rows = fixture()
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, i int, lines string").repartition(5)
-    for window, classes in ((1, 2), (2, 3)):
-        got = sorted([(r.doc_id, r.removed_passages, r.removed_lines, r.kept_text) for r in linededup.dedup(docs, window=window, classes=classes).collect()], key=str)
-        assert got == plain(rows, window, classes) and sum(g[1] for g in got) > 100
-
-
-def test_equal_hashes_of_different_lines(spark):
-    """With a hash of 40 values lines are still told apart by their bytes."""
-    rows = fixture()
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    spans = lambda f: sorted(((r.k_id, r.k_text, r.spans) for r in linededup.passages(docs, "doc_id", "text", hashed=f).collect()), key=str)
-    assert spans(lambda x: F.pmod(F.xxhash64(x), F.lit(40))) == spans(linededup.line_hash)
-
-
-def test_passages_of_three_lines_are_found(spark):
-    """Every repeated passage of three lines goes, wherever it stands."""
+    for divisor, long in ((4, 50), (2, 1)):
+        got = sorted([(r.doc_id, r.removed_passages, r.removed_lines, r.kept_text) for r in linededup.dedup(docs, divisor=divisor, long=long).collect()], key=str)
+        assert got == plain(rows, divisor, long) and sum(g[1] for g in got) > 100
+
+
+def test_what_is_removed_stands_elsewhere(spark):
+    """Each removed chunk stands whole in an earlier text or place, in lines that are kept."""
+    rows = [r for r in fixture() if r[1] is not None and r[0] is not None]
+    rng = random.Random(2)
+    for k in range(40):  # passages that overlap: the third holds halves of the first two, the fourth a part of the third
+        p, q, r, s = (f"{w} {k} {rng.random()}" for w in "pqrs")
+        rows += [(1000 + 4 * k + j, "\n".join(x)) for j, x in enumerate(([p, q], [r, s], [p, q, r, s], [q, r]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = ["\n" + r.kept_text + "\n" for r in linededup.dedup(docs).collect()]
+    cut = linededup.chunks(docs, "doc_id", "text").collect()
+    texts = {(i, signed(xxhash.xxh64_intdigest(t.encode(), 42))): t.split("\n") for i, t in rows}
+    passages = {"\n".join(texts[r.k_id, r.k_text][r.s : r.e]) for r in cut}
+    assert len(passages) > 100 and all(any(f"\n{p}\n" in t for t in kept) for p in passages)
+    spans = sorted((r.k_id, r.k_text, r.s, r.e) for r in cut)
+    assert all(x[:2] != y[:2] or x[3] <= y[2] for x, y in zip(spans, spans[1:]))  # chunks don't overlap
+
+
+def test_overlapping_passages(spark):
+    """`q r` is not lost with the text in which it first stood."""
+    got = linededup.dedup(spark.createDataFrame(list(enumerate(("p\nq", "r\ns", "p\nq\nr\ns", "q\nr"))), "doc_id long, text string")).collect()
+    kept = {r.doc_id: r.kept_text for r in got}
+    assert kept[0] == "p\nq" and kept[1] == "r\ns" and any("q\nr" in t for t in kept.values())
+
+
+def test_passages_between_own_lines_are_found(spark):
+    """Every repeated passage of two to six lines, and of one long line, goes, wherever it stands between other lines."""
     rng = random.Random(4)
-    passages = ["\n".join(f"p{k} {j} {rng.random()}" for j in range(3)) for k in range(60)]
+    passages = ["\n".join(f"p{k} {j} {rng.random()}" for j in range(2 + k % 5)) for k in range(60)] + [f"l{k} " * 50 + "end" for k in range(5)]
     rows = [(i, f"own {rng.random()}\n" * rng.randint(0, 3) + p + f"\nown {rng.random()}") for i, p in enumerate(passages * 2)]
     got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sum(r.removed_lines for r in got if r.doc_id >= 60) >= 180 and all(p not in r.kept_text for r in got if r.doc_id >= 60 for p in passages)
+    assert sum(r.removed_lines for r in got) == sum(p.count("\n") + 1 for p in passages) and all(p not in r.kept_text for r in got if r.doc_id >= 65 for p in passages)
 
 
 def test_very_long_texts(spark):

@@ -71,8 +71,6 @@ def test_matches_plain_version(spark, joined, bits):
         off.append(abs(r.score - score) > 1e-6 * max(1, -score))
     # a false positive raises a count by a level: one in about 80 probes with the usual bits, hardly any with many
     assert sum(off) <= 2 if bits > lm.BITS else off
-    usual = [r for r in got if r.n_tokens < 1000]  # in one text a single pair stands 50,000 times
-    assert abs(sum(r.score for r in usual) - sum(want[r.doc_id, r.text][4] for r in usual)) < 0.02 * sum(r.n_tokens for r in usual)
     fresh = [r for r in got if held(r.doc_id)]
     assert sum(r.score for r in fresh) > sum(r.base_score for r in fresh)  # better than the base on unseen texts
     assert all(r.score < 0 for r in got)

@@ -11,8 +11,11 @@ import math
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import stage
+
 #: Kinds in their order. The base patterns have the first four; proposals may have any.
 KINDS = ("email", "ip", "card", "phone", "account", "secret")
 LOCAL = r"A-Za-z0-9._%+-"
@@ -243,31 +246,40 @@ def find(docs: DataFrame, keep: list[str], text: str = "text", model: tuple | No
 
     A null text counts as empty. base has the spans of the four patterns that pass their checks; added has the proposals
     that the trees select and that overlap no base span and no selected proposal that scores higher (then is longer,
-    then starts earlier). Whole texts are read; one row in, one row out, nothing is shuffled. Names in keep must not
-    begin with a generator's name; queries pass ids only.
+    then starts earlier). Whole texts are read, once, where they lie; one row in, one row out. Proposals are resolved by runs of overlapping
+    spans, so a text may hold any number of them. Columns in keep may have any names; base and added are put beside them.
     """
     trees, limits = model or fit(docs.sparkSession)
-    df = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    names = [f"k{i}" for i in range(len(keep))]
+    df = docs.select(*[F.col(k).alias(n) for k, n in zip(keep, names)], F.coalesce(F.col(text), F.lit("")).alias("t"))
     for kind, pattern in BASE.items():
-        df = with_matches(df, "__t", pattern, f"b_{kind}", kind, NEEDS.get(kind))
-    df = df.withColumn("__base", F.concat(*[F.filter(f"b_{k}", _valid_span(k)) for k in BASE]))
-    df = propose(df.drop(*[f"b_{k}" for k in BASE]), "__t").drop("__t")
+        df = with_matches(df, "t", pattern, f"b_{kind}", kind, NEEDS.get(kind))
+    bare = lambda xs: F.transform(xs, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    df = df.withColumn("base", bare(F.concat(*[F.filter(f"b_{k}", _valid_span(k)) for k in BASE])))
+    df = propose(df.drop(*[f"b_{k}" for k in BASE]), "t").drop("t")
+    found = stage(df.withColumn("row", F.monotonically_increasing_id()), "proposals")  # rows keep their numbers
     limit = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])
-    free = F.filter("cands", lambda c: (F.size("__base") == 0) | ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
-    df = df.withColumn("__free", free)
+    c = found.select("row", F.explode(F.when(F.size("cands") > 0, F.col("cands"))).alias("c"))
     # features once for each proposal; the trees read them by number
-    df = df.withColumn("__seen", F.transform("__free", lambda c: F.struct(F.array(*[F.coalesce(f, F.lit(False)) for f in features(c).values()]).alias("f"), c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))
-    scored = F.transform("__seen", lambda c: F.struct(score(trees, _Numbered(c["f"])).alias("score"), (c["end"] - c["start"]).alias("n"), (-c["start"]).alias("early"), c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    df = df.withColumn("__scored", scored)
-    df = df.withColumn("__good", F.filter("__scored", lambda c: c["score"] >= limit[c["kind"]]))
-    # best first; a proposal is taken if it overlaps none that was taken before
+    c = c.withColumn("f", F.array(*[F.coalesce(f, F.lit(False)) for f in features(F.col("c")).values()]))
+    c = c.select("row", "c", F.explode(F.array(score(trees, _Numbered(F.col("f"))))).alias("score"))  # exploded, as else the filter on it takes all expressions along
+    good = c.where(F.col("score") >= limit[F.col("c.kind")]).select("row", F.lit(False).alias("fixed"), "score", "c.kind", "c.start", "c.end")
+    fixed = found.select("row", F.explode(F.when(F.size("base") > 0, F.col("base"))).alias("c")).select("row", F.lit(True).alias("fixed"), F.lit(0.0).alias("score"), "c.kind", "c.start", "c.end")
+    # runs of spans that overlap, each resolved by itself
+    in_text = W.partitionBy("row").orderBy("start", "end", "kind")
+    reach = F.max("end").over(in_text.rowsBetween(W.unboundedPreceding, -1))
+    runs = good.union(fixed).withColumn("new", F.when(F.col("start") < reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(in_text.rowsBetween(W.unboundedPreceding, 0)))
+    span = F.struct("fixed", "score", (F.col("end") - F.col("start")).alias("n"), (-F.col("start")).alias("early"), "kind", "start", "end")
+    runs = runs.groupBy("row", "run").agg(F.reverse(F.array_sort(F.collect_list(span))).alias("spans"), F.max(~F.col("fixed")).alias("some")).where("some")
+    # base spans come first and stay, then the best; a proposal is taken if it overlaps none that was taken before
     meets = lambda c, o: (o["start"] < c["end"]) & (o["end"] > c["start"])
-    take = lambda taken, c: F.when(F.exists(taken, lambda o: meets(c, o)), taken).otherwise(F.concat(taken, F.array(c)))
-    df = df.withColumn("__order", F.reverse(F.array_sort("__good")))
-    df = df.withColumn("__taken", F.aggregate("__order", F.filter("__order", lambda c: F.lit(False)), take))
-    kept = F.array_intersect("__good", "__taken")
-    plain = lambda xs: F.transform(xs, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return df.select(*keep, plain(F.col("__base")).alias("base"), plain(kept).alias("added"))
+    take = lambda taken, c: F.when(~c["fixed"] & F.exists(taken, lambda o: meets(c, o)), taken).otherwise(F.concat(taken, F.array(c)))
+    taken = F.aggregate("spans", F.filter("spans", lambda c: F.lit(False)), take)
+    chosen = runs.select("row", F.explode(F.filter(taken, lambda c: ~c["fixed"])).alias("c"))
+    added = chosen.groupBy(F.col("row").alias("a_row")).agg(F.array_sort(F.collect_list(F.struct("c.start", "c.end", "c.kind"))).alias("added"))
+    out = found.join(added, F.col("row") == F.col("a_row"), "left")
+    none = F.array().cast(found.schema["base"].dataType)
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keep)], "base", F.coalesce(bare(F.col("added")), none).alias("added"))
 
 
 def listed(spans: Column) -> Column:

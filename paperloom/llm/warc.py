@@ -1,9 +1,9 @@
 """Resolution of not-modified revisit records against the latest earlier full response of the same URL.
 
 The as-of join needs no join of records with records: within a URL's captures in order of time, the last full response
-before each revisit is carried forward. A URL may hold a large part of all captures, so time is cut into slices of about as
-many captures: each (URL, slice) is one window group, and a window over the small table of every slice's last response
-carries over from earlier slices.
+before each revisit is carried forward. A URL may hold a large part of all captures, so captures are cut by URL and time
+into slices of about as many captures: each (URL, slice) is one window group, and a window over the small table of every
+slice's last response carries over from earlier slices.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from paperloom.llm.common import stage
 
 #: Headers that a not-modified response may update (RFC 9111, section 3.2); others stay those of the full response.
 UPDATABLE = ("age", "cache-control", "date", "etag", "expires", "last-modified", "vary", "warning")
-#: Captures in one slice of time, about, and steps of time that slices are made of.
-SLICE, FINE = 100_000, 4096
+#: Captures in one slice, about.
+SLICE = 20_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -34,6 +34,16 @@ def canonical_url(url: Column) -> Column:
     return F.when(url.isNotNull(), F.when(F.size(args) > 0, F.concat(whole, F.lit("?"), F.array_join(args, "&"))).otherwise(whole))
 
 
+def sliced(known: DataFrame, slice_rows: int) -> DataFrame:
+    """known with the column slice, dealt by ranges of (canonical, ts) that hold about slice_rows captures each.
+
+    The cuts are quantiles that Spark draws from the rows themselves: a heavy URL is cut where its captures are dense, and
+    odd timestamps don't matter. Captures of one URL at one instant share a slice. Written, as slices are numbered once.
+    """
+    slices = max(1, -(-known.count() // slice_rows))
+    return stage(known.repartitionByRange(slices, "canonical", "ts").withColumn("slice", F.spark_partition_id()), "captures")
+
+
 def resolve(records: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     """One row for each revisit of records (record_id, url, ts, kind, etag, last_modified, digest, headers map).
 
@@ -46,14 +56,7 @@ def resolve(records: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     whole. Extra columns are ignored, whatever their names; an empty table gives an empty result.
     """
     r = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "ts", "kind", "etag", "last_modified", "digest", "headers").where(F.col("kind").isin("response", "revisit"))
-    known = stage(r.where("canonical is not null and ts is not null"), "captures")
-    low, high = known.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
-    width = ((high - low) / FINE or 1.0) if low is not None else 1.0
-    known = known.withColumn("fine", F.least(F.floor((F.col("ts").cast("double") - (low or 0.0)) / width), F.lit(FINE - 1)).cast("int"))
-    # slices of about slice_rows captures, from a table of FINE rows at most: a burst in time gets slices of its own
-    fine = known.groupBy("fine").agg(F.count("*").alias("c"))
-    slices = fine.select(F.col("fine").alias("f"), F.floor((F.sum("c").over(W.orderBy("fine").rowsBetween(W.unboundedPreceding, 0)) - F.col("c")) / slice_rows).cast("int").alias("slice"))
-    known = known.join(F.broadcast(slices), known.fine == slices.f).drop("fine", "f")
+    known = sliced(r.where("canonical is not null and ts is not null"), slice_rows)
     # the last response of each URL's slices, by time then record, carried over to later slices by a window on that small table
     last = known.groupBy("canonical", "slice").agg(F.max(F.when(F.col("kind") == "response", F.struct("ts", "record_id"))).alias("last"))
     earlier = W.partitionBy("canonical").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)

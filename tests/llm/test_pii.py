@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -76,6 +77,17 @@ def test_very_long_texts(spark):
     assert got == {0: (0, 0, 0, 0), 1: (0, 0, 0, 0), 2: (0, 20_000 // 2, 0, 0), 3: (0, 0, 0, 0)}
 
 
+def test_very_many_spans(spark):
+    """160,000 phones in one text; names of kept columns don't clash with the operator's own."""
+    text = "call +1 555 123 4567 or 555-123-4567, " * 80_000
+    docs = spark.createDataFrame([(1, text, 7, "x"), (2, "x@y.zz", 8, "y")], "doc_id long, text string, cands int, g0 string")
+    model = pii.fit(spark)
+    t = time.perf_counter()
+    got = {r.doc_id: r for r in pii.find(docs, ["doc_id", "cands", "g0"], model=model).collect()}
+    assert time.perf_counter() - t < 90
+    assert (got[1].cands, got[1].g0, len(got[1].base), len(got[1].added)) == (7, "x", 80_000, 80_000) and len(got[2].base) == 1 and got[2].added == []
+
+
 def test_empty(spark):
     assert pii_digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

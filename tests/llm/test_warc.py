@@ -64,10 +64,19 @@ def test_empty(spark):
 
 
 def test_burst(spark):
-    """Very many captures of one URL within a second, far from the others: all slices stay small, results are the same."""
+    """Very many captures of one URL within a second, and one far too early: slices stay near their size, results are right."""
     t0 = datetime(2024, 1, 1)
-    rows = [(0, "http://b.org?a=1&b=2&ref=z", t0 - timedelta(days=900), "response", None, None, None, None, 1)]
+    rows = [(0, "http://b.org?a=1&b=2&ref=z", datetime(1906, 1, 1), "response", None, None, None, None, 1)]
     rows += [(i, "http://www.a.org/x/", t0 + timedelta(microseconds=i * 700), "response" if i % 9 == 0 else "revisit", f"e{i % 2}", None, None, None, 1) for i in range(1, 900)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got = [(r.record_id, r.canonical, r.ts, r.refers_to, r.status, sorted(r.headers.items()) if r.headers is not None else None) for r in warc.resolve(df, 50).collect()]
     assert sorted(got, key=str) == plain(rows)
+    sizes = [r["count"] for r in warc.sliced(df.withColumn("canonical", F.col("url")), 50).groupBy("slice").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 150 and sum(sizes) == len(rows)
+
+
+def test_slices_by_size_not_by_range(spark):
+    """A capture from 1906 doesn't spoil the slices of 40,000 others within some hours."""
+    df = spark.range(40_000).selectExpr("id AS record_id", "'http://a.org' AS canonical", "timestamp_micros(case when id = 7 then -2019686400000000 else 1704067200000000 + id * 990000 end) AS ts")
+    sizes = [r["count"] for r in warc.sliced(df, 1000).groupBy("slice").count().collect()]
+    assert len(sizes) >= 30 and max(sizes) <= 3000 and sum(sizes) == 40_000

@@ -9,6 +9,7 @@ from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.functions.dates import BARE_YEAR, FULL_DATE, SEPARATOR, check_dates, compare_dates
@@ -217,14 +218,16 @@ def line_degrees(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 
 def merge_progress(updates: DataFrame, job: str, page: str, order: str) -> DataFrame:
-    """updates (job, page, order, document_type, page_progress, qc) as one entry for each page: the first known type, the last
-    progress, and qc -1 until an update has another."""
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))
-    return updates.groupBy(job, page).agg(F.min_by("document_type", F.when(F.col("document_type").isNotNull(), F.col(order))).alias("document_type"), last("page_progress").alias("page_progress"), F.coalesce(last("qc"), F.lit(-1)).alias("qc"))
+    """updates (job, page, order, document_type, page_progress, qc) as one entry for each page, as they come in order.
 
-
-def lookup(results: DataFrame, job_id: str) -> DataFrame:
-    """The answer to a request for a job: code 400 without an id, 404 for an unknown one, else 200 with its payload."""
-    asked = results.sparkSession.createDataFrame([(job_id,)], "asked string")
-    found = asked.join(results, asked.asked == results.job_id, "left")
-    return found.select(F.when(F.coalesce(F.col("asked"), F.lit("")) == "", 400).when(F.col("job_id").isNull(), 404).otherwise(200).alias("code"), F.when(F.col("asked") != "", F.col("payload")).alias("payload"))
+    The first update makes the entry, with its type if that is known (0 is not) and qc -1; later ones change its progress
+    alone. An update with qc is the page's result and takes the entry's place, whose progress is then that of updates after it.
+    """
+    u = updates.withColumn("_done", F.max(F.when(F.col("qc").isNotNull(), F.col(order))).over(W.partitionBy(job, page)))
+    result, going = F.col("qc").isNotNull(), F.col("qc").isNull()
+    after = going & (F.col("_done").isNull() | (F.col(order) > F.col("_done")))
+    got = u.groupBy(job, page).agg(
+        F.max(F.when(result, F.struct(order, "document_type", "qc"))).alias("r"), F.min(F.when(going, F.struct(order, "document_type"))).alias("f"), F.max(F.when(after, F.struct(order, "page_progress"))).alias("l"),
+    )
+    kind = F.when(F.col("r").isNotNull(), F.col("r.document_type")).when(F.col("f.document_type") != 0, F.col("f.document_type"))
+    return got.select(job, page, kind.alias("document_type"), F.col("l.page_progress").alias("page_progress"), F.when(F.col("r").isNotNull(), F.col("r.qc")).otherwise(-1).alias("qc"))

@@ -63,11 +63,20 @@ ANGLES = "WITH e AS (SELECT vec_id, degrees(atan2(embedding[4]::DOUBLE - embeddi
 
 
 def progress_merge(spark, sf):
-    e = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), (F.col("event_id") % 3).cast("int").alias("page"), "event_id", F.when(F.col("event_type") == "click", (F.col("event_id") % 7).cast("int")).alias("document_type"), (F.col("event_id") % 101).cast("int").alias("page_progress"), F.when(F.col("event_type") == "purchase", (F.col("event_id") % 5).cast("int")).alias("qc"))
+    known = F.when(F.col("event_type").isin("click", "purchase"), (F.col("event_id") % 7).cast("int"))
+    e = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), (F.col("event_id") % 3).cast("int").alias("page"), "event_id", known.alias("document_type"), (F.col("event_id") % 101).cast("int").alias("page_progress"), F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 4 == 0), (F.col("event_id") % 5).cast("int")).alias("qc"))
     return pages.merge_progress(e, "job_id", "page", "event_id")
 
 
-MERGE = "SELECT user_id AS job_id, (event_id % 3)::INT AS page, arg_min((event_id % 7)::INT, event_id) FILTER (event_type = 'click') AS document_type, arg_max((event_id % 101)::INT, event_id) AS page_progress, coalesce(arg_max((event_id % 5)::INT, event_id) FILTER (event_type = 'purchase'), -1) AS qc FROM events GROUP BY 1, 2"
+MERGE = """
+WITH u AS (
+  SELECT user_id AS job_id, (event_id % 3)::INT AS page, event_id, CASE WHEN event_type IN ('click', 'purchase') THEN (event_id % 7)::INT END AS t, (event_id % 101)::INT AS p,
+    CASE WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN (event_id % 5)::INT END AS qc FROM events
+), d AS (SELECT *, max(event_id) FILTER (qc IS NOT NULL) OVER (PARTITION BY job_id, page) AS done, min(event_id) OVER (PARTITION BY job_id, page) AS first FROM u)
+SELECT job_id, page, max(CASE WHEN event_id = coalesce(done, first) THEN CASE WHEN done IS NULL THEN nullif(t, 0) ELSE t END END) AS document_type,
+  arg_max(p, event_id) FILTER (done IS NULL OR event_id > done) AS page_progress, coalesce(max(qc) FILTER (event_id = done), -1) AS qc
+FROM d GROUP BY job_id, page
+"""
 
 
 def licence_suggest(spark, sf):

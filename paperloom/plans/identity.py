@@ -116,7 +116,7 @@ def mrz_second_line(spark, sf):
     return mrz.second_lines(in_mrz(spark, sf), "line", "m").select("o_orderkey", "m.s_number", "m.s_number_check", "m.birth_date", "m.birth_date_check", "m.gender", "m.issue_date", "m.code", "m.issue_date_and_code_check")
 
 
-MRZ_SECOND = MRZ + """SELECT o_orderkey, CASE WHEN sok AND long THEN s2[1:3] || t2[1:1] || s2[4:9] END AS s_number, sok AS s_number_check, b2[1:6] AS birth_date, bok AS birth_date_check,
+MRZ_SECOND = MRZ + """SELECT o_orderkey, CASE WHEN sok AND long THEN s2[1:3] || t2[1:1] || s2[4:9] END AS s_number, CASE WHEN sok AND long THEN true END AS s_number_check, b2[1:6] AS birth_date, bok AS birth_date_check,
   CASE WHEN o_custkey % 2 = 0 THEN 'M' ELSE 'F' END AS gender, CASE WHEN long THEN t2[2:7] END AS issue_date, CASE WHEN long THEN t2[8:13] END AS code, tok AS issue_date_and_code_check FROM m3"""
 
 
@@ -125,6 +125,22 @@ def mrz_final_check(spark, sf):
     return m.groupBy(F.col("m.final_check").alias("final_check")).agg(F.count("*").alias("n"))
 
 
+def mrz_pick(spark, sf):
+    """Zones among other recognized lines, in either order, with blanks in them, and pages without one of the lines."""
+    k = F.col("o_orderkey")
+    head = F.concat(F.lit("P NRU SI"), F.lpad(k.cast("string"), 9, "X"), F.lit("<<A <<<"))
+    m = in_mrz(spark, sf).withColumn("second", F.concat(F.left("line", F.lit(10)), F.lit(" RUS "), F.substr("line", F.lit(14))))
+    noise = F.array(F.lit("some other text"), F.concat(F.lit("12 345 "), k.cast("string")))
+    both = F.when(k % 2 == 0, F.array(head, "second")).otherwise(F.array("second", head))
+    lines = F.concat(F.slice(noise, 1, (k % 3).cast("int")), F.when(k % 10 == 0, F.array("second", head, head, "second")).when(k % 10 == 1, F.array(head)).when(k % 10 == 2, F.array("second")).otherwise(both), F.slice(noise, 1, (k % 2).cast("int")))
+    return m.select("o_orderkey", lines.alias("lines")).select("o_orderkey", mrz.pick_lines(F.col("lines")).alias("p")).select("o_orderkey", "p.first", "p.second")
+
+
+MRZ_PICK = MRZ + """, z AS (SELECT o_orderkey AS k, 'PNRUSI' || lpad(o_orderkey::VARCHAR, 9, 'X') || '<<A<<<' AS head,
+  left(s2 || 'RUS' || b2 || CASE WHEN o_custkey % 2 = 0 THEN 'M' ELSE 'F' END || '<<<<<<<' || t2 || fin, CASE WHEN long THEN 100 ELSE 30 END) AS line FROM m3)
+SELECT k AS o_orderkey, CASE WHEN k % 10 <> 2 THEN head END AS first, CASE WHEN k % 10 <> 1 THEN line END AS second FROM z"""
+
+
 def in_names(spark, sf) -> DataFrame:
     p = table(spark, sf, "part").select("p_partkey", F.regexp_replace(F.upper("p_name"), "[^A-Z ]", "").alias("n"))
     first = F.split("n", " ")
@@ -303,6 +319,7 @@ QUERIES = {
     "mrz_check_digit": (mrz_check_digit, MRZ + "SELECT o_orderkey, bok AS ok FROM m3"),
     "mrz_second_line": (mrz_second_line, MRZ_SECOND),
     "mrz_final_check": (mrz_final_check, MRZ + "SELECT fok AS final_check, count(*) AS n FROM m3 GROUP BY 1"),
+    "mrz_pick": (mrz_pick, MRZ_PICK),
     "mrz_names": (mrz_names, MRZ_NAMES),
     "find_date": (find_date, DATES + "SELECT o_orderkey, d FROM d"),
     "compare_dates": (compare_dates, DATES + "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN d WHEN 1 THEN greatest(d, '15.06.1996') END AS d FROM d"),

@@ -13,6 +13,7 @@ from paperloom.operators import fuse, gazetteer, jobs, layout, rules, votes
 from paperloom.plans.base import table, words
 from paperloom.sources import files, recognize
 from paperloom.streaming import jobs as stream
+from paperloom.streaming import progress as state
 
 # --- scans and filters ---
 
@@ -491,6 +492,56 @@ def stream_tumbling_status(spark, sf):
     return t.select(F.unix_timestamp("window.start").alias("start"), "status", "n")
 
 
+def _job_events(e) -> DataFrame:
+    """Events of jobs from rows of events: splits, progress with and without a type, results, ends and exceptions."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    what = (
+        F.when(kind == "signup", "split").when(kind.isin("view", "click"), "progress").when(kind == "purchase", F.when(i % 9 == 0, "final").otherwise("completed"))
+        .when(kind == "error", F.when(i % 8 == 0, "exception").otherwise("completed"))
+    )
+    typed = F.when(kind == "click", i % 7 * 10).when(what == "completed", 100 + i % 5 * 10)
+    return e.select(F.floor(F.col("user_id") / 4).alias("job_id"), i.alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), what.alias("kind"), (1 + i % 6).alias("pages"), (i % 5).alias("page"), typed.alias("document_type"), (i % 101).alias("page_progress"), (i % 5).alias("qc"))
+
+
+def job_fold(spark, sf):
+    return state.fold_events(_job_events(table(spark, sf, "events"))).withColumn("entries", F.to_json("entries", {"ignoreNullFields": "false"}))
+
+
+JOB_FOLD = """
+WITH e AS (
+  SELECT *, event_id AS i, epoch_us(ts) // 1000 AS ms, user_id // 4 AS job,
+    CASE event_type WHEN 'signup' THEN 'split' WHEN 'view' THEN 'progress' WHEN 'click' THEN 'progress' WHEN 'purchase' THEN CASE WHEN event_id % 9 = 0 THEN 'final' ELSE 'completed' END
+      WHEN 'error' THEN CASE WHEN event_id % 8 = 0 THEN 'exception' ELSE 'completed' END END AS kind FROM events
+), s AS (SELECT *, count(*) FILTER (kind = 'split') OVER (PARTITION BY job ORDER BY ms, i) AS epoch FROM e WHERE kind IS NOT NULL),
+t AS (SELECT *, max(CASE WHEN kind = 'split' THEN 1 + i % 6 END) OVER (PARTITION BY job, epoch) AS total FROM s WHERE epoch > 0),
+v AS (SELECT *, lag(ms) OVER (PARTITION BY job, epoch ORDER BY ms, i) AS before FROM t WHERE kind NOT IN ('progress', 'completed') OR i % 5 < total),
+d AS (SELECT *, sum((coalesce(ms - before, 0) > 7200000)::INT) OVER (PARTITION BY job, epoch ORDER BY ms, i) AS dead, max(epoch) OVER (PARTITION BY job) AS newest FROM v),
+w AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ms, i) AS n FROM d WHERE dead = 0 AND epoch = newest),
+j AS (SELECT job, arg_max(kind, n) AS kind, max(total) AS total, max(ms) AS last_ms FROM w GROUP BY job),
+p AS (SELECT *, (i % 5)::INT AS page, max(n) FILTER (kind = 'completed') OVER (PARTITION BY job, i % 5) AS done, min(n) OVER (PARTITION BY job, i % 5) AS first FROM w WHERE kind IN ('progress', 'completed')),
+g AS (
+  SELECT job, page, max(CASE WHEN n = done THEN 100 + i % 5 * 10 WHEN done IS NULL AND n = first AND event_type = 'click' THEN nullif(i % 7 * 10, 0) END) AS document_type,
+    arg_max(i % 101, n) FILTER (done IS NULL OR n > done) AS page_progress, coalesce(max(i % 5) FILTER (n = done), -1) AS qc FROM p GROUP BY job, page
+), a AS (
+  SELECT job, sum(CASE WHEN qc = -1 THEN page_progress ELSE 100 END) AS parts,
+    string_agg('{"page":' || page || ',"document_type":' || coalesce(document_type::VARCHAR, 'null') || ',"page_progress":' || coalesce(page_progress::VARCHAR, 'null') || ',"qc":' || qc || '}', ',' ORDER BY page) AS entries FROM g GROUP BY job
+), r AS (
+  SELECT job::VARCHAR AS job_id, CASE kind WHEN 'final' THEN 'ready' WHEN 'exception' THEN kind ELSE 'processing' END AS status, total::INT AS pages,
+    round_even(coalesce(parts, 0) / total, 0)::INT AS full_progress, '[' || coalesce(entries, '') || ']' AS entries, last_ms FROM j LEFT JOIN a USING (job)
+)
+"""
+
+
+def stream_job_progress(spark, sf):
+    """The jobs alive after the last event, from the stream's updates."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    raw = spark.readStream.schema(e.schema).option("pathGlobFilter", "*").parquet(f"{sf}/events.parquet*")
+    newest = stream.run_available(state.job_progress(_job_events(raw)), ["job_id"]).where("not expired").drop("expired")
+    now = e.agg(F.unix_millis(F.max(F.col("ts").cast("timestamp"))).alias("now"))
+    living = state.alive(newest.join(F.broadcast(now)), F.col("now")).drop("now")  # one row
+    return living.withColumn("entries", F.to_json("entries", {"ignoreNullFields": "false"}))
+
+
 def recognize_fixture(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("job_id"), F.lit("a.pdf").alias("file_name"), F.regexp_replace("text", "\n", "\f").cast("binary").alias("file"))
     r = recognize.recognize(d, recognize.FixtureRecognizer)
@@ -560,6 +611,8 @@ QUERIES = {
     "fuse_combined": (fuse_combined, COMBINED),
     "qc_passport": (qc_passport, QC),
     "qc_licence": (qc_licence, "SELECT o_orderkey, CASE WHEN o_orderkey % 2 <> 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 4 <> 0 THEN 0 WHEN o_orderkey % 4 <> 0 THEN 1 ELSE 2 END AS qc FROM orders"),
+    "job_fold": (job_fold, JOB_FOLD + "SELECT * FROM r"),
+    "stream_job_progress": (stream_job_progress, JOB_FOLD + "SELECT * FROM r WHERE last_ms + 7200000 >= (SELECT max(epoch_us(ts) // 1000) FROM events)"),
     "stream_job_state": (stream_job_state, f"SELECT user_id AS job_id, arg_max({STATUS}, {{'t': ts, 'e': event_id}}) AS status FROM events GROUP BY 1"),
     "stream_tumbling_status": (stream_tumbling_status, f"SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, {STATUS} AS status, count(*) AS n FROM events GROUP BY 1, 2"),
     "recognize_fixture": (recognize_fixture, "SELECT doc_id::VARCHAR AS job_id, len(string_split(text, chr(10))) AS pages, (length(text) - len(string_split(text, chr(10))) + 1)::BIGINT AS chars FROM documents"),

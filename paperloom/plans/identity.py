@@ -9,6 +9,7 @@ from paperloom.functions import checks, dates, text, translit
 from paperloom.operators import barcode, mrz
 from paperloom.operators.rules import RULES
 from paperloom.plans.base import table, words
+from paperloom.sources import recognize
 
 TYPES = sorted({r[3] for r in RULES})
 LAST = {r[3]: r[4] for r in RULES}
@@ -57,6 +58,20 @@ BARCODE_FIRST = I25 + f"""SELECT l_orderkey AS job_id, coalesce(arg_min(CASE WHE
 FROM i3 JOIN {NAMES} n ON n.doc_id = t GROUP BY 1"""
 
 
+def barcode_search(spark, sf):
+    """Pages whose code can be read at once, after a turn by 4 degrees, in the sweep only (a broken code tells that there is one), or never."""
+    i, k = in_i25(spark, sf).where("l_orderkey % 5 != 0 and l_linenumber = 1"), F.col("l_orderkey")
+    broken = F.lit("#123456789012 ")
+    angle = F.element_at(F.array(*[F.lit(str(a)) for a in barcode.SWEEP[:4]]), (k % 4 + 1).cast("int"))
+    text = F.when(k % 6 == 1, F.concat(F.lit("#"), "data", F.lit("@4.0"))).when(k % 6 == 2, F.concat(F.lit("#"), "data", F.lit("@-4.0"))).when(k % 6 == 3, F.concat(broken, F.lit("#"), "data", F.lit("@"), angle)).when(k % 6 == 4, F.lit("no code at all")).otherwise(F.concat(F.lit("#x some text #"), "data"))
+    return barcode.search(i.select(k, text.cast("binary").alias("page")), ["l_orderkey"], recognize.FixtureRecognizer)
+
+
+BARCODE_SEARCH = I25 + f"""SELECT l_orderkey, CASE l_orderkey % 6 WHEN 4 THEN 0 ELSE t END::BIGINT AS document_type, CASE l_orderkey % 6 WHEN 4 THEN NULL ELSE l_linenumber END::BIGINT AS page_number,
+  CASE l_orderkey % 6 WHEN 4 THEN NULL ELSE description END AS description, CASE l_orderkey % 6 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 + l_orderkey % 4 WHEN 4 THEN 3 ELSE 1 END::INT AS attempts
+FROM i3 JOIN {NAMES} n ON n.doc_id = t WHERE l_orderkey % 5 <> 0 AND l_linenumber = 1"""
+
+
 def barcode_type_counts(spark, sf):
     return barcode.parse(in_i25(spark, sf)).groupBy(F.coalesce("payload.document_type", F.lit(0).cast("long")).alias("document_type")).agg(F.count("*").alias("n"))
 
@@ -316,6 +331,7 @@ QUERIES = {
     "barcode_parse": (barcode_parse, BARCODE_PARSE),
     "barcode_first_valid": (barcode_first_valid, BARCODE_FIRST),
     "barcode_type_counts": (barcode_type_counts, BARCODE_COUNTS),
+    "barcode_search": (barcode_search, BARCODE_SEARCH),
     "mrz_check_digit": (mrz_check_digit, MRZ + "SELECT o_orderkey, bok AS ok FROM m3"),
     "mrz_second_line": (mrz_second_line, MRZ_SECOND),
     "mrz_final_check": (mrz_final_check, MRZ + "SELECT fok AS final_check, count(*) AS n FROM m3 GROUP BY 1"),

@@ -18,13 +18,14 @@ class Recognizer(Protocol):
 
     def text(self, page: bytes, turn: int) -> str: ...
 
-    def barcodes(self, page: bytes, attempt: int) -> list[tuple[str, str]]: ...
+    def barcodes(self, page: bytes, angle: float) -> list[tuple[str, str]]: ...
 
     def classify(self, page: bytes) -> list[float]: ...
 
 
 class FixtureRecognizer:
-    """Reads what it would recognize from the file's own text: pages parted by form feeds, barcodes after '#'."""
+    """Reads what it would recognize from the file's own text: pages parted by form feeds, barcodes after '#', with an angle
+    after '@' where they can be read at that angle only."""
 
     def split(self, file: bytes, name: str) -> list[bytes]:
         return file.split(b"\f") if name.lower().endswith(".pdf") else [file]
@@ -32,8 +33,9 @@ class FixtureRecognizer:
     def text(self, page: bytes, turn: int) -> str:
         return page.decode() if turn == 0 else ""
 
-    def barcodes(self, page: bytes, attempt: int) -> list[tuple[str, str]]:
-        return [("I25", w[1:]) for w in page.decode().split() if w.startswith("#")] if attempt == 0 else []
+    def barcodes(self, page: bytes, angle: float) -> list[tuple[str, str]]:
+        codes = [w[1:].partition("@") for w in page.decode().split() if w.startswith("#")]
+        return [("I25", code) for code, _, at in codes if float(at or 0) == angle]
 
     def classify(self, page: bytes) -> list[float]:
         return [float(len(page) % 5 == k) for k in range(5)]
@@ -54,7 +56,7 @@ def recognize(files: DataFrame, make: Callable[[], Recognizer]) -> DataFrame:
                     continue
                 for n, page in enumerate(pages):
                     try:
-                        out.append((job, n, r.text(page, 0), [d for _, d in r.barcodes(page, 0)], r.classify(page), None, None))
+                        out.append((job, n, r.text(page, 0), [d for _, d in r.barcodes(page, 0.0)], r.classify(page), None, None))
                     except Exception as e:
                         out.append((job, n, None, None, None, 4, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["job_id", "page_num", "text", "barcodes", "logits", "qc", "exception"])

@@ -10,8 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.operators import fuse, gazetteer, jobs, layout, rules, votes
+from paperloom.plans import pdf_inputs
 from paperloom.plans.base import table, words
-from paperloom.sources import files, recognize
+from paperloom.sources import files, pdf, recognize
 from paperloom.streaming import jobs as stream
 from paperloom.streaming import progress as state
 
@@ -542,6 +543,32 @@ def stream_job_progress(spark, sf):
     return living.withColumn("entries", F.to_json("entries", {"ignoreNullFields": "false"}))
 
 
+def pdf_split(spark, sf):
+    """PDF files of one to three pages for each supplier; some with two images on the last page, some with a small one."""
+
+    def build(batches):
+        for b in batches:
+            files = []
+            for k in b.s_suppkey.tolist():
+                pages = [[pdf_inputs.gray(400 + n, 400 + k % 5, (k + n) % 256, predictor=k % 2 == 0)] for n in range(1 + k % 3)]
+                if k % 7 == 0:
+                    pages[-1] *= 2
+                if k % 7 == 1:
+                    pages[-1] = [pdf_inputs.gray(399, 500, 0)]
+                files.append(pdf_inputs.document(pages, packed=k % 3 == 0, nested=k % 4 == 0))
+            yield b.assign(job_id=b.s_suppkey.astype(str), file_name="a.pdf", file=files)[["job_id", "file_name", "file"]]
+
+    files_in = table(spark, sf, "supplier").select("s_suppkey").mapInPandas(build, "job_id string, file_name string, file binary")
+    return pdf.split_pdf(files_in).select("job_id", "page_num", "format", "width", "height", "reason")
+
+
+PDF_SPLIT = """
+WITH s AS (SELECT s_suppkey AS k, s_suppkey::VARCHAR AS job_id, 1 + s_suppkey % 3 AS n FROM supplier)
+SELECT job_id, NULL::INT AS page_num, NULL::VARCHAR AS format, NULL::INT AS width, NULL::INT AS height, CASE k % 7 WHEN 0 THEN '2 images on a page' ELSE 'a small image' END AS reason FROM s WHERE k % 7 < 2
+UNION ALL SELECT job_id, p::INT, 'png', (400 + p)::INT, (400 + k % 5)::INT, NULL FROM s, LATERAL (SELECT unnest(range(n)) AS p) WHERE k % 7 >= 2
+"""
+
+
 def recognize_fixture(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("job_id"), F.lit("a.pdf").alias("file_name"), F.regexp_replace("text", "\n", "\f").cast("binary").alias("file"))
     r = recognize.recognize(d, recognize.FixtureRecognizer)
@@ -611,6 +638,7 @@ QUERIES = {
     "fuse_combined": (fuse_combined, COMBINED),
     "qc_passport": (qc_passport, QC),
     "qc_licence": (qc_licence, "SELECT o_orderkey, CASE WHEN o_orderkey % 2 <> 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 4 <> 0 THEN 0 WHEN o_orderkey % 4 <> 0 THEN 1 ELSE 2 END AS qc FROM orders"),
+    "pdf_split": (pdf_split, PDF_SPLIT),
     "job_fold": (job_fold, JOB_FOLD + "SELECT * FROM r"),
     "stream_job_progress": (stream_job_progress, JOB_FOLD + "SELECT * FROM r WHERE last_ms + 7200000 >= (SELECT max(epoch_us(ts) // 1000) FROM events)"),
     "stream_job_state": (stream_job_state, f"SELECT user_id AS job_id, arg_max({STATUS}, {{'t': ts, 'e': event_id}}) AS status FROM events GROUP BY 1"),

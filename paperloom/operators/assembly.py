@@ -39,23 +39,47 @@ def merged(left: Column, right: Column) -> Column:
 
 
 def present(**fields: Column) -> Column:
-    """A map of the fields' texts, without those that are null."""
-    entries = F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in fields.items()])
+    """A map of the fields, each of its own type, without those that are null."""
+    entries = F.array(*[F.struct(F.lit(k).alias("k"), v.cast("variant").alias("v")) for k, v in fields.items()])
     return F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
 
 
+def trusted_field(c: Column) -> Column:
+    """A fused field, struct(value, value_short, trusted), as an object of what it has; null if it is null."""
+    return F.when(c.isNotNull(), F.to_variant_object(present(value=c["value"], value_short=c["value_short"], trusted=c["trusted"])))
+
+
 def envelope(kind: Column, description: Column, orientation: Column, parsed: Column, page: Column, error: Column | None = None) -> Column:
     """What is reported of a page: its type, description and orientation where known, overlaid with what the parser gave, then
     the page's number. A parser's error stands for what it would have given, with quality code 4."""
     if error is not None:
-        failed = F.create_map(F.lit("qc"), F.lit("4"), F.lit("exception"), F.concat(F.lit("ParserClass "), error))
+        failed = present(qc=F.lit(4), exception=F.concat(F.lit("ParserClass "), error))
         parsed = F.when(error.isNotNull(), failed).otherwise(parsed)
     return merged(merged(present(document_type=kind, description=description, text_doc_orientation=orientation), parsed), present(page=page))
 
 
 def encoded(fields: Column) -> Column:
-    """A map as JSON text, keys in order; letters beyond ASCII stay as they are."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields))))
+    """A map as JSON text, keys in order, values by their types; letters beyond ASCII stay as they are."""
+    by_key = lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields), by_key)))
+
+
+def final_page(page: Column, kind: Column, qc: Column, description: Column, passport: dict[str, Column], licence: dict[str, Column], parts_qc: tuple[Column, Column], categories: Column | None = None) -> Column:
+    """What is reported of a page in the end, a map of typed values. page: its envelope, which passes whole if the type is none of the
+    fused ones or the quality is unknown; its exception stays beside fused fields, and a licence's side. passport and licence: fused fields; a page
+    with both has them as two objects with their own qualities parts_qc, without that of a part that is absent, whose quality is null.
+    categories of a licence stand as they are. Quality 4 leaves type 0 and nothing else."""
+    own = present(**{k: trusted_field(v) for k, v in passport.items()})
+    drives = present(**{k: trusted_field(v) for k, v in licence.items()})
+    if categories is not None:
+        drives = merged(drives, present(categories=F.when(F.size(categories) > 0, F.to_variant_object(F.struct(categories.alias("value"))))))
+    failed = F.map_filter(page, lambda k, v: (k == "exception") | ((k == "side") & (kind == 130)))
+    part = lambda fields, quality: F.when(quality.isNotNull(), F.to_variant_object(merged(fields, present(qc=quality))))
+    both = present(passport_main=part(own, parts_qc[0]), driving_license=part(drives, parts_qc[1]))
+    fields = F.when(kind == 140, both).otherwise(merged(F.when(kind == 100, own).otherwise(drives), failed))
+    fused = merged(present(document_type=kind, qc=qc, description=description), fields)
+    known = F.coalesce(kind.isin(100, 130, 140), F.lit(False))
+    return F.when(known & (qc < 4), fused).when(known & (qc == 4), present(document_type=F.lit(0), qc=F.lit(4))).otherwise(page)
 
 
 def simplified(kind: Column, qc: Column) -> Column:

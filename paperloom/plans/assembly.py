@@ -33,16 +33,43 @@ SELECT k, way, CASE way WHEN 'barcode' THEN b WHEN 'text' THEN t ELSE CASE WHEN
 
 def page_envelope(spark, sf):
     k = F.col("k")
-    parsed = F.when(k % 2 == 0, F.create_map(F.lit("qc"), (k % 5).cast("string"), F.lit("description"), F.lit("Паспорт"))).otherwise(F.create_map(F.lit("qc"), F.lit("0")))
+    parsed = F.when(k % 2 == 0, a.present(qc=k % 5, description=F.lit("Паспорт"))).otherwise(a.present(qc=F.lit(0)))
     error = F.when(k % 7 == 0, F.concat(F.lit("KeyError "), k.cast("string")))
     e = a.envelope(k % 3, F.when(k % 4 == 0, F.lit("found")), F.when(k % 6 == 1, k % 4), parsed, F.when(k % 5 == 0, k % 9), error)
-    return _orders(spark, sf).withColumn("e", e).select("k", a.encoded(F.col("e")).alias("json"), F.col("e")["qc"].alias("qc"))
+    return _orders(spark, sf).withColumn("e", e).select("k", a.encoded(F.col("e")).alias("json"), F.col("e")["qc"].cast("int").alias("qc"))
 
 
 ENVELOPE = """WITH o AS (SELECT o_orderkey AS k FROM orders), f AS (SELECT k, k % 7 = 0 AS bad, k % 3 AS t,
-  CASE WHEN k % 7 <> 0 AND k % 2 = 0 THEN 'Паспорт' WHEN k % 4 = 0 THEN 'found' END AS d, CASE WHEN k % 7 = 0 THEN '4' WHEN k % 2 = 0 THEN (k % 5)::VARCHAR ELSE '0' END AS qc FROM o)
-SELECT k, qc, '{' || concat_ws(',', CASE WHEN d IS NOT NULL THEN '"description":"' || d || '"' END, '"document_type":"' || t || '"', CASE WHEN bad THEN '"exception":"ParserClass KeyError ' || k || '"' END,
-  CASE WHEN k % 5 = 0 THEN '"page":"' || k % 9 || '"' END, '"qc":"' || qc || '"', CASE WHEN k % 6 = 1 THEN '"text_doc_orientation":"' || k % 4 || '"' END) || '}' AS json FROM f"""
+  CASE WHEN k % 7 <> 0 AND k % 2 = 0 THEN 'Паспорт' WHEN k % 4 = 0 THEN 'found' END AS d, CASE WHEN k % 7 = 0 THEN 4 WHEN k % 2 = 0 THEN k % 5 ELSE 0 END::INT AS qc FROM o)
+SELECT k, qc, '{' || concat_ws(',', CASE WHEN d IS NOT NULL THEN '"description":"' || d || '"' END, '"document_type":' || t, CASE WHEN bad THEN '"exception":"ParserClass KeyError ' || k || '"' END,
+  CASE WHEN k % 5 = 0 THEN '"page":' || k % 9 END, '"qc":' || qc, CASE WHEN k % 6 = 1 THEN '"text_doc_orientation":' || k % 4 END) || '}' AS json FROM f"""
+
+
+def page_result(spark, sf):
+    """Pages of fused and other types as they are reported, with objects, lists and numbers; some failed, some have parts only."""
+    k, none = F.col("k"), F.lit(None).cast("string")
+    kind = F.element_at(F.array(*map(F.lit, (100, 130, 140, 10, 0))), (k % 5 + 1).cast("int"))
+    qc = (k % 7 % 6).cast("int")
+    field = lambda has, v, short, trust: F.when(has, F.struct(v.alias("value"), short.alias("value_short"), trust.alias("trusted")))
+    own = {"F": field(k % 3 != 0, F.lit("НИЗ"), none, F.when(k % 2 == 0, "True")), "birth_date": field(k % 3 == 1, none, F.lit("1985"), F.lit("False"))}
+    drives = {"serial_number": field(k % 4 != 0, k.cast("string"), none, none)}
+    cats = F.when(k % 4 == 1, F.array(F.lit("B"), F.lit("C1"))).when(k % 4 == 2, F.array().cast("array<string>"))
+    error = F.when(k % 11 == 0, F.lit("KeyError k"))
+    env = a.envelope(kind, F.lit("text"), F.when(k % 2 == 0, k % 4), a.present(qc=qc, exception=F.when(k % 13 == 0, "of a part")), k % 9, error)
+    parts = F.when(k % 3 != 0, (k % 4).cast("int")), F.when(k % 2 == 0, F.lit(1))
+    return _orders(spark, sf).withColumn("e", env).select("k", a.encoded(a.final_page(F.col("e"), kind, F.col("e")["qc"].cast("int"), F.lit("text"), own, drives, parts, cats)).alias("json"))
+
+
+PAGE_RESULT = """WITH o AS (SELECT o_orderkey AS k, [100, 130, 140, 10, 0][o_orderkey % 5 + 1] AS t, CASE WHEN o_orderkey % 11 = 0 THEN 4 ELSE o_orderkey % 7 % 6 END AS qc FROM orders),
+f AS (
+  SELECT *, CASE WHEN k % 3 <> 0 THEN '"F":{' || CASE WHEN k % 2 = 0 THEN '"trusted":"True",' ELSE '' END || '"value":"НИЗ"}' END AS f,
+    CASE WHEN k % 3 = 1 THEN '"birth_date":{"trusted":"False","value_short":"1985"}' END AS b, CASE WHEN k % 4 <> 0 THEN '"serial_number":{"value":"' || k || '"}' END AS s,
+    CASE WHEN k % 4 = 1 THEN '"categories":{"value":["B","C1"]}' END AS c, '"description":"text"' AS d,
+    CASE WHEN k % 11 = 0 THEN '"exception":"ParserClass KeyError k"' WHEN k % 13 = 0 THEN '"exception":"of a part"' END AS x FROM o
+)
+SELECT k, '{' || CASE WHEN t < 100 OR qc > 4 THEN concat_ws(',', d, '"document_type":' || t, x, '"page":' || k % 9, '"qc":' || qc, CASE WHEN k % 2 = 0 THEN '"text_doc_orientation":' || k % 4 END)
+  WHEN qc = 4 THEN '"document_type":0,"qc":4' WHEN t = 100 THEN concat_ws(',', f, b, d, '"document_type":100', x, '"qc":' || qc) WHEN t = 130 THEN concat_ws(',', c, d, '"document_type":130', x, '"qc":' || qc, s)
+  ELSE concat_ws(',', d, '"document_type":140', CASE WHEN k % 2 = 0 THEN '"driving_license":{' || concat_ws(',', c, '"qc":1', s) || '}' END, CASE WHEN k % 3 <> 0 THEN '"passport_main":{' || concat_ws(',', f, b, '"qc":' || k % 4) || '}' END, '"qc":' || qc) END || '}' AS json FROM f"""
 
 
 def props_decode(spark, sf):
@@ -234,6 +261,7 @@ SELECT CASE WHEN coalesce(q.id, '') = '' THEN 400 WHEN r.id IS NULL THEN 404 ELS
 QUERIES = {
     "page_route": (page_route, ROUTE),
     "page_envelope": (page_envelope, ENVELOPE),
+    "page_result": (page_result, PAGE_RESULT),
     "props_decode": (props_decode, "SELECT event_id, (props::JSON->>'k')::BIGINT AS value, '{\"k\":' || (props::JSON->>'k') || '}' AS json FROM events"),
     "page_simplified": (page_simplified, SIMPLIFIED),
     "fill_missing": (fill_missing, FILL),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from paperloom.operators import fuse, gazetteer, jobs, layout, rules, votes
 from paperloom.plans import pdf_inputs
 from paperloom.plans.base import table, words
-from paperloom.sources import files, pdf, recognize
+from paperloom.sources import files, pdf, recognize, store
 from paperloom.streaming import jobs as stream
 from paperloom.streaming import progress as state
 
@@ -543,6 +543,22 @@ def stream_job_progress(spark, sf):
     return living.withColumn("entries", F.to_json("entries", {"ignoreNullFields": "false"}))
 
 
+def result_store(spark, sf):
+    """Results of jobs put in three batches, one of them twice, compacted at the time of the newest, and asked for by all jobs."""
+    path, e = stream.shared_folder(spark), in_events(spark, sf)
+    rows = e.select(F.col("job_id").cast("string").alias("key"), F.concat_ws(" ", "status", "event_id").alias("payload"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3).alias("part"))
+    for batch in (0, 1, 1, 2):
+        store.put(rows.where(F.col("part") == batch), path, batch)
+    now = F.lit(rows.agg(F.max("ts")).first()[0])
+    store.compact(spark, path, now, ttl=86_400)
+    return store.get(rows.select("key").distinct(), store.living(store.entries(spark, path), now, ttl=86_400))
+
+
+RESULT_STORE = f"""WITH r AS (SELECT user_id::VARCHAR AS key, arg_max({STATUS} || ' ' || event_id, ts) AS payload, max(ts) AS ts FROM events GROUP BY 1),
+a AS (SELECT *, ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY AS alive FROM r)
+SELECT key, CASE WHEN alive THEN 200 ELSE 404 END::INT AS code, CASE WHEN alive THEN payload END AS payload, CASE WHEN NOT alive THEN '{{"status":"exception","description":"key not exists"}}' END AS error FROM a"""
+
+
 def pdf_split(spark, sf):
     """PDF files of one to three pages for each supplier; some with two images on the last page, some with a small one."""
 
@@ -639,6 +655,7 @@ QUERIES = {
     "qc_passport": (qc_passport, QC),
     "qc_licence": (qc_licence, "SELECT o_orderkey, CASE WHEN o_orderkey % 2 <> 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 4 <> 0 THEN 0 WHEN o_orderkey % 4 <> 0 THEN 1 ELSE 2 END AS qc FROM orders"),
     "pdf_split": (pdf_split, PDF_SPLIT),
+    "result_store": (result_store, RESULT_STORE),
     "job_fold": (job_fold, JOB_FOLD + "SELECT * FROM r"),
     "stream_job_progress": (stream_job_progress, JOB_FOLD + "SELECT * FROM r WHERE last_ms + 7200000 >= (SELECT max(epoch_us(ts) // 1000) FROM events)"),
     "stream_job_state": (stream_job_state, f"SELECT user_id AS job_id, arg_max({STATUS}, {{'t': ts, 'e': event_id}}) AS status FROM events GROUP BY 1"),

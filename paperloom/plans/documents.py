@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paperloom.operators import gazetteer, pages, rules, votes
+from paperloom.operators import descriptors, gazetteer, pages, rules, votes
 from paperloom.plans.base import table
 from paperloom.plans.pages import _view, in_gaz
 
@@ -62,6 +62,26 @@ def line_angles(spark, sf):
 ANGLES = "WITH e AS (SELECT vec_id, degrees(atan2(embedding[4]::DOUBLE - embedding[2]::DOUBLE, embedding[3]::DOUBLE - embedding[1]::DOUBLE)) AS a FROM embeddings) SELECT vec_id, round(CASE WHEN a > 90 THEN a - 180 WHEN a < -90 THEN a + 180 ELSE a END, 6) AS a FROM e"
 
 
+def descriptor_match(spark, sf):
+    """Points from the signs of vectors, twenty to a page; each page is matched with the first page of its five. Nearest ones that are clearly nearer."""
+    half = lambda at: F.lpad(F.hex(F.aggregate(F.slice("embedding", at, 32), F.lit(0).cast("long"), lambda a, x: a * 2 + (x > 0).cast("int"))), 8, "0")
+    e = table(spark, sf, "embeddings").select((F.col("vec_id") / 20).cast("long").alias("page_id"), (F.col("vec_id") % 20).cast("int").alias("kp"), F.get("embedding", F.lit(0)).alias("x"), F.get("embedding", F.lit(1)).alias("y"), F.unhex(F.concat(half(1), half(33))).alias("desc"))
+    first = e.where("page_id % 5 = 0").withColumn("template", (F.col("page_id") / 5).cast("long"))
+    pairs = e.select("page_id", (F.col("page_id") / 5).cast("long").alias("template")).distinct()
+    got = descriptors.match(e, first.drop("page_id"), pairs, ratio=0.9, filtered=False)
+    return got.select("page_id", "template", F.explode("matches").alias("m")).select("page_id", "template", "m.page_kp", "m.template_kp", "m.distance")
+
+
+DESCRIPTORS = """
+WITH e AS (SELECT vec_id // 20 AS page_id, (vec_id % 20)::INT AS kp, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings),
+d AS (
+  SELECT p.page_id, p.page_id // 5 AS template, p.kp AS page_kp, t.kp AS template_kp, list_sum(list_transform(range(1, 65), lambda k: (p.b[k] <> t.b[k])::INT))::INT AS distance
+  FROM e p JOIN e t ON t.page_id % 5 = 0 AND t.page_id // 5 = p.page_id // 5
+), n AS (SELECT *, row_number() OVER w AS r, lead(distance) OVER w AS second FROM d WINDOW w AS (PARTITION BY page_id, page_kp ORDER BY distance, template_kp))
+SELECT page_id, template, page_kp, template_kp, distance FROM n WHERE r = 1 AND distance < 0.9 * second
+"""
+
+
 def progress_merge(spark, sf):
     known = F.when(F.col("event_type").isin("click", "purchase"), (F.col("event_id") % 7).cast("int"))
     e = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), (F.col("event_id") % 3).cast("int").alias("page"), "event_id", known.alias("document_type"), (F.col("event_id") % 101).cast("int").alias("page_progress"), F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 4 == 0), (F.col("event_id") % 5).cast("int")).alias("qc"))
@@ -178,6 +198,7 @@ QUERIES = {
     "vote_categories": (vote_categories, CATEGORIES),
     "line_angles": (line_angles, ANGLES),
     "progress_merge": (progress_merge, MERGE),
+    "descriptor_match": (descriptor_match, DESCRIPTORS),
     "licence_suggest": (licence_suggest, SUGGEST),
     "licence_front": (licence_front, FRONT),
     "top_page": (top_page, TOP),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from paperloom.operators import fuse, gazetteer, jobs, layout, rules, votes
 from paperloom.plans import pdf_inputs
 from paperloom.plans.base import table, words
-from paperloom.sources import files, pdf, recognize, store
+from paperloom.sources import files, pdf, pixels, recognize, store
 from paperloom.streaming import jobs as stream
 from paperloom.streaming import progress as state
 
@@ -585,6 +586,32 @@ UNION ALL SELECT job_id, p::INT, 'png', (400 + p)::INT, (400 + k % 5)::INT, NULL
 """
 
 
+def red_frames(spark, sf):
+    """Pages with one to three red frames for each customer; the second frame of some holds the third."""
+
+    def draw(batches):
+        for b in batches:
+            data = []
+            for k in b.c_custkey.tolist():
+                image = np.full((120, 160, 3), 235, np.uint8)
+                boxes = [(3 + k % 20, 2 + k % 7, 30 + k % 5, 20), (70, 10 + k % 11, 60, 70 + k % 9), (80 if k % 4 == 0 else 10, 60 if k % 4 == 0 else 80, 20, 15)]
+                for x, y, w, h in boxes[: 1 + k % 3]:
+                    image[y : y + h, x : x + w] = (k % 40, k % 40, 210)
+                    image[y + 2 : y + h - 2, x + 2 : x + w - 2] = 235
+                data.append(image.tobytes())
+            yield b.assign(height=120, width=160, nChannels=3, data=data)
+
+    pages_in = table(spark, sf, "customer").select("c_custkey").mapInPandas(draw, "c_custkey long, height int, width int, nChannels int, data binary")
+    return pixels.frames(pages_in, "c_custkey").select("c_custkey", F.concat_ws(",", F.col("box").cast("array<string>")).alias("box"), "error")
+
+
+RED_FRAMES = """WITH k AS (SELECT c_custkey AS k FROM customer),
+b AS (
+  SELECT k, 4 + k % 20 AS x, 3 + k % 7 AS y, 28 + k % 5 AS w, 18 AS h FROM k UNION ALL SELECT k, 71, 11 + k % 11, 58, 68 + k % 9 FROM k WHERE k % 3 > 0
+  UNION ALL SELECT k, 11, 81, 18, 13 FROM k WHERE k % 3 = 2 AND k % 4 <> 0
+) SELECT k AS c_custkey, concat_ws(',', x, y, w, h) AS box, NULL::VARCHAR AS error FROM b"""
+
+
 def recognize_fixture(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("job_id"), F.lit("a.pdf").alias("file_name"), F.regexp_replace("text", "\n", "\f").cast("binary").alias("file"))
     r = recognize.recognize(d, recognize.FixtureRecognizer)
@@ -655,6 +682,7 @@ QUERIES = {
     "qc_passport": (qc_passport, QC),
     "qc_licence": (qc_licence, "SELECT o_orderkey, CASE WHEN o_orderkey % 2 <> 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 4 <> 0 THEN 0 WHEN o_orderkey % 4 <> 0 THEN 1 ELSE 2 END AS qc FROM orders"),
     "pdf_split": (pdf_split, PDF_SPLIT),
+    "red_frames": (red_frames, RED_FRAMES),
     "result_store": (result_store, RESULT_STORE),
     "job_fold": (job_fold, JOB_FOLD + "SELECT * FROM r"),
     "stream_job_progress": (stream_job_progress, JOB_FOLD + "SELECT * FROM r WHERE last_ms + 7200000 >= (SELECT max(epoch_us(ts) // 1000) FROM events)"),

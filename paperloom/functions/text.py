@@ -112,13 +112,6 @@ def licence_categories(line: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(up, F.lit(f"({CATEGORY})"), F.lit(1))))
 
 
-def mostly_upper(token: Column) -> Column:
-    """True if over 70 % of the characters other than spaces are letters with an upper-case form."""
-    t = F.upper(token)
-    n = F.length(F.regexp_replace(t, " ", ""))
-    return F.coalesce((n > 0) & (F.length(F.regexp_replace(t, r"[^\p{Lu}]", "")) > 0.7 * n), F.lit(False))
-
-
 def supported_file(path: Column) -> Column:
     """True for paths that end in an extension that is accepted."""
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin("pdf", "png", "jpeg", "jpg", "jpe")

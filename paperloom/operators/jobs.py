@@ -48,11 +48,6 @@ def latest(statuses: DataFrame, key: str, ts: str, *more: str) -> DataFrame:
     return statuses.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(ts, *more)).alias("s")).select(key, "s.*")
 
 
-def queue_order(jobs: DataFrame) -> DataFrame:
-    """jobs (priority, enqueued_at, id), the priority queue first, then the newest first. Sorted by range, not in one task."""
-    return jobs.orderBy((F.col("priority") > 0).desc(), F.col("enqueued_at").desc(), F.col("id").desc())
-
-
 def queue_positions(jobs: DataFrame, id_col: str) -> DataFrame:
     """jobs with pos, their place in the whole queue. Places are counted within an hour of one queue; what the hours before
     hold comes from a table of one row for each hour, so no task sorts the queue."""

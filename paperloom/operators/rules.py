@@ -61,7 +61,7 @@ RULES = (
     (("СОГАЗ", "ПАМЯТКА"), ("ПОЛИСОФЕРТАСТРАХОВАНИЯОТН", "ЕСЧАСТНЫХСЛУЧАЕВИБОЛЕЗНЕЙ"), (), 522, "СОГАЗ Памятка к заявлению о страховании"),
 )
 # Types whose further pages carry no sign of their own; how many pages they have in all, 0 for any number.
-CONTINUED = {11: 0, 12: 0, 13: 0, 24: 0, 26: 0, 28: 0, 29: 0, 46: 0, 511: 0, 514: 0, 520: 0, 80: 2, 40: 2, 56: 3}
+CONTINUED = {80: 2, 11: 0, 12: 0, 13: 0, 24: 0, 26: 0, 28: 0, 29: 0, 40: 2, 46: 0, 56: 3, 511: 0, 514: 0, 520: 0}
 
 
 def by_priority(rules: tuple = RULES) -> list[tuple]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.operators import descriptors, gazetteer, pages, rules, votes
 from paperloom.plans.base import table
 from paperloom.plans.pages import _view, in_gaz
+from paperloom.sources import intake
 
 
 def serial_halves(spark, sf):
@@ -82,6 +83,34 @@ SELECT page_id, template, page_kp, template_kp, distance FROM n WHERE r = 1 AND
 """
 
 
+def gazetteer_load(spark, sf):
+    """Words of parts' names as lines of a gazetteer, most of them repeated, with one gender or another."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.explode(F.split("p_name", " ")).alias("word"))
+    return gazetteer.load(p.groupBy("id", "word").agg(F.max(F.element_at(F.array(F.lit("MALE"), F.lit("FEMALE"), F.lit("OTHER")), (F.col("id") % 3 + 1).cast("int"))).alias("gender")))
+
+
+GAZETTEER_LOAD = """WITH w AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(p_name, ' ')) AS word FROM part)
+SELECT word AS key, min(id) AS id, CASE max(id) % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END::INT AS gender FROM w GROUP BY word"""
+
+
+def intake_requests(spark, sf):
+    """A request for each order: routes, HTTP methods, priorities, none, one or two files, names of all kinds."""
+    k = F.col("o_orderkey")
+    pick = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values) + 1).cast("int"))
+    file = F.struct(pick(("scan.pdf", "a.JPEG", "b.txt", "", "photo.png"), k).alias("name"), F.lit(b"x").alias("content"))
+    files = F.when(k % 11 == 0, F.array(file, file)).when(k % 13 == 0, F.slice(F.array(file), 1, 0)).otherwise(F.array(file))
+    r = table(spark, sf, "orders").select(k.alias("request_id"), pick([*intake.ROUTES, "/else"], k).alias("path"), pick(("POST", "POST", "POST", "GET"), k).alias("http_method"), pick(("0", "1", "", "x"), F.floor(k / 4)).alias("priority"), files.alias("files"))
+    return intake.answer(r).select("request_id", "method", "code", "high", F.get_json_object("body", "$.description").alias("message"), F.substr("file_name", F.lit(33)).alias("ending"))
+
+
+INTAKE = f"""WITH o AS (SELECT o_orderkey AS k, {list(intake.ROUTES.values())}[o_orderkey % 7 + 1] AS method, ['scan.pdf', 'a.JPEG', 'b.txt', '', 'photo.png'][o_orderkey % 5 + 1] AS name FROM orders),
+c AS (
+  SELECT *, CASE WHEN method IS NULL THEN 404 WHEN k % 4 = 3 THEN 200 WHEN k // 4 % 4 = 3 OR (k % 13 = 0 AND k % 11 <> 0) THEN 500 WHEN k % 11 = 0 OR name IN ('', 'b.txt') THEN 400 ELSE 200 END::INT AS code FROM o
+) SELECT k AS request_id, method, code, CASE WHEN code = 200 AND k % 4 < 3 THEN k // 4 % 4 = 1 END AS high,
+  CASE WHEN code = 400 THEN CASE WHEN k % 11 = 0 THEN '{intake.TOO_MANY}' WHEN name = '' THEN '{intake.NO_FILE}' ELSE '{intake.WRONG_KIND}' END END AS message,
+  CASE WHEN code = 200 AND k % 4 < 3 THEN '.' || right(name, 4) END AS ending FROM c"""
+
+
 def progress_merge(spark, sf):
     known = F.when(F.col("event_type").isin("click", "purchase"), (F.col("event_id") % 7).cast("int"))
     e = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), (F.col("event_id") % 3).cast("int").alias("page"), "event_id", known.alias("document_type"), (F.col("event_id") % 101).cast("int").alias("page_progress"), F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 4 == 0), (F.col("event_id") % 5).cast("int")).alias("qc"))
@@ -198,6 +227,8 @@ QUERIES = {
     "vote_categories": (vote_categories, CATEGORIES),
     "line_angles": (line_angles, ANGLES),
     "progress_merge": (progress_merge, MERGE),
+    "gazetteer_load": (gazetteer_load, GAZETTEER_LOAD),
+    "intake_requests": (intake_requests, INTAKE),
     "descriptor_match": (descriptor_match, DESCRIPTORS),
     "licence_suggest": (licence_suggest, SUGGEST),
     "licence_front": (licence_front, FRONT),

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import supported_file
 
-# Upload methods.
-METHODS = ("upload", "simple_upload", "passport_upload", "driving_license_upload", "passp_and_dlic_upload", "barcodes_only_upload")
-
 
 def read_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """job_id, file_name, file of the supported files below a folder, as a batch or a stream."""

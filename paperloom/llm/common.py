@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import weakref
@@ -26,6 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """From now on this session sends its Python workers no more than so many bytes of rows at once (a longer row by itself),
+    if it sent more: both sides hold a whole batch, and texts are long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", spark.conf.get(key).lower()).groups()
+    if int(digits) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(unit[:1], 1) > most:
+        spark.conf.set(key, str(most))
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut, nothing is computed twice."""
     spark = df.sparkSession
@@ -53,11 +63,6 @@ def word_count(text: Column) -> Column:
     return (lead + F.coalesce(F.regexp_count(text, F.lit(r"[\x20\x09-\x0D][^\x20\x09-\x0D]")), F.lit(0))).cast("long")
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def row_key(id_col: Column, text: Column) -> list[Column]:
     """Columns that identify a document row by id and content; rows that agree on them are repeats of one another."""
     return [id_col.alias("k_id"), F.xxhash64(text).alias("k_text"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("k_crc")]

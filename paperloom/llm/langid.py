@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import small_batches
+
 #: The bound of the model: documents drawn for each language. Its words and n-grams are all that these have.
 SAMPLE_DOCS = 1000
 #: Character n-grams of an unseen word, longest first. Words are put between underscores.
@@ -144,6 +146,7 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     doesn't depend on how the table is stored. What comes to the driver is one count for each language and the sample's
     words, all of them: the model is bounded by sample_docs for each language.
     """
+    small_batches(docs.sparkSession)
     key = F.xxhash64(sample_key if sample_key is not None else F.col(text)).bitwiseAND(F.lit((1 << 63) - 1))
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), key.alias("key"), train.alias("train")).where("train and lang is not null and text is not null")
     per_lang = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}

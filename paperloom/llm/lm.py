@@ -28,7 +28,7 @@ BITS, HASHES, BLOCK = 10, 4, 512
 #: Training tokens to a segment: what one task holds to build it.
 SEGMENT_TOKENS = 1 << 19
 #: The largest filter that is broadcast.
-BROADCAST_BYTES = 192 << 20
+BROADCAST_BYTES = 128 << 20
 #: Most frequent words whose exact counts are broadcast, at most.
 HEAD_WORDS = 1 << 18
 #: Bytes of text that are cut at once, and n-grams that a task counts before it passes them on.

@@ -535,13 +535,20 @@ g AS (
 
 
 def stream_job_progress(spark, sf):
-    """The jobs alive after the last event, from the stream's updates."""
+    """All jobs after the last event, from the stream's updates: those alive with their pages, the others as expired."""
     e = spark.read.parquet(f"{sf}/events.parquet")
     raw = spark.readStream.schema(e.schema).option("pathGlobFilter", "*").parquet(f"{sf}/events.parquet*")
-    newest = stream.run_available(state.job_progress(_job_events(raw)), ["job_id"]).where("not expired").drop("expired")
+    newest = stream.run_available(state.job_progress(_job_events(raw)), ["job_id"])
     now = e.agg(F.unix_millis(F.max(F.col("ts").cast("timestamp"))).alias("now"))
-    living = state.alive(newest.join(F.broadcast(now)), F.col("now")).drop("now")  # one row
-    return living.withColumn("entries", F.to_json("entries", {"ignoreNullFields": "false"}))
+    jobs_now = newest.join(F.broadcast(now))  # one row
+    jobs_now = jobs_now.withColumn("expired", F.col("expired") | (F.col("last_ms") + state.TTL * 1000 < F.col("now")))
+    alive = lambda c: F.when(~F.col("expired"), c)
+    return jobs_now.select("job_id", "last_ms", "expired", *[alive(F.col(c)).alias(c) for c in ("status", "pages", "full_progress")], alive(F.to_json("entries", {"ignoreNullFields": "false"})).alias("entries"))
+
+
+JOB_STREAM = JOB_FOLD + """, n AS (SELECT *, last_ms + 7200000 < (SELECT max(epoch_us(ts) // 1000) FROM events) AS expired FROM r)
+SELECT job_id, last_ms, expired, CASE WHEN NOT expired THEN status END AS status, CASE WHEN NOT expired THEN pages END AS pages,
+  CASE WHEN NOT expired THEN full_progress END AS full_progress, CASE WHEN NOT expired THEN entries END AS entries FROM n"""
 
 
 def result_store(spark, sf):
@@ -685,7 +692,7 @@ QUERIES = {
     "red_frames": (red_frames, RED_FRAMES),
     "result_store": (result_store, RESULT_STORE),
     "job_fold": (job_fold, JOB_FOLD + "SELECT * FROM r"),
-    "stream_job_progress": (stream_job_progress, JOB_FOLD + "SELECT * FROM r WHERE last_ms + 7200000 >= (SELECT max(epoch_us(ts) // 1000) FROM events)"),
+    "stream_job_progress": (stream_job_progress, JOB_STREAM),
     "stream_job_state": (stream_job_state, f"SELECT user_id AS job_id, arg_max({STATUS}, {{'t': ts, 'e': event_id}}) AS status FROM events GROUP BY 1"),
     "stream_tumbling_status": (stream_tumbling_status, f"SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, {STATUS} AS status, count(*) AS n FROM events GROUP BY 1, 2"),
     "recognize_fixture": (recognize_fixture, "SELECT doc_id::VARCHAR AS job_id, len(string_split(text, chr(10))) AS pages, (length(text) - len(string_split(text, chr(10))) + 1)::BIGINT AS chars FROM documents"),

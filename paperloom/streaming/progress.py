@@ -64,7 +64,7 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms
         none = lambda x: None if pd.isna(x) else int(x)
         for e in events.itertuples(index=False):
             if job is not None and e.ms - job.last > ttl_ms:
-                job = None
+                held, job = job, None
             if e.kind == "split":
                 job = Job(none(e.pages) or 0, e.ms)
             elif job is not None and e.kind in STATUS:
@@ -75,7 +75,8 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms
             state.setTimeoutTimestamp(max(job.last + ttl_ms, state.getCurrentWatermarkMs() + 1))
             rows = [job.row(key[0])]
         elif held is not None:
-            state.remove()
+            if state.exists:
+                state.remove()
             rows = [held.row(key[0], expired=True)]
         else:
             return

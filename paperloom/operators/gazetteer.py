@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import turkic_split
+from paperloom.staging import stage
 
 # Greatest edit distance of each kind, candidates kept, and keys that a query expands to.
 MAX_DISTANCE = {"name": 3, "surname": 3, "patronymic": 4}
@@ -155,7 +156,32 @@ def suggest_licence(people: DataFrame, names: DataFrame, patronymics: DataFrame,
     for x, got in answers.items():
         a = got.select(F.col("word").alias(f"__{x}_word"), F.struct("value", "gender", "score").alias(f"__{x}_answer"))
         out = out.join(a, F.col(f"__{x}") == F.col(f"__{x}_word"), "left")
-    got = lambda x, c: F.col(f"__{x}_answer.{c}")
-    fields = [e for x in answers for e in (got(x, "value").alias(x), got(x, "gender").alias(f"{x}_gender"), F.coalesce(got(x, "score"), F.lit(0.0)).alias(f"{x}_score"))]
-    some = F.coalesce(*[F.col(f"__{x}_answer") for x in answers]).isNotNull()
-    return out.withColumn("suggest", F.when(some, F.struct(*fields))).select(*[F.col(c) for c in people.columns], "suggest")
+    return out.withColumn("suggest", suggestion({x: F.col(f"__{x}_answer") for x in answers})).select(*[F.col(c) for c in people.columns], "suggest")
+
+
+def suggestion(answers: dict[str, Column]) -> Column:
+    """Answers, struct(value, gender, score), for each name as one struct with score 0 for a name without; null if there are none."""
+    fields = [e for x, a in answers.items() for e in (a["value"].alias(x), a["gender"].alias(f"{x}_gender"), F.coalesce(a["score"], F.lit(0.0)).alias(f"{x}_score"))]
+    return F.when(F.coalesce(*answers.values()).isNotNull(), F.struct(*fields))
+
+
+def suggest_by_ways(pages: DataFrame, ways: dict[str, Column], names: DataFrame, patronymics: DataFrame, surnames: DataFrame) -> DataFrame:
+    """pages with `suggest`. ways tells for each of F, I, O how it is looked up, struct(way, first, second): `double` asks for what both
+    readings have in common, `retry` for one reading and its first words; null asks for nothing. Each distinct reading is
+    looked up once, however many pages have it; pages keep their rows and columns."""
+    on = pages.select("*", *[w.alias(f"__{x}") for x, w in ways.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.col(f"__{x}.way").alias("way"), F.col(f"__{x}.first").alias("first"), F.col(f"__{x}.second").alias("second")) for x in ways]))
+    asked = stage(on.select(each.alias("a")).select("a.*").where("way is not null").distinct())
+    known = {"F": surnames, "I": names, "O": patronymics}
+    out = on
+    for x, keys in known.items():
+        mine = asked.where(F.col("x") == x)
+        single = mine.where("way = 'retry'").select(F.col("first").alias("word"))
+        got = pick_patronymic(single, names, keys) if x == "O" else pick_retry(single, keys, MAX_DISTANCE["name"])
+        pairs = mine.where("way = 'double'").select(F.col("first").alias("w1"), F.col("second").alias("w2"))
+        c = candidates(pairs.select(F.explode(F.array("w1", "w2")).alias("word")), keys, MAX_DISTANCE["patronymic" if x == "O" else "name"])
+        both = pick_double(c, c, pairs, MAX_DISTANCE["patronymic" if x == "O" else "name"]).where("value is not null")
+        a = got.select("word", F.lit(None).cast("string").alias("w2"), "value", "gender", "score").union(both.select("w1", "w2", "value", "gender", "score"))
+        a = a.select(F.col("word").alias(f"__{x}_1"), F.col("w2").alias(f"__{x}_2"), F.struct("value", "gender", "score").alias(f"__{x}_answer"))
+        out = out.join(a, (F.col(f"__{x}.first") == F.col(f"__{x}_1")) & F.col(f"__{x}.second").eqNullSafe(F.col(f"__{x}_2")), "left")
+    return out.withColumn("suggest", suggestion({x: F.col(f"__{x}_answer") for x in known})).select(*[F.col(c) for c in pages.columns], "suggest")

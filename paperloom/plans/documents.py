@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paperloom.operators import descriptors, gazetteer, pages, rules, votes
+from paperloom.operators import assembly, descriptors, gazetteer, pages, rules, votes
 from paperloom.plans.base import table
 from paperloom.plans.pages import _view, in_gaz
 from paperloom.sources import intake
@@ -176,6 +176,57 @@ h AS (SELECT p_name, CASE WHEN n % 5 = 0 THEN '' WHEN n % 2 = 0 THEN p_name || '
 )
 
 
+def passport_suggest(spark, sf):
+    """Suggestions for passport pages whose zone and printed lines are misread in ways of their own, or not read at all."""
+    p = table(spark, sf, "part").select("p_name").distinct()
+    n, one = F.length("p_name"), F.split("p_name", " ")[0]
+    zone = F.struct(
+        F.when(n % 3 != 0, F.concat(F.substr("p_name", F.lit(1), F.lit(2)), F.substr("p_name", F.lit(4)))).alias("f"), F.when(n % 2 == 0, one).otherwise("").alias("i"), F.when(n % 5 < 2, F.concat("p_name", F.lit(" qqqqqq"))).alias("o"),
+    )
+    bottom = F.struct(F.when(n % 4 != 0, F.concat("p_name", F.lit("z"))).alias("F"), F.when(n % 3 != 1, F.concat(one, F.lit("z"))).alias("I"), F.when(n % 5 < 4, F.concat("p_name", F.lit("xyzw"))).alias("O"))
+    p = p.select("p_name", F.when(n % 7 != 0, zone).alias("zone"), F.when(n % 11 != 0, bottom).alias("bottom"))
+    names = p.select(one.alias("key")).distinct()
+    names = names.select("key", F.row_number().over(W.orderBy("key")).alias("id"), (F.length("key") % 3).alias("gender"))
+    g = in_gaz(spark, sf)
+    got = gazetteer.suggest_by_ways(p, assembly.suggestion_ways(F.col("zone"), F.col("bottom")), names, g, g)
+    return got.select("p_name", F.col("suggest").isNotNull().alias("found"), "suggest.*")
+
+
+def _both(x: str, z: str, b: str, keys: str) -> str:
+    """SQL for the answers {x} (w1, w2, value, score, gender) of pairs of readings {z} and {b} in h, from the table `keys` (key, id)."""
+    at = lambda d: f"min({{'id': id, 'key': key}}) FILTER (d = {d})"
+    return f""",
+{x}0 AS (SELECT DISTINCT {z} AS w1, {b} AS w2 FROM h WHERE {z} IS NOT NULL AND {b} IS NOT NULL), {x}1 AS (SELECT w1 AS word FROM {x}0 UNION SELECT w2 FROM {x}0),
+{x}2 AS (SELECT word, id, key, levenshtein(word, key) AS d FROM {x}1, {keys} WHERE levenshtein(word, key) <= 3),
+{x}3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, id) AS n FROM {x}2) WHERE n <= 5),
+{x}4 AS (SELECT word, arg_min(key, n) AS top, min(d) AS d, {at(0)} AS l1, {at(1)} AS l2, {at(2)} AS l3 FROM {x}3 GROUP BY word),
+{x}5 AS (SELECT word, top, d, CASE WHEN l1 IS NOT NULL AND l2 IS NOT NULL THEN CASE WHEN l1.id > 5000 * l2.id THEN l2.key ELSE l1.key END
+  WHEN l2 IS NOT NULL AND l3 IS NOT NULL THEN CASE WHEN l2.id > 5000 * l3.id THEN l3.key ELSE l2.key END ELSE top END AS value,
+  CASE WHEN l1 IS NOT NULL AND l2 IS NOT NULL THEN CASE WHEN l1.key = word AND l1.id <= 5000 * l2.id THEN 1 ELSE 0.75 END ELSE (4 - d) / 4 END::DOUBLE AS score FROM {x}4),
+{x}6 AS (SELECT w1, w2, min({{'n': a.n, 'key': a.key, 'd': a.d}}) AS top FROM {x}0 JOIN {x}3 a ON a.word = w1 JOIN {x}3 b ON b.word = w2 AND a.key = b.key GROUP BY 1, 2),
+{x}7 AS (SELECT q.w1, q.w2, m.top, m.top.key IN (q.w1, q.w2) AS exact, a.value AS v1, a.score AS s1, a.top AS t1, a.d AS d1, b.value AS v2, b.score AS s2
+  FROM {x}0 q LEFT JOIN {x}6 m ON m.w1 = q.w1 AND m.w2 = q.w2 LEFT JOIN {x}5 a ON a.word = q.w1 LEFT JOIN {x}5 b ON b.word = q.w2),
+{x}8 AS (SELECT w1, w2, CASE WHEN top IS NULL THEN CASE WHEN v1 IS NOT NULL AND v2 IS NOT NULL THEN t1 ELSE coalesce(v1, v2) END WHEN NOT exact AND s1 = 1 THEN v1 WHEN NOT exact AND s2 = 1 THEN v2 ELSE top.key END AS value,
+  CASE WHEN top IS NULL THEN CASE WHEN v1 IS NOT NULL AND v2 IS NOT NULL THEN (4 - d1) / 4 ELSE coalesce(s1, s2) END WHEN exact OR s1 = 1 OR s2 = 1 THEN 1 ELSE (4 - top.d) / 4 END::DOUBLE AS score FROM {x}7),
+{x} AS (SELECT *, ['UNKNOWN', 'MALE', 'FEMALE'][length(value) % 3 + 1] AS gender FROM {x}8 WHERE value IS NOT NULL)"""
+
+
+PASSPORT_SUGGEST = (
+    """WITH n AS (SELECT p_name AS key, count(*) AS c FROM part GROUP BY 1), g AS (SELECT key, row_number() OVER (ORDER BY c DESC, key) AS id FROM n),
+f AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS key FROM part), fg AS (SELECT key, row_number() OVER (ORDER BY key) AS id FROM f),
+b AS (SELECT DISTINCT p_name, length(p_name) AS n, string_split(p_name, ' ')[1] AS one FROM part),
+r AS (SELECT p_name, CASE WHEN n % 7 <> 0 AND n % 3 <> 0 THEN substr(p_name, 1, 2) || substr(p_name, 4) END AS zf, CASE WHEN n % 7 <> 0 AND n % 2 = 0 THEN one END AS zi, CASE WHEN n % 7 <> 0 AND n % 5 < 2 THEN p_name || ' qqqqqq' END AS zo,
+  CASE WHEN n % 11 <> 0 AND n % 4 <> 0 THEN p_name || 'z' END AS bf, CASE WHEN n % 11 <> 0 AND n % 3 <> 1 THEN one || 'z' END AS bi, CASE WHEN n % 11 <> 0 AND n % 5 < 4 THEN p_name || 'xyzw' END AS bo FROM b),
+h AS (SELECT *, CASE WHEN zf IS NULL OR bf IS NULL THEN coalesce(zf, bf) END AS af, CASE WHEN zi IS NULL OR bi IS NULL THEN coalesce(zi, bi) END AS ai, coalesce(zo, bo) AS ao FROM r)"""
+    + _answers("sf", "af", "g", 3) + _answers("si", "ai", "fg", 3) + _answers("so", "ao", "g", 4) + _both("df", "zf", "bf", "g") + _both("di", "zi", "bi", "fg")
+    + """ SELECT p_name, sf.word IS NOT NULL OR si.word IS NOT NULL OR so.word IS NOT NULL OR df.w1 IS NOT NULL OR di.w1 IS NOT NULL AS found,
+  coalesce(df.value, sf.value) AS F, coalesce(df.gender, sf.gender) AS F_gender, CASE WHEN found THEN coalesce(df.score, sf.score, 0) END AS F_score,
+  coalesce(di.value, si.value) AS I, coalesce(di.gender, si.gender) AS I_gender, CASE WHEN found THEN coalesce(di.score, si.score, 0) END AS I_score,
+  so.value AS O, so.gender AS O_gender, CASE WHEN found THEN coalesce(so.score, 0) END AS O_score
+  FROM h LEFT JOIN sf ON af = sf.word LEFT JOIN si ON ai = si.word LEFT JOIN so ON ao = so.word LEFT JOIN df ON zf = df.w1 AND bf = df.w2 LEFT JOIN di ON zi = di.w1 AND bi = di.w2"""
+)
+
+
 def licence_front(spark, sf):
     """A licence front for each customer, with the same words in both languages' readings."""
     c = table(spark, sf, "customer").select("c_custkey")
@@ -231,6 +282,7 @@ QUERIES = {
     "intake_requests": (intake_requests, INTAKE),
     "descriptor_match": (descriptor_match, DESCRIPTORS),
     "licence_suggest": (licence_suggest, SUGGEST),
+    "passport_suggest": (passport_suggest, PASSPORT_SUGGEST),
     "licence_front": (licence_front, FRONT),
     "top_page": (top_page, TOP),
     "bottom_text": (bottom_text, BOTTOM_TEXT),

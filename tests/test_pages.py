@@ -2,7 +2,9 @@
 
 import random
 
-from paperloom.operators import gazetteer, layout, pages
+from pyspark.sql import functions as F
+
+from paperloom.operators import assembly, gazetteer, layout, pages
 
 
 def test_cluster():
@@ -72,3 +74,24 @@ def test_licence_without_answers(spark):
     people = spark.createDataFrame([(1, "ФФФФФФФ", "  ИВАН  ", "x"), (2, "ФФФФФФФ", "ЩЩЩЩЩЩЩЩ", "y"), (3, None, None, None)], "k int, fam_rus string, name_rus string, word string")
     got = {r.k: r.suggest for r in gazetteer.suggest_licence(people, g, g, g).collect()}
     assert (got[1].I, got[1].I_gender, got[1].I_score, got[1].F, got[1].F_score) == ("ИВАН", "MALE", 1.0, None, 0.0) and got[2] is got[3] is None
+
+
+def test_suggest_by_ways(spark):
+    """Both readings, one of them, or none; null parts; repeated rows and other columns stay."""
+    g = spark.createDataFrame([(1, "ИВАН", 1), (2, "АННА", 2), (3, "ПЕТРОВ", 0), (4, "ОЛЕГОВИЧ", 1)], "id long, key string, gender int")
+    schema = "k int, suggested string, zone struct<f:string, i:string, o:string>, bottom struct<F:string, I:string, O:string>"
+    rows = [
+        (1, "a", ("ПЕТРОВ", "ИВАН", "ОЛЕГОВИЧ"), ("ПЕТРОБ", "ИВАН", None)),
+        (2, None, None, ("ПЕТРОВ ЛИШНЕЕ", None, "ОЛЕГОВИЧЬ")),
+        (3, "c", None, None),
+        (4, "d", ("", "ЩЩЩЩЩЩЩЩ", ""), (None, "ЮЮЮЮЮЮЮЮ", "")),
+        (1, "a", ("ПЕТРОВ", "ИВАН", "ОЛЕГОВИЧ"), ("ПЕТРОБ", "ИВАН", None)),
+    ]
+    pages_ = spark.createDataFrame(rows, schema)
+    ways = assembly.suggestion_ways(F.col("zone"), F.col("bottom"))
+    got = gazetteer.suggest_by_ways(pages_, ways, g, g, g).orderBy("k").collect()
+    assert [r.k for r in got] == [1, 1, 2, 3, 4] and got[0].suggested == "a"
+    assert got[0] == got[1] and tuple(got[0].suggest) == ("ПЕТРОВ", "UNKNOWN", 1.0, "ИВАН", "MALE", 1.0, "ОЛЕГОВИЧ", "MALE", 1.0)
+    assert tuple(got[2].suggest) == ("ПЕТРОВ", "UNKNOWN", 0.75, None, None, 0.0, "ОЛЕГОВИЧ", "MALE", 0.8)
+    assert got[3].suggest is None and got[4].suggest is None
+    assert gazetteer.suggest_by_ways(pages_.limit(0), ways, g, g, g).count() == 0

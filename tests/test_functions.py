@@ -85,6 +85,21 @@ def test_check_digit_round_trip(spark):
     assert df.where(~checks.mrz_check(F.concat("b", "d"))).count() == 0
 
 
+def test_check_sums(spark):
+    """Packed sums equal plain ones for every number of digits, with the greatest digits too."""
+    rng = random.Random(4)
+    rows = [(d,) for n in range(1, 41) for d in ("9" * n, "".join(rng.choice("0123456789") for _ in range(n)))]
+    plain = lambda d, w: sum(int(c) * w[i % len(w)] for i, c in enumerate(d))
+    df = spark.createDataFrame(rows, "d string")
+    for n in (1, 6, 9, 14, 15, 16, 30, 39):
+        got = df.where(F.length("d") == n).select("d", checks._packed(F.col("d"), (7, 3, 1), n).alias("n")).collect()
+        assert got and all(r.n == plain(r.d, (7, 3, 1)) for r in got)
+    got = df.select("d", checks.mrz_check(F.col("d"), 40).alias("ok")).collect()
+    assert all(r.ok == (len(r.d) == 40 and plain(r.d[:-1], (7, 3, 1)) % 10 == int(r.d[-1])) for r in got)
+    odd = one(spark, a=checks.mrz_check(F.lit(None).cast("string"), 7), b=checks.mrz_check(F.lit("12A4567"), 7), c=checks.mrz_check(F.lit(""), 7), d=checks.i25_body(F.lit("12x")), e=checks.i25_body(F.lit("")))
+    assert (odd.a, odd.b, odd.c, odd.d, odd.e) == (False, False, False, None, None)
+
+
 def test_rules(spark):
     assert [r[3] for r in rules.by_priority()][:1] == [520] and [r[3] for r in rules.by_priority()][-4:] == [10, 60, 110, 110]
     t = one(spark, a=rules.classify(F.lit("ДОГОВОРКУПЛИПРОДАЖИ")), b=rules.classify(F.lit("ДОГОВОРКУПЛИПРОДАЖИПРИЛОЖЕНИЕ")), c=rules.classify(F.lit("ПАСПОРТТРАНГОСРЕДСТОСОБЫЕОТМЕТКИ")), d=rules.classify(F.lit("ПАСПОРТТРАНГОСРЕДСТОСОБЫЕОТМЕТКИ"), strict=False))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.operators import assembly, descriptors, gazetteer, pages, rules, votes
 from paperloom.plans.base import table
 from paperloom.plans.pages import _view, in_gaz
-from paperloom.sources import intake
+from paperloom.sources import intake, recognize
 
 
 def serial_halves(spark, sf):
@@ -128,6 +128,17 @@ FROM d GROUP BY job_id, page
 """
 
 
+def handwriting_gate(spark, sf):
+    """Each text as a rectangle whose lines are its pieces."""
+    d = table(spark, sf, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: x.cast("binary")).alias("pieces"))
+    got = recognize.written(d, "doc_id", recognize.FixtureRecognizer)
+    return got.select("doc_id", F.size("answers").alias("n"), F.size(F.filter("answers", lambda x: x)).alias("n_written"), F.exists("answers", lambda x: x).alias("some"))
+
+
+GATE = r"""WITH d AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_matches(x, '[0-9]')) AS a FROM documents)
+SELECT doc_id, coalesce(len(a), -1)::INT AS n, coalesce(len(list_filter(a, lambda x: x)), -1)::INT AS n_written, list_contains(a, true) AS some FROM d"""
+
+
 def licence_suggest(spark, sf):
     """Suggestions for licence holders from misread names: words of parts' names as given names, whole ones as patronymics and
     surnames; some names have one word, some words too many, some are empty."""
@@ -281,6 +292,7 @@ QUERIES = {
     "gazetteer_load": (gazetteer_load, GAZETTEER_LOAD),
     "intake_requests": (intake_requests, INTAKE),
     "descriptor_match": (descriptor_match, DESCRIPTORS),
+    "handwriting_gate": (handwriting_gate, GATE),
     "licence_suggest": (licence_suggest, SUGGEST),
     "passport_suggest": (passport_suggest, PASSPORT_SUGGEST),
     "licence_front": (licence_front, FRONT),

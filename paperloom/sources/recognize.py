@@ -1,10 +1,13 @@
 """The boundary to pixel-level recognition, which stays outside: an interface that yields rows for a page image.
 
-Recognizers run inside Python workers, one instance for each; an error becomes a row with qc 4, never a failed task.
+Recognizers run inside Python workers, one instance for each; an error becomes a row with qc 4, never a failed task. A call that
+takes longer than its deadline has no answer; it is left alone with its instance, and later calls go to a new one.
 """
 
 from __future__ import annotations
 
+import re
+import threading
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -22,6 +25,33 @@ class Recognizer(Protocol):
 
     def classify(self, page: bytes) -> list[float]: ...
 
+    def written(self, pieces: list[bytes]) -> list[bool]: ...
+
+
+#: Fixed value: seconds that a call may take.
+DEADLINE = 60.0
+
+
+def within(seconds: float, call: Callable, *args: object) -> object:
+    """What the call gives or raises; TimeoutError if it takes longer than that. The call itself can't be stopped and runs on."""
+    out: list[tuple[object, Exception | None]] = []
+
+    def run() -> None:
+        try:
+            out.append((call(*args), None))
+        except Exception as e:
+            out.append((None, e))
+
+    t = threading.Thread(target=run, daemon=True)
+    t.start()
+    t.join(seconds)
+    if not out:
+        raise TimeoutError(f"no answer in {seconds:g} s")
+    answer, error = out[0]
+    if error is not None:
+        raise error
+    return answer
+
 
 class FixtureRecognizer:
     """Reads what it would recognize from the file's own text: pages parted by form feeds, barcodes after '#', with an angle
@@ -40,9 +70,13 @@ class FixtureRecognizer:
     def classify(self, page: bytes) -> list[float]:
         return [float(len(page) % 5 == k) for k in range(5)]
 
+    def written(self, pieces: list[bytes]) -> list[bool]:
+        return [re.search(rb"[0-9]", p) is not None for p in pieces]
 
-def recognize(files: DataFrame, make: Callable[[], Recognizer]) -> DataFrame:
-    """files (job_id, file_name, file) as pages: job_id, page_num, text, barcodes, logits, qc, exception."""
+
+def recognize(files: DataFrame, make: Callable[[], Recognizer], seconds: float = DEADLINE) -> DataFrame:
+    """files (job_id, file_name, file) as pages: job_id, page_num, text, barcodes, logits, qc, exception, late. What a page's call doesn't
+    give in time is null and named in late (null if all came); a file that isn't split in time is one row with qc 4."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = make()
@@ -50,18 +84,47 @@ def recognize(files: DataFrame, make: Callable[[], Recognizer]) -> DataFrame:
             out = []
             for job, name, file in zip(pdf.job_id, pdf.file_name, pdf.file):
                 try:
-                    pages = r.split(bytes(file), name)
+                    pages = within(seconds, r.split, bytes(file), name)
                 except Exception as e:
-                    out.append((job, 0, None, None, None, 4, f"{type(e).__name__}: {e}"))
+                    out.append((job, 0, None, None, None, 4, f"{type(e).__name__}: {e}", None))
+                    r = make() if isinstance(e, TimeoutError) else r
                     continue
                 for n, page in enumerate(pages):
+                    got: dict[str, object] = {}
+                    late: list[str] = []
                     try:
-                        out.append((job, n, r.text(page, 0), [d for _, d in r.barcodes(page, 0.0)], r.classify(page), None, None))
+                        for kind, args in (("text", (0,)), ("barcodes", (0.0,)), ("classify", ())):
+                            try:
+                                got[kind] = within(seconds, getattr(r, kind), page, *args)
+                            except TimeoutError:
+                                late.append(kind)
+                                r = make()
+                        codes = got.get("barcodes")
+                        out.append((job, n, got.get("text"), None if codes is None else [d for _, d in codes], got.get("classify"), None, None, late or None))
                     except Exception as e:
-                        out.append((job, n, None, None, None, 4, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["job_id", "page_num", "text", "barcodes", "logits", "qc", "exception"])
+                        out.append((job, n, None, None, None, 4, f"{type(e).__name__}: {e}", late or None))
+            yield pd.DataFrame(out, columns=["job_id", "page_num", "text", "barcodes", "logits", "qc", "exception", "late"])
+
+    return files.select("job_id", "file_name", "file").mapInPandas(run, "job_id string, page_num int, text string, barcodes array<string>, logits array<double>, qc int, exception string, late array<string>")
+
+
+def written(rectangles: DataFrame, key: str, make: Callable[[], Recognizer], seconds: float = DEADLINE) -> DataFrame:
+    """rectangles (key, pieces) as (key, answers): whether each piece is written on. One answer, false, where none comes in time or the
+    call fails; null for null `pieces`, none for none. Single null pieces are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = make()
+        for pdf in batches:
+            out = []
+            for pieces in pdf.pieces:
+                try:
+                    out.append(None if pieces is None else within(seconds, r.written, [bytes(p) for p in pieces if p is not None]) if len(pieces) else [])
+                except Exception as e:
+                    out.append([False])
+                    r = make() if isinstance(e, TimeoutError) else r
+            yield pd.DataFrame({key: pdf[key], "answers": pd.Series(out, index=pdf.index, dtype=object)})
 
-    return files.select("job_id", "file_name", "file").mapInPandas(run, "job_id string, page_num int, text string, barcodes array<string>, logits array<double>, qc int, exception string")
+    return rectangles.select(key, "pieces").mapInPandas(run, f"{key} {rectangles.schema[key].dataType.simpleString()}, answers array<boolean>")
 
 
 def quarter_turns(image: np.ndarray, n: int) -> np.ndarray:

@@ -1,10 +1,11 @@
 """Sources and streams over small files."""
 
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from paperloom.sources import files
+from paperloom.sources import files, recognize
 from paperloom.streaming import jobs as stream
 
 
@@ -52,3 +53,46 @@ def test_late_events_and_updates(spark, tmp_path):
         stream.write_status(stream.latest_state(read().withColumn("job_id", F.lit("j"))), path, state).awaitTermination()
     newest = stream.newest(spark.read.parquet(path), ["job_id"]).collect()
     assert len(newest) == 1 and newest[0].status == "waiting"
+
+
+class Slow(recognize.FixtureRecognizer):
+    """Takes too long where the page says so."""
+
+    def split(self, file, name):
+        if b"slow-file" in file:
+            time.sleep(3)
+        return super().split(file, name)
+
+    def barcodes(self, page, angle):
+        if b"slow-codes" in page:
+            time.sleep(3)
+        if b"bad" in page:
+            raise ValueError("bad page")
+        return super().barcodes(page, angle)
+
+    def written(self, pieces):
+        if b"slow" in pieces:
+            time.sleep(3)
+        if b"bad" in pieces:
+            raise ValueError("bad piece")
+        return super().written(pieces)
+
+
+def test_deadlines(spark):
+    """A call without an answer in time gives null and is named; other calls, pages and files of the same task go on."""
+    rows = [("a", "x.pdf", bytearray(b"one #5\x0cslow-codes #6\x0cbad\x0cfour #7")), ("b", "y.png", bytearray(b"slow-file")), ("c", "z.png", bytearray(b"last #8"))]
+    df = spark.createDataFrame(rows, "job_id string, file_name string, file binary").coalesce(1)
+    got = {(r.job_id, r.page_num): r for r in recognize.recognize(df, Slow, 0.7).collect()}
+    assert sorted(got) == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0), ("c", 0)]
+    assert [got["a", n].barcodes for n in range(4)] == [["5"], None, None, ["7"]] and got["c", 0].barcodes == ["8"]
+    assert got["a", 1].late == ["barcodes"] and got["a", 1].text == "slow-codes #6" and len(got["a", 1].logits) == 5 and got["a", 1].qc is None
+    assert got["a", 2].exception == "ValueError: bad page" and got["a", 0].late is None
+    assert got["b", 0].qc == 4 and got["b", 0].exception.startswith("TimeoutError")
+    assert recognize.recognize(df.limit(0), Slow, 0.7).count() == 0
+
+
+def test_handwriting_deadline(spark):
+    rows = [(1, [b"a1", b"b"]), (2, [b"slow", b"2"]), (3, None), (4, []), (5, [b"bad", b"1", b"2"]), (6, [b"7", b"8"])]
+    df = spark.createDataFrame(rows, "k int, pieces array<binary>").coalesce(1)
+    got = {r.k: r.answers for r in recognize.written(df, "k", Slow, 0.7).collect()}
+    assert got == {1: [True, False], 2: [False], 3: None, 4: [], 5: [False], 6: [True, True]}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -52,17 +54,21 @@ def angle(df: DataFrame, key: list[str], value: str) -> DataFrame:
     return best.groupBy(*key).agg(F.max_by(F.struct("r", "m"), F.struct("n", -F.col("r"))).alias("b")).select(*key, F.col("b.r").alias("angle"), F.col("b.m").alias("median"))
 
 
-def windows10(text: Column) -> Column:
-    """The ten-character windows at places i * 10 + j (i < 7, j < 10), in order of j, then i."""
-    at = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: i * 10 + j)))
-    return F.filter(F.transform(at, lambda p: F.substr(text, p + 1, F.lit(10))), lambda w: F.length(w) == 10)
+def frequent10(t: str | None) -> list[str]:
+    """The ten-character windows at places i * 10 + j (i < 7, j < 10) that occur more than twice, by their first place in order of j, then i."""
+    seen = Counter(t[i * 10 + j : i * 10 + j + 10] for j in range(10) for i in range(7)) if t else {}
+    return [w for w, n in seen.items() if n > 2 and len(w) == 10]
 
 
 def substring_vote(df: DataFrame, key: list[str], text: str) -> DataFrame:
     """key and vote: of the windows that occur more than twice, the one whose eight repetitions are nearest the text by
-    edit distance, the first seen of equals; empty if there is none."""
-    w = df.select(*key, F.col(text).alias("_t"), F.posexplode(F.when(F.length(text) >= 10, windows10(F.col(text)))).alias("_p", "_w"))
-    n = w.groupBy(*key, "_t", "_w").agg(F.count("*").alias("n"), F.min("_p").alias("first")).where("n > 2")
-    d = n.withColumn("_d", F.levenshtein(F.repeat("_w", 8), F.col("_t")))
-    best = d.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy("_d", "first"))).where("_r = 1").select(*key, F.col("_w").alias("vote"))
-    return df.select(*key).join(best, key, "left").select(*key, F.coalesce("vote", F.lit("")).alias("vote"))
+    edit distance, the first seen of equals; empty if there is none. Each row by itself, without a shuffle."""
+
+    @F.pandas_udf("array<string>")
+    def often(texts: pd.Series) -> pd.Series:
+        return texts.map(frequent10)
+
+    w = df.select(*key, F.col(text).alias("_t"), often(F.col(text)).alias("_w"))
+    # the least place of equal distances is that of the window seen first
+    far = F.transform("_w", lambda x, i: F.struct(F.levenshtein(F.repeat(x, 8), F.col("_t")).alias("d"), i.alias("i"), x.alias("w")))
+    return w.select(*key, F.coalesce(F.array_min(far)["w"], F.lit("")).alias("vote"))

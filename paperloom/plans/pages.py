@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import fuse, gazetteer, jobs, layout, rules, votes
 from paperloom.plans import pdf_inputs
-from paperloom.plans.base import table, words
+from paperloom.plans.base import spread, table, words
 from paperloom.sources import files, pdf, pixels, recognize, store
 from paperloom.streaming import jobs as stream
 from paperloom.streaming import progress as state
@@ -300,7 +300,7 @@ ANGLE = "WITH e AS (SELECT label, embedding[1]::DOUBLE * 20 AS a, round_even(emb
 def substring10_vote(spark, sf):
     c = F.lpad(F.col("c_custkey").cast("string"), 10, "7")
     t = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("5"), F.repeat(c, 7))).when(F.col("c_custkey") % 3 == 1, F.repeat(c, 8)).otherwise(F.lit("12345"))
-    return votes.substring_vote(table(spark, sf, "customer").select("c_custkey", t.alias("t")), ["c_custkey"], "t")
+    return votes.substring_vote(spread(table(spark, sf, "customer").select("c_custkey")).select("c_custkey", t.alias("t")), ["c_custkey"], "t")
 
 
 VOTE = """WITH t AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '5' || repeat(lpad(c_custkey::VARCHAR, 10, '7'), 7) WHEN 1 THEN repeat(lpad(c_custkey::VARCHAR, 10, '7'), 8) ELSE '12345' END AS t FROM customer),

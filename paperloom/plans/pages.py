@@ -582,7 +582,7 @@ def pdf_split(spark, sf):
                 files.append(pdf_inputs.document(pages, packed=k % 3 == 0, nested=k % 4 == 0))
             yield b.assign(job_id=b.s_suppkey.astype(str), file_name="a.pdf", file=files)[["job_id", "file_name", "file"]]
 
-    files_in = table(spark, sf, "supplier").select("s_suppkey").mapInPandas(build, "job_id string, file_name string, file binary")
+    files_in = spread(table(spark, sf, "supplier").select("s_suppkey")).mapInPandas(build, "job_id string, file_name string, file binary")
     return pdf.split_pdf(files_in).select("job_id", "page_num", "format", "width", "height", "reason")
 
 
@@ -608,7 +608,7 @@ def red_frames(spark, sf):
                 data.append(image.tobytes())
             yield b.assign(height=120, width=160, nChannels=3, data=data)
 
-    pages_in = table(spark, sf, "customer").select("c_custkey").mapInPandas(draw, "c_custkey long, height int, width int, nChannels int, data binary")
+    pages_in = spread(table(spark, sf, "customer").select("c_custkey")).mapInPandas(draw, "c_custkey long, height int, width int, nChannels int, data binary")
     return pixels.frames(pages_in, "c_custkey").select("c_custkey", F.concat_ws(",", F.col("box").cast("array<string>")).alias("box"), "error")
 
 

@@ -6,6 +6,7 @@ takes longer than its deadline has no answer; it is left alone with its instance
 
 from __future__ import annotations
 
+import queue
 import re
 import threading
 from collections.abc import Callable, Iterator
@@ -32,22 +33,39 @@ class Recognizer(Protocol):
 DEADLINE = 60.0
 
 
+class _Caller:
+    """A thread that makes one call after the other."""
+
+    def __init__(self):
+        self.todo, self.done = queue.SimpleQueue(), queue.SimpleQueue()
+        threading.Thread(target=self._run, daemon=True).start()
+
+    def _run(self) -> None:
+        while (job := self.todo.get()) is not None:
+            call, args = job
+            try:
+                self.done.put((call(*args), None))
+            except Exception as e:
+                self.done.put((None, e))
+
+
+#: Threads of this process that wait for a call; most calls are far shorter than it takes to start one.
+_IDLE: list[_Caller] = []
+
+
 def within(seconds: float, call: Callable, *args: object) -> object:
     """What the call gives or raises; TimeoutError if it takes longer than that. The call itself can't be stopped and runs on."""
-    out: list[tuple[object, Exception | None]] = []
-
-    def run() -> None:
-        try:
-            out.append((call(*args), None))
-        except Exception as e:
-            out.append((None, e))
-
-    t = threading.Thread(target=run, daemon=True)
-    t.start()
-    t.join(seconds)
-    if not out:
-        raise TimeoutError(f"no answer in {seconds:g} s")
-    answer, error = out[0]
+    try:
+        caller = _IDLE.pop()
+    except IndexError:
+        caller = _Caller()
+    caller.todo.put((call, args))
+    try:
+        answer, error = caller.done.get(timeout=seconds)
+    except queue.Empty:
+        caller.todo.put(None)  # it ends after its late call
+        raise TimeoutError(f"no answer in {seconds:g} s") from None
+    _IDLE.append(caller)
     if error is not None:
         raise error
     return answer

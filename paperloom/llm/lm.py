@@ -4,13 +4,15 @@ Counts of words and word pairs of the training documents are quantised on a log
 filter q times, under the numbers 1 to q. A count is read back by probing 1, 2, ... until a probe fails; a false positive raises
 a count by one level in about one of 80 cases. The filter is cut into segments by the n-gram's hash, so each is built by one
 small task, and into blocks of 512 bits, so all probes of an n-gram read one cache line. While the filter is small enough
-it is broadcast; beyond that, blocks and probes are joined. Exact word counts, for the base score, never pass through the
+it is broadcast; beyond that, texts ask for their n-grams in units of a few MB: a unit's different n-grams go to the task
+that has their segments, packed, and their levels come back, a byte each. Exact word counts, for the base score, never pass through the
 filter: those of the most frequent words are broadcast, of which there is a fixed number, the others are joined.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import stage
+from paperloom.llm.common import drop_staged, stage
 from paperloom.llm.langid import chunks
 
 #: Bits that each n-gram has in the filter for one of its levels, set bits of a level, bits of a block.
@@ -33,6 +35,9 @@ BROADCAST_BYTES = 128 << 20
 HEAD_WORDS = 1 << 18
 #: Bytes of text that are cut at once, and n-grams that a task counts before it passes them on.
 CHUNK, PENDING = 4 << 20, 1 << 21
+#: Segments of pairs that answer together, n-grams that are put to one task at once, about, and rounds in which pairs are asked
+#: for, and texts summed: each moves one part of them, so that the disk holds that part only.
+TOGETHER, ASKED, ROUNDS = 4, 4 << 20, 4
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,23 +70,45 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
 
 
-class Tokens:
-    """Tokens of some texts: for each the text, the hash of the token and of its history."""
+def shifted(tokens: np.ndarray, ends: np.ndarray, begin) -> np.ndarray:
+    """What stands before each token; `begin` at the start of a text. ends: where each text's end stands."""
+    before = np.concatenate([[begin], tokens[:-1]]) if len(tokens) else tokens
+    before[ends[:-1] + 1] = begin
+    return before
 
-    def __init__(self, texts: pa.Array):
-        self.texts, (self.at, self.codes, self.words) = len(texts), words_of(texts)
-        hashes = word_hashes(self.words)
-        ends = np.cumsum(np.bincount(self.at, minlength=self.texts)) + np.arange(self.texts)  # where each text's end stands
-        self.text = np.repeat(np.arange(self.texts), np.diff(ends, prepend=-1))
-        self.token = np.empty(len(self.text), np.uint64)
-        self.token[ends] = END
-        self.token[np.arange(len(self.codes)) + self.at] = hashes[self.codes]
-        self.history = np.concatenate([[BEGIN], self.token[:-1]]) if len(self.token) else self.token
-        self.history[ends[:-1] + 1] = BEGIN
+
+class Stream:
+    """Tokens of some texts by number: hashes has those of the distinct words, then the end's, which closes each text."""
+
+    def __init__(self, hashes: np.ndarray, numbers: np.ndarray):
+        self.hashes, self.numbers, self.ends = hashes, numbers, np.flatnonzero(numbers == len(hashes) - 1)
+        self.texts, self.text = len(self.ends), np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=-1))
+        self.token = hashes[numbers]
+        self.history = shifted(self.token, self.ends, BEGIN)
 
     def pairs(self) -> np.ndarray:
         return pair_hash(self.history, self.token)
 
+    def packed(self) -> tuple[bytes, bytes]:
+        """The hashes, and the numbers as four planes of bytes, of which the upper ones hold little."""
+        return self.hashes.tobytes(), self.numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+    @classmethod
+    def unpacked(cls, hashes: bytes, numbers: bytes) -> Stream:
+        planes = np.frombuffer(numbers, np.uint8).reshape(4, -1)
+        return cls(np.frombuffer(hashes, np.uint64), np.ascontiguousarray(planes.T).view(np.uint32).ravel())
+
+
+class Tokens(Stream):
+    """Tokens of some texts: for each the text, the hash of the token and of its history."""
+
+    def __init__(self, texts: pa.Array):
+        self.at, self.codes, self.words = words_of(texts)
+        n = len(texts)
+        numbers = np.full(len(self.codes) + n, len(self.words), np.int64)
+        numbers[np.arange(len(self.codes)) + self.at] = self.codes
+        super().__init__(np.append(word_hashes(self.words), END), numbers)
+
 
 def pair_hash(history: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(history + GOLDEN * mix(token))
@@ -147,14 +174,15 @@ def probe(words: np.ndarray, first: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """All segments in one array."""
+    """All segments, or some neighbouring ones, in one array."""
 
-    def __init__(self, data: bytes, sizes: np.ndarray):
-        """data: the segments one after the other; sizes: of each, in words."""
+    def __init__(self, data: bytes, sizes: np.ndarray, start: int = 0, segments: int | None = None):
+        """data: the segments one after the other; sizes: of each, in words; start: the first one's number, of so many."""
         self.words, self.blocks, self.first = np.frombuffer(data, np.uint64), sizes * 64 // BLOCK, np.cumsum(sizes) - sizes
+        self.start, self.segments = start, segments or len(sizes)
 
     def levels(self, x: np.ndarray) -> np.ndarray:
-        at = segment_of(x, len(self.blocks))
+        at = segment_of(x, self.segments) - self.start
         return probe(self.words, self.first[at] + block_of(x, self.blocks[at]) * (BLOCK // 64), x)
 
 
@@ -269,41 +297,112 @@ def head_of(vocabulary: DataFrame, most: int) -> pa.Table:
     return vocabulary.where(F.col("word").isNotNull() & (eighth >= least)).select("word", "c").toArrow()
 
 
-def _collected(filters: DataFrame, segments: int) -> tuple[bytes, np.ndarray]:
-    got = filters.select("seg", "bits").toArrow()
-    own = [bytes(BLOCK // 8)] * segments  # one empty block where no n-gram fell
-    for seg, bits in zip(got.column("seg").to_pylist(), got.column("bits").to_pylist()):
-        own[seg] = bits
+def _laid_out(segs: list[int], bits: list[bytes], start: int, stop: int) -> tuple[bytes, np.ndarray]:
+    """The segments from start to stop one after the other, and their sizes in words."""
+    own = [bytes(BLOCK // 8)] * (stop - start)  # one empty block where no n-gram fell
+    for seg, b in zip(segs, bits):
+        own[seg - start] = b
     return b"".join(own), np.array([len(b) // 8 for b in own], np.int64)
 
 
-def _levels_joined(rows: DataFrame, column: str, filters: DataFrame, segments: int, out: str) -> DataFrame:
-    """rows with the level of the n-gram in `column`, where the filter is too large for a worker: each n-gram meets its block."""
-    unsigned = lambda x: x.to_numpy().astype(np.int64).view(np.uint64)
-
-    @F.pandas_udf("long")
-    def seg(x: pd.Series) -> pd.Series:
-        return pd.Series(segment_of(unsigned(x), segments))
-
-    @F.pandas_udf("long")
-    def block(x: pd.Series, blocks: pd.Series) -> pd.Series:
-        return pd.Series(block_of(unsigned(x), blocks.to_numpy()))
-
-    @F.pandas_udf("int")
-    def read(x: pd.Series, bits: pd.Series) -> pd.Series:
-        return pd.Series(probe(np.frombuffer(b"".join(bits), np.uint64), np.arange(len(x)) * (BLOCK // 64), unsigned(x)))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = [bits[i : i + BLOCK // 8] for i in range(0, len(bits), BLOCK // 8)]
-                yield pa.RecordBatch.from_arrays([pa.array([s] * len(own), pa.int64()), pa.array(range(len(own)), pa.int64()), pa.array(own, pa.binary())], names=["f_seg", "f_block", "f_bits"])
-
-    sizes = filters.select(F.col("seg").alias("z_seg"), (F.length("bits") * 8 / BLOCK).cast("long").alias("z_blocks"))
-    blocks = filters.select("seg", "bits").mapInArrow(cut, "f_seg long, f_block long, f_bits binary")
-    at = rows.withColumn("p_seg", seg(column)).join(sizes, F.col("p_seg") == F.col("z_seg"), "left").withColumn("p_block", block(column, F.coalesce("z_blocks", F.lit(0))))
-    met = at.join(blocks, (F.col("p_seg") == F.col("f_seg")) & (F.col("p_block") == F.col("f_block")), "left")
-    return met.select(*rows.columns, read(column, F.coalesce("f_bits", F.lit(bytes(BLOCK // 8)))).alias(out))
+def _collected(filters: DataFrame, segments: int) -> tuple[bytes, np.ndarray]:
+    got = filters.select("seg", "bits").toArrow()
+    return _laid_out(got.column("seg").to_pylist(), got.column("bits").to_pylist(), 0, segments)
+
+
+class Desks:
+    """Where n-grams of one kind are asked for: `together` neighbouring segments are a desk; a desk that is asked for more
+    than ASKED n-grams has `copies`, among which units are dealt. Numbers of desks start at `base`."""
+
+    def __init__(self, segments: int, together: int, asked: int, base: int):
+        self.segments, self.together, self.base = segments, together, base
+        desks = -(-segments // together)
+        self.copies = max(1, -(-asked // (desks * ASKED)))
+        self.end = base + desks * self.copies
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The desk of each n-gram, as if there were no copies."""
+        return segment_of(x, self.segments) // self.together
+
+    def asked(self, unit: int, x: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        desk = self.of(x)
+        order = np.argsort(desk, kind="stable")
+        numbers, starts = np.unique(desk[order], return_index=True)
+        copy = int(mix(np.array([unit], np.uint64))[0]) % self.copies
+        for k, own in zip(numbers.tolist(), np.split(x[order], starts[1:])):
+            yield self.base + k * self.copies + copy, own.tobytes()
+
+    def answered(self, x: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        """Levels of x from answers in the order of desks."""
+        out = np.empty(len(x), np.int64)
+        out[np.argsort(self.of(x), kind="stable")] = levels
+        return out
+
+    def filter(self, desk: int, segs: list[int], bits: list[bytes]) -> Filter:
+        start = (desk - self.base) // self.copies * self.together
+        return Filter(*_laid_out(segs, bits, start, min(start + self.together, self.segments)), start, self.segments)
+
+    def table(self, filters: DataFrame, rounds: int = 1, now: int = 0) -> DataFrame:
+        """(desk, seg, bits): the segments at each desk of this round."""
+        number = F.floor(F.col("seg") / self.together)
+        first = F.lit(self.base) + number * self.copies
+        return filters.where(number % rounds == now).select(F.explode(F.sequence(first, first + (self.copies - 1))).alias("desk"), "seg", "bits")
+
+
+def _logs_asked(units: DataFrame, model: Model, tokens: int, words: int) -> DataFrame:
+    """(l_row, logs): the score of each text of units (row, hashes, numbers), where the filter is too large for a worker. row is the
+    first text's, the others follow it; tokens and words: numbers of tokens, and of words of units, together."""
+    plain = {k: getattr(model, k) for k in ("tokens", "vocab", "mu")}
+    pairs = Desks(model.pair_segments, TOGETHER, tokens, 0)
+    singles = Desks(model.word_segments, 1, words, pairs.end)
+
+    def ask(now: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for unit, hashes, numbers in zip(*(b.column(k).to_pylist() for k in range(3))):
+                    if now < ROUNDS:
+                        x = Stream.unpacked(hashes, numbers).pairs()
+                        asked = list(pairs.asked(unit, np.unique(x[pairs.of(x) % ROUNDS == now])))
+                    else:
+                        asked = list(singles.asked(unit, np.append(np.frombuffer(hashes, np.uint64), BEGIN)))
+                    yield pa.RecordBatch.from_arrays([pa.array([unit] * len(asked), pa.int64()), pa.array([k for k, _ in asked], pa.int64()), pa.array([x for _, x in asked], pa.binary())], names=["unit", "desk", "x"])
+
+        return run
+
+    def answer(key: tuple, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        f = (pairs if key[0] < pairs.end else singles).filter(key[0], own["seg"].tolist(), own["bits"].tolist())
+        out, many = [], np.cumsum([len(x) for x in asked["x"]]) // (1 << 21)
+        for _, some in asked["x"].groupby(many):
+            levels = f.levels(np.frombuffer(b"".join(some), np.uint64)).astype(np.uint8).tobytes()
+            ends = np.cumsum([len(x) // 8 for x in some]).tolist()
+            out += [levels[i:k] for i, k in zip([0, *ends], ends)]
+        return pd.DataFrame({"unit": asked["unit"], "desk": asked["desk"], "levels": out})
+
+    def sums(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        m = Model.__new__(Model)
+        vars(m).update(plain)
+        unit, hashes, numbers = own.iloc[0]
+        s, answers = Stream.unpacked(hashes, numbers), answers.sort_values("desk")
+        of = lambda some: np.frombuffer(b"".join(answers["levels"][some]), np.uint8)
+        x, inverse = np.unique(s.pairs(), return_inverse=True)
+        level = singles.answered(np.append(s.hashes, BEGIN), of(answers["desk"] >= pairs.end))
+        token, pair = level[s.numbers], pairs.answered(x, of(answers["desk"] < pairs.end))[inverse]
+        logs = m.log_p(token, shifted(token, s.ends, level[-1]), pair)
+        return pd.DataFrame({"l_row": unit + np.arange(s.texts), "logs": np.bincount(s.text, weights=logs, minlength=s.texts)})
+
+    got = []
+    for now in range(ROUNDS + 1):
+        filters = pairs.table(model.pairs, ROUNDS, now) if now < ROUNDS else singles.table(model.words)
+        asked = units.mapInArrow(ask(now), "unit long, desk long, x binary")
+        got.append(stage(asked.groupBy("desk").cogroup(filters.groupBy("desk")).applyInPandas(answer, "unit long, desk long, levels binary"), "levels"))
+    answers = reduce(DataFrame.union, got)
+    turn = lambda unit: F.pmod(F.xxhash64(unit), F.lit(ROUNDS))
+    logs = []
+    for now in range(ROUNDS):
+        own, answered = units.where(turn("row") == now), answers.where(turn("unit") == now)
+        logs.append(stage(own.groupBy("row").cogroup(answered.groupBy("unit")).applyInPandas(sums, "l_row long, logs double"), "logs"))
+    drop_staged(*got)
+    return reduce(DataFrame.union, logs)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -353,12 +452,12 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", br
             key, tf = np.unique(tokens.at[~seen].astype(np.int64) * max(1, len(tokens.words)) + tokens.codes[~seen], return_counts=True)
             ends = np.append(0, np.cumsum(np.bincount(key // max(1, len(tokens.words)), minlength=tokens.texts))).astype(np.int32)
             out += [pa.ListArray.from_arrays(ends, tokens.words.take(pa.array(key % max(1, len(tokens.words))))), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))]
-            if not small:
-                place = np.append(0, np.cumsum(np.bincount(tokens.text, minlength=tokens.texts))).astype(np.int32)
-                out += [pa.ListArray.from_arrays(place, pa.array(v.view(np.int64))) for v in (tokens.token, tokens.history, tokens.pairs())]
+            if not small:  # a slice is a unit, and its first text has its tokens
+                out += [pa.array([v, *[None] * (tokens.texts - 1)], pa.binary()) for v in tokens.packed()]
+                out.append(pa.array([len(tokens.hashes), *[None] * (tokens.texts - 1)], pa.int64()))
             yield pa.RecordBatch.from_arrays(out, names=labels)
 
-    kinds = [*[(f.name, f.dataType.simpleString()) for f in rows.schema.fields[:-1]], ("n", "long"), ("known", "long"), ("base", "double"), *[("logs", "double")] * small, ("tail", "array<string>"), ("tfs", "array<int>"), *[(k, "array<bigint>") for k in ("token", "history", "pair")] * (not small)]
+    kinds = [*[(f.name, f.dataType.simpleString()) for f in rows.schema.fields[:-1]], ("n", "long"), ("known", "long"), ("base", "double"), *[("logs", "double")] * small, ("tail", "array<string>"), ("tfs", "array<int>"), *[("hashes", "binary"), ("numbers", "binary"), ("words", "long")] * (not small)]
     labels = [k for k, _ in kinds]
     scored = stage(rows.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds)).withColumn("row", F.monotonically_increasing_id()), "scored-texts")
     tails = scored.select("row", F.explode(F.arrays_zip("tail", "tfs")).alias("x")).select("row", F.col("x.tail").alias("tail"), F.col("x.tfs").alias("tf"))
@@ -366,18 +465,9 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", br
     more = tails.join(counted, F.col("tail") == F.col("word")).groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("m_base"), F.sum("tf").alias("m_known"))
     out = scored.join(more.withColumnRenamed("row", "m_row"), F.col("row") == F.col("m_row"), "left")
     if not small:
-        each = scored.select("row", F.explode(F.arrays_zip("token", "history", "pair")).alias("x")).select("row", "x.token", "x.history", "x.pair").groupBy("row", "token", "history", "pair").agg(F.count("*").alias("times"))
-        for column, f, segments in (("token", model.words, model.word_segments), ("history", model.words, model.word_segments), ("pair", model.pairs, model.pair_segments)):
-            each = _levels_joined(each, column, f, segments, f"l_{column}")
-
-        @F.pandas_udf("double")
-        def log_p(token: pd.Series, history: pd.Series, pair: pd.Series) -> pd.Series:
-            m = Model.__new__(Model)
-            vars(m).update(plain)
-            return pd.Series(m.log_p(token.to_numpy(), history.to_numpy(), pair.to_numpy()))
-
-        logs = each.groupBy("row").agg(F.sum(F.col("times") * log_p("l_token", "l_history", "l_pair")).alias("logs"))
-        out = out.join(logs.withColumnRenamed("row", "l_row"), F.col("row") == F.col("l_row"), "left")
+        tokens, asked = scored.agg(F.sum("n"), F.sum("words")).first()
+        logs = _logs_asked(scored.where("hashes is not null").select("row", "hashes", "numbers"), model, tokens or 0, asked or 0)
+        out = out.join(logs, F.col("row") == F.col("l_row"), "left")
     per_token = F.log10(F.lit(float(model.tokens + model.vocab + 1)))
     return out.select(
         *[F.col(n).alias(k) for n, k in zip(names, keep)], F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("m_known", F.lit(0))).alias("n_known"),

@@ -1,6 +1,7 @@
 """Language-model scores against plain loops over exact counts, and properties of the filter."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -94,3 +95,31 @@ def test_nothing_learned(spark):
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows) == [(1, 3, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0)]
     none = df.limit(0)
     assert lm.score(none, lm.fit(none, F.lit(True)), ["doc_id"]).count() == 0
+
+
+def test_large_filter_moves_packed_requests(spark, monkeypatch):
+    """Where the filter isn't broadcast, each token costs a few bytes of disk, and many desks, copies and units give the scores of the broadcast filter."""
+    for name, value in (("SEGMENT_TOKENS", 1000), ("TOGETHER", 2), ("ASKED", 3000)):
+        monkeypatch.setattr(lm, name, value)
+    df = spark.createDataFrame(data(), "doc_id long, text string").repartition(3).cache()
+    model = lm.fit(df, ~lm.held_out(F.col("doc_id")))
+    assert model.pair_segments > 20
+    want = lm.score(df, model, ["doc_id", "text"]).collect()
+    sizes, stage = {}, lm.stage
+
+    def sized(made, label):
+        out = stage(made, label)
+        sizes[label] = sizes.get(label, 0) + sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(lm, "stage", sized)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 60)
+    try:
+        got = lm.score(df, model, ["doc_id"], broadcast_bytes=0).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    near = lambda rows: sorted((r.doc_id or -1, r.n_tokens, round(r.score, 6)) for r in rows)
+    assert near(got) == near(want)
+    # one hash of eight bytes for each token, history and pair would be 24
+    assert sum(sizes.values()) < 12 * sum(r.n_tokens for r in got)

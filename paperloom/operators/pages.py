@@ -168,16 +168,24 @@ def front_fields(words: list[tuple[int, int, str]]) -> dict[str, str]:
 
 
 def licence_front(words: DataFrame, page: list[str]) -> DataFrame:
-    """words (page, lang rus or eng, idx, left, top, text) of licence fronts as fields with their checks. A page is one group."""
-    kinds = {f.name: f.dataType.simpleString() for f in words.schema.fields}
-    names = [f[0] for f in FRONT]
+    """words (page, lang rus or eng, idx, left, top, text) of licence fronts as fields with their checks. Words are put together
+    by Spark, so Python gets batches of pages. A null text is an empty one, and a null idx comes last."""
+    names, langs = [f[0] for f in FRONT], ("rus", "eng")
+    parts = F.array_sort(F.collect_list(F.struct(F.col("idx").isNull().alias("none"), "idx", "left", "top", F.coalesce("text", F.lit("")).alias("text"), "lang")))
+
+    @F.pandas_udf(", ".join(f"{n}__{lang} string" for n in names for lang in langs))
+    def run(lefts: pd.Series, tops: pd.Series, texts: pd.Series, lang_of: pd.Series) -> pd.DataFrame:
+        rows = []
+        for one in zip(lefts, tops, texts, lang_of):
+            by: dict[str | None, list[tuple[int, int, str]]] = {}
+            for *word, lang in zip(*(v.tolist() for v in one)):
+                by.setdefault(lang, []).append(tuple(word))
+            got = [front_fields(by.get(lang, [])) for lang in langs]
+            rows.append([g.get(n) for n in names for g in got])
+        return pd.DataFrame(rows, columns=[f"{n}__{lang}" for n in names for lang in langs], dtype=object)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = {lang: front_fields(list(g.sort_values("idx", kind="stable")[["left", "top", "text"]].itertuples(index=False, name=None))) for lang, g in pdf.groupby("lang")}
-        row = [by.get(lang, {}).get(n) for n in names for lang in ("rus", "eng")]
-        return pd.DataFrame([[*pdf[page].iloc[0], *row]], columns=[*page, *[f"{n}__{lang}" for n in names for lang in ("rus", "eng")]])
-
-    raw = words.groupBy(*page).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in page) + ", " + ", ".join(f"{n}__{lang} string" for n in names for lang in ("rus", "eng")))
+    pages = words.groupBy(*page).agg(parts.alias("__words"))
+    raw = pages.select(*page, run(*(f"__words.{k}" for k in ("left", "top", "text", "lang"))).alias("__got")).select(*page, "__got.*")
     c = lambda n, lang: F.col(f"{n}__{lang}")
     date = {n: compare_dates(c(n, "rus"), c(n, "eng")) for n in ("p3", "p4a", "p4b")}
     pair = {n: (c(f"{n}_rus", "rus"), c(f"{n}_eng", "eng")) for n in ("fam", "name", "birthplace3", "p4c", "p8")}

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.operators import assembly, descriptors, gazetteer, pages, rules, votes
-from paperloom.plans.base import table
+from paperloom.plans.base import spread, table
 from paperloom.plans.pages import _view, in_gaz
 from paperloom.sources import intake, recognize
 
@@ -240,7 +240,7 @@ h AS (SELECT *, CASE WHEN zf IS NULL OR bf IS NULL THEN coalesce(zf, bf) END AS
 
 def licence_front(spark, sf):
     """A licence front for each customer, with the same words in both languages' readings."""
-    c = table(spark, sf, "customer").select("c_custkey")
+    c = spread(table(spark, sf, "customer").select("c_custkey"))
     k = F.col("c_custkey").cast("string")
     word = lambda x, y, t: F.struct(F.lit(x).alias("left"), F.lit(y).alias("top"), F.concat(t, F.lit("")).alias("text"))
     rows = F.array(word(60, 30, F.lit("ПЕТРОВ")), word(60, 55, F.lit("PETROV")), word(60, 88, F.lit("ИВАН")), word(60, 114, F.lit("IVAN")), word(60, 145, F.lit("01.02.1980")), word(60, 174, F.lit("ОМСК")), word(60, 204, F.lit("OMSK")), word(60, 239, F.lit("09.10.2018")), word(314, 239, F.lit("09.10.2028")), word(60, 272, F.lit("ГИБДД")), word(60, 297, F.lit("GIBDD")), word(60, 335, F.lpad(k, 10, "5")))

@@ -95,3 +95,19 @@ def test_suggest_by_ways(spark):
     assert tuple(got[2].suggest) == ("ПЕТРОВ", "UNKNOWN", 0.75, None, None, 0.0, "ОЛЕГОВИЧ", "MALE", 0.8)
     assert got[3].suggest is None and got[4].suggest is None
     assert gazetteer.suggest_by_ways(pages_.limit(0), ways, g, g, g).count() == 0
+
+
+def test_licence_front_in_batches(spark):
+    """Python gets batches of pages, not a call for each page; pages equal those read one by one."""
+    rng = random.Random(6)
+    texts = ["ПЕТРОВ", "PETROV", "ИВАН", "01.02.1980", "ОМСК", "09.10.2018", "5512345678", "a. b", "", None]
+    rows = [(p, lang, i if rng.random() < 0.9 else None, rng.choice([40, 60, 314]), rng.randint(2, 36) * 10, rng.choice(texts)) for p in range(30) for lang in ("rus", "eng", None)[: p % 4] for i in range(rng.randint(1, 14))]
+    df = spark.createDataFrame(rows, "p long, lang string, idx int, left int, top int, text string")
+    got = pages.licence_front(df, ["p"])
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    want = {}
+    for p in {r[0] for r in rows}:
+        one = sorted((r[2] is None, r[2] or 0, *r[3:5], r[5] or "", r[1]) for r in rows if r[0] == p and r[1])
+        rus, eng = (pages.front_fields([r[2:5] for r in one if r[5] == lang]) for lang in ("rus", "eng"))
+        want[p] = (rus.get("fam_rus"), eng.get("fam_eng"), rus.get("name_rus"), eng.get("birthplace3_eng"), rus.get("p4c_rus"), eng.get("p8_eng"))
+    assert {r.p: (r.fam_rus, r.fam_eng, r.name_rus, r.birthplace3_eng, r.p4c_rus, r.p8_eng) for r in got.collect()} == want

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,21 +60,28 @@ def assign_band(x: Column, y: Column, x0: Column, y0: Column) -> Column:
 
 
 Box = tuple[int, int, int, int]
+#: Pages whose boxes are put into lines before they are passed on.
+PAGES = 500
 
 
 def cluster(boxes: list[Box]) -> list[list[Box]]:
     """Boxes (x, y, w, h) in lines: a box joins the first line whose centre lies within its height, and moves that centre half
     the way to its own; lines from the top, boxes in order within each."""
-    lines: list[tuple[float, list[Box]]] = []
+    lines: list[list[Box]] = []
+    centres: list[tuple[float, int]] = []  # in order, with the line's number: by it, lines that a box may join are found
     for box in boxes:
         _, y, _, h = box
         mid = y + h / 2
-        at = next((k for k, (c, _) in enumerate(lines) if y < c < y + h), None)
-        if at is None:
-            lines.append((mid, [box]))
+        lo, hi = bisect_right(centres, (y, len(lines))), bisect_left(centres, (y + h, -1))
+        if lo < hi:
+            at = min(range(lo, hi), key=lambda i: centres[i][1])
+            centre, k = centres.pop(at)
+            lines[k].append(box)
+            insort(centres, ((centre + mid) / 2, k))
         else:
-            lines[at] = ((lines[at][0] + mid) / 2, [*lines[at][1], box])
-    return [sorted(members) for _, members in sorted(lines, key=lambda v: v[0])]
+            insort(centres, (mid, len(lines)))
+            lines.append([box])
+    return [sorted(lines[k]) for _, k in centres]
 
 
 def joined(line: list[Box], ws: float, hs: float) -> list[Box]:
@@ -89,18 +101,28 @@ def joined(line: list[Box], ws: float, hs: float) -> list[Box]:
 
 def cluster_lines(boxes: DataFrame, page: list[str], ws: float, hs: float) -> DataFrame:
     """(page, line, pos, x, y, w, h): the boxes of each page in lines, with close neighbours joined. Greedy in the order of
-    idx, so a page is one group."""
+    idx, so a page is one list, put together by Spark; Python gets batches of pages. Boxes of equal idx go by place, a null idx is last."""
     kinds = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
     names = ["x", "y", "w", "h"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable")
-        lines = cluster([tuple(map(int, b)) for b in pdf[names].itertuples(index=False, name=None)])
-        rows = [(n, p, *b) for n, line in enumerate(lines) for p, b in enumerate(joined(line, ws, hs))]
-        out = pd.DataFrame(rows, columns=["line", "pos", *names])
-        return out.assign(**{c: pdf[c].iloc[0] for c in page})
-
-    return boxes.groupBy(*page).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*page, *names]) + ", line int, pos int")
+    boxes_in = F.array_sort(F.collect_list(F.struct(F.col("idx").isNull().alias("none"), "idx", *names)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = b.column(b.num_columns - 1)
+            at, ends = parts.flatten(), np.cumsum(pc.list_value_length(parts).to_numpy()).tolist()
+            each = list(zip(*(at.field(n).to_pylist() for n in names)))
+            for first in range(0, b.num_rows, PAGES):  # what a few pages give is passed on at once
+                some = range(first, min(first + PAGES, b.num_rows))
+                rows = [(k, *box, n, p) for k in some for n, line in enumerate(cluster(each[ends[k - 1] if k else 0 : ends[k]])) for p, box in enumerate(joined(line, ws, hs))]
+                of, *values = zip(*rows)
+                of = pa.array(of, pa.int64())
+                own = [b.column(i).take(of) for i in range(len(page))]
+                kind = [*(at.type.field(n).type for n in names), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, t) for v, t in zip(values, kind))], names=[*page, *names, "line", "pos"])
+
+    pages = boxes.groupBy(*page).agg(boxes_in.alias("__boxes"))
+    return pages.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in [*page, *names]) + ", line int, pos int")
 
 
 def bottom_page(lines: DataFrame, page: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Golden cases of page layout, page texts and name suggestions."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -111,3 +112,34 @@ def test_licence_front_in_batches(spark):
         rus, eng = (pages.front_fields([r[2:5] for r in one if r[5] == lang]) for lang in ("rus", "eng"))
         want[p] = (rus.get("fam_rus"), eng.get("fam_eng"), rus.get("name_rus"), eng.get("birthplace3_eng"), rus.get("p4c_rus"), eng.get("p8_eng"))
     assert {r.p: (r.fam_rus, r.fam_eng, r.name_rus, r.birthplace3_eng, r.p4c_rus, r.p8_eng) for r in got.collect()} == want
+
+
+def test_cluster_many_lines():
+    """A page of very many lines, and of one very long line, equals the plain rule and takes no square of them."""
+    def plain(boxes):
+        lines = []
+        for box in boxes:
+            _, y, _, h = box
+            at = next((k for k, (c, _) in enumerate(lines) if y < c < y + h), None)
+            if at is None:
+                lines.append((y + h / 2, [box]))
+            else:
+                lines[at] = ((lines[at][0] + y + h / 2) / 2, [*lines[at][1], box])
+        return [sorted(members) for _, members in sorted(lines, key=lambda v: v[0])]
+
+    rng = random.Random(8)
+    for _ in range(300):
+        top = rng.choice([10, 60, 2000])
+        boxes = [(rng.randint(0, 90), rng.randint(0, top), 9, rng.randint(0, 25)) for _ in range(rng.randint(0, 60))]
+        assert layout.cluster(boxes) == plain(boxes)
+    start = time.process_time()
+    assert len(layout.cluster([(0, 20 * i, 9, 13) for i in range(30_000)])) == 30_000
+    assert len(layout.cluster([(i, 0, 9, 13) for i in range(30_000)])) == 1
+    assert time.process_time() - start < 5
+
+
+def test_cluster_lines_in_batches(spark):
+    got = layout.cluster_lines(spark.createDataFrame([(1, 0, 0, 0, 9, 9), (None, None, 5, 5, 9, 9), (None, 3, 1, 1, 2, 2)], "p long, idx int, x int, y int, w int, h int"), ["p"], 0, 0)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in got.collect() if r.p) == [(1, 0, 0, 9, 9, 0, 0)]
+    assert [tuple(r) for r in got.collect() if r.p is None] == [(None, 1, 1, 2, 2, 0, 0), (None, 5, 5, 9, 9, 1, 0)]

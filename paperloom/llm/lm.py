@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import drop_staged, stage
+from paperloom.llm.common import drop_staged, small_batches, stage
 from paperloom.llm.langid import chunks
 
 #: Bits that each n-gram has in the filter for one of its levels, set bits of a level, bits of a block.
@@ -249,6 +249,7 @@ def cut_texts(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tu
 def fit(docs: DataFrame, train: Column, text: str = "text", per_entry: int = BITS) -> Model:
     """The model of docs where train holds. Null texts are empty; a text has its words and one end. All words and pairs of
     all texts are counted, however long or frequent; counts are summed in tasks before they are shuffled."""
+    small_batches(docs.sparkSession)
     rows = docs.where(train).select(F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,6 +414,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", br
     only its end. If nothing was learned, all counts are 0, each token's probability is 1 and its logarithm 0. Repeated
     rows get equal results; texts of any length are read whole, in one task each. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     names = [f"c{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(k).alias(n) for k, n in zip(keep, names)], F.coalesce(F.col(text), F.lit("")).alias("t"))

@@ -593,22 +593,24 @@ UNION ALL SELECT job_id, p::INT, 'png', (400 + p)::INT, (400 + k % 5)::INT, NULL
 """
 
 
-def red_frames(spark, sf):
-    """Pages with one to three red frames for each customer; the second frame of some holds the third."""
-
-    def draw(batches):
-        for b in batches:
-            data = []
-            for k in b.c_custkey.tolist():
+def _framed_pages(batches):
+    """A page for each key, few at once: a page is some thousand times as large as its key."""
+    for b in batches:
+        for at in range(0, len(b), 64):
+            keys, data = b[at : at + 64], []
+            for k in keys.c_custkey.tolist():
                 image = np.full((120, 160, 3), 235, np.uint8)
                 boxes = [(3 + k % 20, 2 + k % 7, 30 + k % 5, 20), (70, 10 + k % 11, 60, 70 + k % 9), (80 if k % 4 == 0 else 10, 60 if k % 4 == 0 else 80, 20, 15)]
                 for x, y, w, h in boxes[: 1 + k % 3]:
                     image[y : y + h, x : x + w] = (k % 40, k % 40, 210)
                     image[y + 2 : y + h - 2, x + 2 : x + w - 2] = 235
                 data.append(image.tobytes())
-            yield b.assign(height=120, width=160, nChannels=3, data=data)
+            yield keys.assign(height=120, width=160, nChannels=3, data=data)
 
-    pages_in = spread(table(spark, sf, "customer").select("c_custkey")).mapInPandas(draw, "c_custkey long, height int, width int, nChannels int, data binary")
+
+def red_frames(spark, sf):
+    """Pages with one to three red frames for each customer; the second frame of some holds the third."""
+    pages_in = spread(table(spark, sf, "customer").select("c_custkey")).mapInPandas(_framed_pages, "c_custkey long, height int, width int, nChannels int, data binary")
     return pixels.frames(pages_in, "c_custkey").select("c_custkey", F.concat_ws(",", F.col("box").cast("array<string>")).alias("box"), "error")
 
 
